@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, shards, simhash, winnow
+from . import langid, lines, shards, simhash, toxicity, winnow
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.query,
     "op4_benchmark_decontamination": winnow.query,
+    "op5_language_id": langid.query,
     "op7_line_dedup": lines.query,
+    "op8_toxicity": toxicity.query,
     "op10_sharding": shards.query,
 }
 
