@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import langid, lines, shards, simhash, toxicity, winnow
+from . import langid, lines, pieces, shards, simhash, topk, toxicity, winnow
 
 QUERIES = {
+    "op2_sentencepiece": pieces.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_benchmark_decontamination": winnow.query,
     "op5_language_id": langid.query,
     "op7_line_dedup": lines.query,
     "op8_toxicity": toxicity.query,
+    "op9_exact_top_k": topk.query,
     "op10_sharding": shards.query,
 }
 
 ORACLE_SQL = {
     "op4_benchmark_decontamination": winnow.ORACLE_SQL,
     "op7_line_dedup": lines.ORACLE_SQL,
+    "op9_exact_top_k": topk.ORACLE_SQL,
 }
