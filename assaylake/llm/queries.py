@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, lines, pieces, shards, simhash, topk, toxicity, winnow
+from . import html, langid, licences, lines, pieces, shards, simhash, topk, toxicity, winnow
 
 QUERIES = {
+    "op1_license_scan": licences.query,
     "op2_sentencepiece": pieces.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_benchmark_decontamination": winnow.query,
     "op5_language_id": langid.query,
+    "op6_html_extraction": html.query,
     "op7_line_dedup": lines.query,
     "op8_toxicity": toxicity.query,
     "op9_exact_top_k": topk.query,
