@@ -83,8 +83,7 @@ class Search:
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         k = self.b.k
-        both = self.found[q] + [(-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != self.b.ids[q]]
-        both.sort()
+        both = sorted({*self.found[q], *((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != self.b.ids[q])})
         self.found[q] = both[:k]
         if len(both) >= k:
             self.floor[q] = max(self.floor[q], float(-self.found[q][-1][0]))
@@ -106,9 +105,6 @@ class Search:
             hit = (s >= self.floor[low][:, None]) & (np.arange(s.shape[1])[None, :] < upto[:, None])
             for i in np.flatnonzero(hit.any(axis=1)).tolist():
                 at = np.flatnonzero(hit[i])
-                if len(at) > 4 * b.k:  # the k best and what ties with them
-                    cut = np.partition(s[i][at], len(at) - b.k - 1)[len(at) - b.k - 1]
-                    at = at[s[i][at] >= cut]
                 self.add(int(low[i]), s[i][at], ids[at])
         high = live[local >= BY_COORDINATE]
         if len(high):
@@ -136,8 +132,8 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], key: str = "
     blocks of BLOCK_BYTES. Each block first gets thresholds from the SEEDS longest vectors. A partition returns k rows of a
     query at most, and the best k of those are taken.
 
-    Vectors that are null or hold null or non-finite components, and null ids, take no part. Rows that repeat an id and its vector count once;
-    an id with several vectors is a candidate with each and a query with the smallest. Only vectors of equal numbers of
+    Vectors that are null or hold null or non-finite components, and null ids, take no part. Rows that repeat an id count
+    once for each score they have; an id with several vectors is a query with the smallest. Only vectors of equal numbers of
     dimensions are compared."""
     spark = vectors.sparkSession
     base = keep(scaled(vectors, key, vector, scale).repartitionByRange("norm2", "id").sortWithinPartitions(F.desc("norm2"), "id", "v"))
@@ -149,7 +145,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], key: str = "
         n_blocks = max(1, -(-row["count"] * max(1, dim) * 8 // BLOCK_BYTES))
         own = base.where(F.col("dim") == dim)
         top = own.orderBy(F.desc("norm2"), "id", "v").limit(SEEDS).select("id", "v").collect()
-        top = sorted({(r["id"], bytes(r["v"])) for r in top})
+        top = sorted({r["id"]: bytes(r["v"]) for r in top}.items())  # an id once, else its copies would lift the threshold
         top_ids, top_v = np.array([r[0] for r in top], np.int64), np.frombuffer(b"".join(r[1] for r in top), "<i8").reshape(len(top), dim)
         for i in range(n_blocks):
             part = queries.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)).groupBy("id").agg(F.min("v").alias("v")).collect()
@@ -160,25 +156,20 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], key: str = "
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _search(own: DataFrame, shipped, dim: int) -> DataFrame:
     def batches(it):
-        search, last = Search(shipped.value), None
+        search = Search(shipped.value)
         for batch in it:
             ids = batch.column(0).to_numpy()
-            raw = batch.column(2)
-            v = np.frombuffer(b"".join(x.as_py() for x in raw), "<i8").reshape(len(ids), dim)
+            v = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), "<i8").reshape(len(ids), dim)
             length = np.sqrt(batch.column(1).to_numpy())
-            fresh = np.ones(len(ids), bool)
-            fresh[1:] = (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1)
-            if len(ids):
-                fresh[0] = last is None or last[0] != ids[0] or (last[1] != v[0]).any()
-                last = (ids[-1], v[-1])
-            ids, v, length = ids[fresh], v[fresh], length[fresh]
+            order = np.argsort(-length, kind="stable")  # a read partition may hold several written ones
             for at in range(0, len(ids), BUCKET):
-                search.bucket(ids[at : at + BUCKET], v[at : at + BUCKET], length[at : at + BUCKET])
+                part = order[at : at + BUCKET]
+                search.bucket(ids[part], v[part], length[part])
         rows = [(int(search.b.ids[q]), i, -s) for q, best in enumerate(search.found) for s, i in best]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
 
