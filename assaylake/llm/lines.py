@@ -51,7 +51,7 @@ def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     rows = line_rows(docs, key, text, site)
     spread = keep(spread_lines(rows, min_sites))
     hits = keep(rows.join(spread, ["_h1", "_h2"]).select("_h1", "_h2", F.struct("_id", "_pos", "_text").alias("_place")))
-    first = hits.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"))
+    first = keep(hits.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first")))
     gone = (
         hits.join(first, ["_h1", "_h2"]).where(F.col("_place") > F.col("_first"))
         .select(F.col("_place._id").alias("_gid"), F.col("_place._text").alias("_gtext"), F.col("_place._pos").alias("_pos"))
