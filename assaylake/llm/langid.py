@@ -102,14 +102,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column
 
     def features(texts: list[str | None]) -> dict:
         both = [counts(t) for t in texts]
-        return {"at": pa.array([b[0].astype(np.int32) for b in both], pa.list_(pa.int32())), "n": pa.array([b[1].astype(np.int32) for b in both], pa.list_(pa.int32()))}
+        return {c: pa.array([b[i].astype(np.int32).tobytes() for b in both], pa.binary()) for i, c in enumerate(("at", "n"))}
 
-    got = sorted(by_text(sample, features, "at array<int>, n array<int>", text, (lang, key)).collect(), key=lambda r: (r[lang], str(r[key])))
+    got = sorted(by_text(sample, features, "at binary, n binary", text, (lang, key)).collect(), key=lambda r: (r[lang], str(r[key])))
     langs, seen, kept = sorted(sizes), dict.fromkeys(sizes, 0), []
     for r in got:
         if r["at"] and seen[r[lang]] < most[r[lang]]:
             seen[r[lang]] += 1
-            kept.append((np.array(r["at"]), np.array(r["n"], float), langs.index(r[lang])))
+            kept.append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), langs.index(r[lang])))
     rng = np.random.default_rng(5)
     kept = [kept[i] for i in rng.permutation(len(kept))]
     held = len(kept) // 5 if len(kept) >= 20 else 0

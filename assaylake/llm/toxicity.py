@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ftrl, by_text, char_ngrams, id_bucket, read
+from .common import Ftrl, by_text, char_ngrams, id_bucket, keep, read
 
 #: Orders of the n-grams, log2 of the buckets they are hashed into, n-grams that the classifier keeps, labelled rows
 #: of each class that it is fitted on at most, and passes over them.
@@ -56,10 +56,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def class_counts(rows: DataFrame, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
-    """In how many rows of each class each bucket occurs, over all rows: two arrays, and the numbers of rows.
+def class_counts(rows: DataFrame, text: str, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """(bucket, n0, n1): in how many rows of each class each bucket occurs, over all rows; and the numbers of rows.
 
-    A task sums its own rows and gives a row for each bucket it saw; the driver gets one row for each bucket."""
+    A task sums its own rows and gives a row for each bucket it saw."""
 
     def batches(it):
         n, rows = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
@@ -70,10 +70,9 @@ def class_counts(rows: DataFrame, text: str, label: str) -> tuple[np.ndarray, np
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1), pa.int32()), "n0": pa.array(np.append(n[0, at], rows[0]), pa.int64()), "n1": pa.array(np.append(n[1, at], rows[1]), pa.int64())})
 
-    got = rows.select(text, label).mapInArrow(batches, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toPandas()
-    out = np.zeros((2, (1 << BITS) + 1), np.int64)
-    out[:, got["bucket"].to_numpy()] = got[["n0", "n1"]].to_numpy().T
-    return out[:, :-1], out[:, -1]
+    found = keep(rows.select(text, label).mapInArrow(batches, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    n = found.where("bucket = -1").first()
+    return found.where("bucket >= 0"), (n["n0"], n["n1"]) if n else (0, 0)
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", features: int = FEATURES, per_class: int = PER_CLASS) -> Model:
@@ -85,15 +84,15 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", key: str =
     the features clearest of them. Without rows of both classes nothing can be told apart: the score is 0.5 with no row,
     and else the share of label 1 with one row of each class added."""
     counts, n = class_counts(rows, text, label)
-    p = (counts + 1.0) / (n[:, None] + 2.0)
     prior = float(np.log((n[1] + 1) / (n[0] + 1)))
-    if not n.all():
+    if not all(n):
         return Model(np.zeros(0, np.int64), np.zeros(0), prior)
-    pooled = (counts.sum(axis=0) + 1.0) / (n.sum() + 2.0)
-    z = np.abs(p[1] - p[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    fit_for = np.flatnonzero((z >= min(LEAST_Z, float(np.sqrt(n.min())))) & (counts.sum(axis=0) >= LEAST_DF))
-    fit_for = np.sort(fit_for[np.argsort(-z[fit_for], kind="stable")[:features]])
-    ratio = np.log(p[1] / p[0])[fit_for]
+    p0, p1 = ((F.col(f"n{y}") + 1.0) / (n[y] + 2.0) for y in (0, 1))
+    pooled = (F.col("n0") + F.col("n1") + 1.0) / (sum(n) + 2.0)
+    z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    clear = counts.select("bucket", F.ln(p1 / p0).alias("ratio"), z.alias("z")).where((F.col("z") >= min(LEAST_Z, min(n) ** 0.5)) & (F.col("n0") + F.col("n1") >= LEAST_DF))
+    clear = sorted((r["bucket"], r["ratio"]) for r in clear.orderBy(F.desc("z"), "bucket").limit(features).collect())
+    fit_for, ratio = np.array([c[0] for c in clear], np.int64), np.array([c[1] for c in clear], float)
     sc = rows.sparkSession.sparkContext
     shipped = sc.broadcast(fit_for.astype(np.int32))  # at most as many numbers as features, whatever the rows
 
@@ -101,17 +100,17 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", key: str =
         place = np.full(1 << BITS, -1, np.int32)
         place[shipped.value] = np.arange(len(shipped.value))
         at = [place[buckets(t)] for t in texts]
-        return {"at": pa.array([a[a >= 0] for a in at], pa.list_(pa.int32()))}
+        return {"at": pa.array([a[a >= 0].tobytes() for a in at], pa.binary())}
 
     drawn = F.abs((F.xxhash64(F.lit("toxicity"), key, text) % F.lit(1 << 20)).cast("double")) / F.lit(float(1 << 20))
     rates = [min(1.0, 1.1 * per_class / int(x)) for x in n]
     sample = rows.where(drawn < F.when(F.col(label) == 1, rates[1]).otherwise(rates[0]))
-    got = sorted(by_text(sample, seen, "at array<int>", text, (label, key)).collect(), key=lambda r: (r[label], str(r[key])))
+    got = sorted(by_text(sample, seen, "at binary", text, (label, key)).collect(), key=lambda r: (r[label], str(r[key])))
     kept, used = [], [0, 0]
     for r in got:
         if used[r[label]] < per_class:
             used[r[label]] += 1
-            kept.append((np.array(r["at"], np.int64), r[label]))
+            kept.append((np.frombuffer(r["at"], np.int32), r[label]))
     # a row stands for as many as its class has to each drawn, so that the bias fits the shares in all rows
     share = [n[y] / max(1, used[y]) for y in (0, 1)]
     most = max(share)
