@@ -8,17 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_ROW = W.partitionBy("feature")
-
 
 def row_center(m: DataFrame) -> DataFrame:
     """Values less the feature's median."""
-    return m.withColumn("value", F.col("value") - F.median("value").over(_ROW))
+    return m.withColumn("value", F.col("value") - F.median("value").over(W.partitionBy("feature")))
 
 
 def relative_fold(m: DataFrame, control: Column) -> DataFrame:
     """log2 of values over the feature's mean in the control samples."""
-    return m.withColumn("value", F.log2("value") - F.log2(F.avg(F.when(control, F.col("value"))).over(_ROW)))
+    return m.withColumn("value", F.log2("value") - F.log2(F.avg(F.when(control, F.col("value"))).over(W.partitionBy("feature"))))
 
 
 def fill_missing(m: DataFrame, samples: DataFrame) -> DataFrame:
