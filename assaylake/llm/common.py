@@ -60,6 +60,7 @@ def by_text(df: DataFrame, fn, schema: str, text: str = "text", carry: tuple[str
                 texts = part.column(part.schema.get_field_index("__text")).to_pylist()
                 out = fn(texts)
                 yield pa.RecordBatch.from_pydict({c: part.column(part.schema.get_field_index(c)) for c in carry} | out)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no freed buffers
 
     types = dict(df.dtypes)
     head = ", ".join(f"`{c}` {types[c]}" for c in carry)

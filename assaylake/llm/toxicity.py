@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -140,14 +142,19 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in carry and toxicity, the probability of label 1, of every row."""
+    """The columns in carry and toxicity, the probability of label 1, of every row.
+
+    Only the text goes to Python, and only the probability comes back, whatever columns are carried."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
-    def of(texts: list[str | None]) -> dict:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
-        return {"toxicity": pa.array([m.score(t) for t in texts], pa.float64())}
+        for batch in batches:
+            yield pa.array([m.score(t.as_py()) for t in batch], pa.float64())
+        pa.default_memory_pool().release_unused()
 
-    return by_text(docs, of, "toxicity double", text, carry)
+    return docs.select(*carry, of(text).alias("toxicity"))
 
 
 def trained(spark, sf_dir: str) -> Model:
