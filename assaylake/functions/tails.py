@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,35 @@ def t_two_sided(t: Column, df: Column) -> Column:
     """P(|T| >= |t|) for Student's distribution; null where t is null."""
     x = df / (df + t * t)
     return F.when(t.isNotNull() & (df >= 1), beta_tail(x, df / 2.0, F.lit(0.5) + F.lit(0.0)))
+
+
+def _shifted(x, ln):
+    """x moved up by six, what the recurrence takes off for digamma and adds for trigamma, and both asymptotic series."""
+    y = x + 6.0
+    down = sum((1.0 / (x + float(i)) for i in range(1, 6)), 1.0 / x)
+    up = sum((1.0 / ((x + float(i)) * (x + float(i))) for i in range(1, 6)), 1.0 / (x * x))
+    z = 1.0 / (y * y)
+    di = ln(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
+    tri = 1.0 / y + 0.5 * z + z / y * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z / 30)))
+    return di - down, tri + up
+
+
+def digamma(x: Column) -> Column:
+    return _shifted(x, F.ln)[0]
+
+
+def trigamma(x: Column) -> Column:
+    return _shifted(x, F.ln)[1]
+
+
+def digamma_of(x: float) -> float:
+    return _shifted(x, math.log)[0]
+
+
+def trigamma_inverse(value: float) -> float:
+    """x > 0 whose trigamma is value, by bisection of its logarithm: trigamma falls everywhere."""
+    lo, hi = -40.0, 40.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _shifted(math.exp(mid), math.log)[1] > value else (lo, mid)
+    return math.exp(lo)

@@ -10,16 +10,59 @@ from pyspark.sql import functions as F
 
 def over_representation(every: DataFrame, hit: DataFrame, members: DataFrame) -> DataFrame:
     """gene_set, n, r, z: a set's measured and selected elements and the hypergeometric z score."""
-    marked = every.join(hit.withColumn("_hit", F.lit(1)), "element", "left")
-    sets = marked.join(members, "element").groupBy("gene_set").agg(F.count("*").alias("n"), F.count("_hit").alias("r"))
-    total = marked.agg(F.count("*").alias("tn"), F.count("_hit").alias("tr"))
+    sets = set_counts(every, hit, members)
     n, r, tn = F.col("n"), F.col("r"), F.col("tn")
     p = F.col("tr") / tn
     z = F.try_divide(r - n * p, F.sqrt(n * p * (1 - p) * (1 - (n - 1.0) / (tn - 1.0))))
-    return sets.join(F.broadcast(total)).select("gene_set", "n", "r", F.when((tn > 1) & (n < tn) & (F.col("tr") > 0), z).alias("z"))
+    return sets.select("gene_set", "n", "r", F.when((tn > 1) & (n < tn) & (F.col("tr") > 0), z).alias("z"))
 
 
 def venn(sets: dict[str, DataFrame], key: str) -> DataFrame:
     """part, n: elements in exactly the named sets."""
     tagged = reduce(DataFrame.unionByName, [s.select(key, F.lit(name).alias("_s")) for name, s in sets.items()])
     return tagged.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("_s")), "&").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+
+
+def set_counts(every: DataFrame, hit: DataFrame, members: DataFrame) -> DataFrame:
+    """gene_set, n, r, tn, tr: a set's measured and selected elements, and those of the whole list."""
+    marked = every.join(hit.withColumn("_hit", F.lit(1)), "element", "left")
+    sets = marked.join(members, "element").groupBy("gene_set").agg(F.count("*").alias("n"), F.count("_hit").alias("r"))
+    return sets.join(F.broadcast(marked.agg(F.count("*").alias("tn"), F.count("_hit").alias("tr"))))
+
+
+def raise_zeros(t: DataFrame, value: str) -> DataFrame:
+    """Zeros replaced by the smallest value above zero."""
+    least = t.agg(F.min(F.when(F.col(value) > 0, F.col(value))).alias("_least"))
+    return t.join(F.broadcast(least)).withColumn(value, F.when(F.col(value) == 0, F.coalesce("_least", value)).otherwise(F.col(value))).drop("_least")
+
+
+def permuted(every: DataFrame, hit: DataFrame, members: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
+    """gene_set, n, r, p: the share of rounds in which a random list as long as hit selects r or more of the set.
+
+    A round's list is made by hash: an element is drawn by (seed, round, element), and a round takes those below the hash
+    that cuts off the list's share of all elements. Its length varies around that of hit; no round is sorted, and what is
+    shuffled are counts by set and round."""
+    counts = set_counts(every, hit, members)
+    share = every.agg(F.count("*").alias("_tn")).join(F.broadcast(hit.agg(F.count("*").alias("_tr")))).select((F.col("_tr") / F.col("_tn")).alias("_share"))
+    drawn = every.join(members, "element").join(F.broadcast(share)).withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u = (F.xxhash64(F.lit(seed), "_round", "element") / F.lit(2.0**64)) + 0.5
+    null = drawn.groupBy("gene_set", "_round").agg(F.count_if(u < F.col("_share")).alias("_x"))
+    return counts.join(null, "gene_set").groupBy("gene_set", "n", "r").agg((F.count_if(F.col("_x") >= F.col("r")) / F.lit(float(rounds))).alias("p"))
+
+
+def redundant(members: DataFrame, least: float) -> DataFrame:
+    """(a, b, shared, contained): sets a of whose elements b holds at least that share."""
+    m = members.distinct()
+    sizes = m.groupBy(F.col("gene_set").alias("a")).agg(F.count("*").alias("_n"))
+    met = m.select(F.col("gene_set").alias("a"), "element").join(m.select(F.col("gene_set").alias("b"), "element"), "element").where("a != b")
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared")).join(sizes, "a")
+    return shared.withColumn("contained", F.col("shared") / F.col("_n")).where(F.col("contained") >= least).drop("_n")
+
+
+def concordance(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(event, score) lists: shared events of one and of opposite direction, their share of the shorter list, and the share
+    of equal directions, one half where fewer than ten are shared."""
+    a, b = (t.where("score != 0").select("event", F.signum(F.col("score").cast("double")).alias(n)) for t, n in ((one, "_a"), (two, "_b")))
+    c = a.join(b, "event", "full_outer").agg(F.count("_a").alias("na"), F.count("_b").alias("nb"), F.count_if(F.col("_a") == F.col("_b")).alias("same"), F.count_if(F.col("_a") != F.col("_b")).alias("opposite"))
+    both = F.col("same") + F.col("opposite")
+    return c.select("same", "opposite", F.try_divide(both, F.least("na", "nb")).alias("share"), F.when(both < 10, 0.5).otherwise(F.try_divide(F.col("same"), both)).alias("concordance"))

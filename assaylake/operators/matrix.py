@@ -34,7 +34,8 @@ def max_filter(m: DataFrame, least: float) -> DataFrame:
 
 def kth_largest(m: DataFrame, k: int) -> DataFrame:
     """The k-th largest value of features that have k."""
-    return m.groupBy("feature").agg(F.sort_array(F.collect_list("value"), False).alias("_v")).where(F.size("_v") >= k).select("feature", F.col("_v")[k - 1].alias("kth"))
+    k_th = F.row_number().over(W.partitionBy("feature").orderBy(F.desc("value")))
+    return m.where("value IS NOT NULL").withColumn("_k", k_th).where(F.col("_k") <= k).where(F.col("_k") == k).select("feature", F.col("value").alias("kth"))
 
 
 def quantile_normalise(m: DataFrame) -> DataFrame:

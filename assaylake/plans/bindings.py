@@ -118,10 +118,13 @@ def relative_fold(spark, d):
     return matrix.relative_fold(_wide(spark, d), F.col("sample").isin(1, 2))
 
 
-@bound(f"SELECT feature, CAST(s.sample AS BIGINT) AS sample, round(coalesce(value, med), 6) + 0.0 AS value FROM (SELECT feature, median(value) med FROM ({_WIDE}) WHERE sample < 11 GROUP BY 1) f CROSS JOIN (SELECT DISTINCT sample FROM ({_WIDE})) s LEFT JOIN (SELECT * FROM ({_WIDE}) WHERE sample < 11) w USING (feature, sample)")
+_SPENT = "SELECT o_custkey AS feature, month(o_orderdate) AS sample, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2"
+
+
+@bound(f"SELECT CAST(feature AS BIGINT) AS feature, CAST(s.sample AS BIGINT) AS sample, round(coalesce(value, med), 6) + 0.0 AS value FROM (SELECT feature, median(value) med FROM ({_SPENT}) GROUP BY 1) f CROSS JOIN (SELECT DISTINCT sample FROM ({_SPENT})) s LEFT JOIN ({_SPENT}) w USING (feature, sample)")
 def missing_fill(spark, d):
-    w = _wide(spark, d)
-    return matrix.fill_missing(w.where("sample < 11"), w.select("sample").distinct())
+    m = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("feature"), F.month("o_orderdate").alias("sample")).agg(F.sum("o_totalprice").alias("value"))
+    return matrix.fill_missing(m, m.select("sample").distinct())
 
 
 @bound(f"SELECT feature, round(max(value), 6) + 0.0 AS top FROM ({_WIDE}) GROUP BY 1 HAVING max(value) >= 500")
@@ -245,9 +248,9 @@ def argmax_group(spark, d):
     return assay.best_group(x.select(F.col("l_partkey").alias("p"), F.col("c_mktsegment").alias("seg"), F.col("l_quantity").alias("v")), "p", "seg", "v")
 
 
-@bound("SELECT CAST(a AS BIGINT) a, CAST(b AS BIGINT) b, round(corr(x, y), 6) + 0.0 AS r FROM (SELECT p.f a, q.f b, p.v x, q.v y FROM m p JOIN m q ON p.s = q.s AND p.f < q.f) GROUP BY 1, 2 HAVING count(*) >= 3".replace("FROM m p JOIN m q", "FROM (SELECT l_suppkey f, l_linenumber || l_returnflag s, avg(CAST(l_quantity AS DOUBLE)) v FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2) p JOIN (SELECT l_suppkey f, l_linenumber || l_returnflag s, avg(CAST(l_quantity AS DOUBLE)) v FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2) q"))
+@bound("SELECT CAST(a AS BIGINT) a, CAST(b AS BIGINT) b, round(corr(x, y), 6) + 0.0 AS r FROM (SELECT p.f a, q.f b, p.v x, q.v y FROM m p JOIN m q ON p.s = q.s AND p.f < q.f) GROUP BY 1, 2 HAVING count(*) >= 3".replace("FROM m p JOIN m q", "FROM (SELECT l_suppkey f, l_linenumber || l_returnflag s, avg(CAST(l_quantity AS DOUBLE)) v FROM lineitem GROUP BY 1, 2) p JOIN (SELECT l_suppkey f, l_linenumber || l_returnflag s, avg(CAST(l_quantity AS DOUBLE)) v FROM lineitem GROUP BY 1, 2) q"))
 def corr_pairs(spark, d):
-    x = table(spark, d, "lineitem").where("l_suppkey <= 20").groupBy(F.col("l_suppkey").alias("feature"), F.concat(F.col("l_linenumber").cast("string"), "l_returnflag").alias("sample")).agg(F.avg(F.col("l_quantity").cast("double")).alias("value"))
+    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("feature"), F.concat(F.col("l_linenumber").cast("string"), "l_returnflag").alias("sample")).agg(F.avg(F.col("l_quantity").cast("double")).alias("value"))
     return stats.correlate_pairs(x, 3)
 
 
@@ -261,9 +264,9 @@ def _tree(spark, d):
     return n.unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("parent")))
 
 
-@bound("WITH e AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem WHERE l_suppkey <= 10) SELECT CAST(a.s AS BIGINT) a, CAST(b.s AS BIGINT) b, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2")
+@bound("WITH e AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem) SELECT CAST(a.s AS BIGINT) a, CAST(b.s AS BIGINT) b, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2")
 def two_hop(spark, d):
-    e = table(spark, d, "lineitem").where("l_suppkey <= 10").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
     return network.shared_neighbours(e, "s", "p")
 
 
