@@ -11,11 +11,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A text matrix (features in rows, samples in columns) as (feature, sample, value); what is no number is null."""
-    wide = spark.read.csv(path, sep=sep, header=True)
-    feature, *samples = wide.columns
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`{s}`").try_cast("double").alias("value")) for s in samples]))
-    return wide.select(F.col(f"`{feature}`").alias("feature"), pairs.alias("p")).select("feature", "p.*")
+    """A text matrix (features in rows, samples in columns) as (feature, sample, value): quotes and the version of ENSG ids go,
+    lines that begin with # or ! are comments, what is no number is null. Only the header line comes to the driver."""
+    lines = spark.read.text(path).where(~F.col("value").rlike("^[#!]") & (F.trim("value") != ""))
+    head = lines.first()
+    if head is None:
+        return spark.createDataFrame([], "feature string, sample string, value double")
+    names = head[0].replace('"', "").rstrip("\r").split(sep)
+    cells = F.split(F.regexp_replace("value", '["\r]', ""), sep, -1)
+    rows = lines.where(F.col("value") != head[0]).select(cells.alias("c"), F.array(*[F.lit(n) for n in names]).alias("n"))
+    pairs = rows.select(F.regexp_replace(F.col("c")[0], r"^(ENSG\d+)\.\d+$", "$1").alias("feature"), F.explode(F.slice(F.arrays_zip("n", "c"), 2, max(len(names) - 1, 0))).alias("p"))
+    return pairs.select("feature", F.col("p.n").alias("sample"), F.col("p.c").try_cast("double").alias("value"))
+
+
+def clustered_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """A clustered heat map: column 1 after the ids is row_clusters-flat, row 2 column_clusters-flat. Returns (feature, sample,
+    row_cluster, column_cluster, value)."""
+    m = spark.read.text(path)
+    long = matrix(spark, path)
+    rows = long.where("sample = 'row_clusters-flat'").select("feature", F.col("value").cast("long").alias("row_cluster"))
+    second = m.where(F.col("value").startswith("column_clusters-flat")).first()
+    names = m.where(F.col("value").contains("row_clusters-flat")).first()
+    pairs = list(zip(names[0].split("\t"), second[0].split("\t")))[2:] if second and names else []
+    labels = spark.createDataFrame([(n, c) for n, c in pairs], "sample string, column_cluster string")
+    values = long.where("sample != 'row_clusters-flat' AND feature NOT IN ('column_clusters-flat', 'EWEIGHT')")
+    return values.join(rows, "feature", "left").join(labels, "sample", "left").select("feature", "sample", "row_cluster", F.col("column_cluster").try_cast("long").alias("column_cluster"), "value")
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
