@@ -13,10 +13,10 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(bindings.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     got = bindings.QUERIES[name](spark, D)
-    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({bindings.ORACLE_SQL[name]})").fetchall()
+    want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in got.columns)} FROM ({bindings.ORACLE_SQL[name]})").fetchall()
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
 
