@@ -39,18 +39,18 @@ def extreme_fold(m: DataFrame, k: int, least: float) -> DataFrame:
     return s.where(F.col("spread") > least)
 
 
-def widen(m: DataFrame, k: int, fold: float, most: int, fewest: int, step: float = 1.0) -> tuple[DataFrame, int, float]:
+def widen(m: DataFrame, k: int, fold: float, most: int, fewest: int, step: float = 1.0, rounds: int = 200) -> tuple[DataFrame, int, float]:
     """extreme_fold() with its two limits moved until between fewest and most features stay: up by one while too many do,
-    fold down by 0.2 and k by one while too few do, until k is 1 or fold 1.2. It never turns back, so it ends. Only counts
-    come to the driver."""
-    went = 0
+    fold down by 0.2 and k by one while too few do, until k is 1 or fold 1.2. Where every limit
+    keeps too many or too few it ends after `rounds` counts, with the limits of the last. Only counts come to the driver."""
     while True:
         kept = extreme_fold(m, k, fold)
         n = kept.count()
-        if n > most and went >= 0:
-            k, fold, went = k + 1, fold + step, 1
-        elif n < fewest and went <= 0 and k > 1 and fold - 0.2 >= 1.2:
-            k, fold, went = k - 1, fold - 0.2, -1
+        rounds -= 1
+        if n > most and rounds > 0:
+            k, fold = k + 1, fold + step
+        elif n < fewest and k > 1 and fold - 0.2 >= 1.2 and rounds > 0:
+            k, fold = k - 1, fold - 0.2
         else:
             return kept, k, fold
 
