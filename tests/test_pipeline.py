@@ -49,3 +49,15 @@ def test_near_copies_recall(spark):
     kept = corpus_pipeline.drop_near_copies(spark, rows, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group)) and kept.columns == rows.columns
     assert corpus_pipeline.drop_near_copies(spark, rows.where("false"), "").count() == 0
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    a, b, c, leak = (" ".join(prose(50)) for _ in range(4))
+    a, b = sorted([a, b])
+    rows = frame(spark, [(2, a), (5, a), (5, b), (None, a), (None, c), (None, c), (6, None), (None, None), (7, leak), (None, leak + " more"), (7, b + " and more")])
+    kept = corpus_pipeline.drop_near_copies(spark, rows, "")
+    want = [(2, a), (5, b), (6, None), (7, leak), (None, c)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in want)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.drop_leaks(spark, rows, str(tmp_path))
+    assert left.count() == 9 and left.where("doc_id = 7").count() == 1 and left.columns == rows.columns
