@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +19,13 @@ _own_root: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all runs on
+    this machine, as in tests; on a cluster each executor would write to a disk of its own, so it is an error there."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="assaylake-")
@@ -50,21 +57,50 @@ def id_bucket(key: str | Column, n: int) -> Column:
     return F.pmod(F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")), F.lit(n))
 
 
+def trim() -> None:
+    """Gives what a worker has freed back to the system, where the C library can: a worker that waits for its next task
+    holds no freed buffers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def apart(names: Sequence[str], own: Sequence[str]) -> list[str]:
+    """names, each with underscores behind it until it is no other name's, whatever its case, and none of own's."""
+    taken, out = {x.lower() for x in own}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(schema: str) -> list[str]:
+    """The names at the top of a schema's text."""
+    flat = schema
+    while (less := re.sub(r"<[^<>]*>", "", flat)) != flat:
+        flat = less
+    return [x.split()[0].strip("`") for x in flat.split(",")]
+
+
 def by_text(df: DataFrame, fn, schema: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Applies fn(list of texts or None) -> dict of columns to df, batch by batch, and keeps the columns in carry."""
+    """Applies fn(list of texts or None) -> dict of columns to df, batch by batch, and keeps the columns in carry.
+
+    A carried column that is named as one of the results gets an underscore behind its name."""
 
     def batches(it):
         for batch in it:
-            for at in _slices(batch.column(batch.schema.get_field_index("__text"))):
-                part = batch.slice(at[0], at[1])
-                texts = part.column(part.schema.get_field_index("__text")).to_pylist()
-                out = fn(texts)
-                yield pa.RecordBatch.from_pydict({c: part.column(part.schema.get_field_index(c)) for c in carry} | out)
-        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no freed buffers
-
-    types = dict(df.dtypes)
-    head = ", ".join(f"`{c}` {types[c]}" for c in carry)
-    return df.select(*carry, F.col(text).alias("__text")).mapInArrow(batches, f"{head}, {schema}" if head else schema)
+            for a, n in _slices(batch.column(len(carry))):
+                part = batch.slice(a, n)
+                out = fn(part.column(len(carry)).to_pylist())
+                yield pa.RecordBatch.from_pydict({f"_c{i}": part.column(i) for i in range(len(carry))} | out)
+        trim()
+
+    types, own = dict(df.dtypes), columns_of(schema)
+    head = "".join(f"_c{i} {types[c]}, " for i, c in enumerate(carry))
+    put = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)), F.col(f"`{text}`").alias("_t"))
+    return put.mapInArrow(batches, head + schema).toDF(*apart(carry, own), *own)
 
 
 def _slices(column: pa.Array, most_bytes: int = 8 << 20):

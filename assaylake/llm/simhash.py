@@ -3,32 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, drop_kept, keep, read
+from .common import apart, by_text, keep, read
+from .shingles import components, shingle_hashes, words
 
-#: Words in a shingle, bits that linked fingerprints may differ in, and segments of a fingerprint.
-SHINGLE, RADIUS, SEGMENTS = 3, 2, 2
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def words(text: str | None) -> list[bytes]:
-    """A-Z in lower case, split at space and the controls 9 to 13, as bytes.split does."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-
-
-def shingle_hashes(parts: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """XXH64 (seed 42) of every run of size words joined by a space; of the whole sequence if it is shorter."""
-    if not parts:
-        return np.zeros(0, "<u8")
-    h, joined = xxhash.xxh64_intdigest, b" ".join(parts)
-    if len(parts) <= size:
-        return np.array([h(joined, 42)], "<u8")
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return np.array([h(joined[a:b], 42) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)], "<u8")
+#: Words in a shingle, bits that linked fingerprints may differ in, segments of a fingerprint and their bits, the radius of
+#: the ball around a segment, and fingerprints that may share a segment's value before that value is split.
+SHINGLE, RADIUS, SEGMENTS, SPLIT = 3, 2, 2, 64
+WIDTH, BALL = 64 // SEGMENTS, RADIUS // SEGMENTS
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -52,47 +36,65 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return by_text(docs, of, "fp long", text, (key,))
 
 
-def probes(fp: Column, segments: int = SEGMENTS) -> Column:
-    """The fingerprint, and it with one bit turned within one of its segments: the balls of radius 1, segment by segment,
-    each with the rest of the fingerprint as it is."""
-    width = 64 // segments
-    balls = [F.shiftleft(F.lit(1).cast("long"), s * width + b).bitwiseXOR(fp) for s in range(segments) for b in range(width)]
-    return F.array(fp, *balls)
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of distinct fingerprints at RADIUS bits or fewer that have the same components as all such pairs.
-
-    Two fingerprints lie within two bits of each other if and only if balls of radius 1 around them meet, be it that both
-    bits are in one segment or one in each. Every probe is a table key. Within a key, each fingerprint is linked to the
-    smallest only (whose complete distance is verified), never to all: the table grows by 65 rows for a fingerprint, however
-    many lie close together."""
-    table = fps.select("fp", F.explode(probes(F.col("fp"))).alias("probe"))
-    met = keep(table.groupBy("probe").agg(F.min("fp").alias("a"), F.max("fp").alias("_z")).where(F.col("a") < F.col("_z")).select("probe", "a"))
-    found = table.join(met, "probe").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
-    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (fp, root): for each end of an edge, the smallest fingerprint that can be reached.
-
-    Rounds of two steps, until nothing changes: each node takes the smallest label of itself and its neighbours, and then the
-    label of the node whose name it carries. Tables between rounds are written to the shared folder; joins are between
-    written tables, whose large groups adaptive execution splits, and minima are taken before rows are dealt out."""
-    both = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = keep(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.col("fp")).alias("root")))
-    while True:
-        heard = keep(both.join(label.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("heard")))
-        near = keep(label.join(heard, "fp").select("fp", F.least("root", "heard").alias("next"), F.col("root").alias("was")))
-        ahead = near.where(F.col("fp") != F.col("next")).select(F.col("fp").alias("next"), F.col("next").alias("further"))
-        root = F.least(F.col("next"), F.coalesce("further", "next"))
-        after = keep(near.join(ahead, "next", "left").select("fp", root.alias("root"), (root < F.col("was")).alias("moved")))
-        for old in (label, heard, near):
-            drop_kept(old)
-        label = after.drop("moved")
-        if after.where("moved").isEmpty():
-            drop_kept(both)
-            return label
+def segment(fp: Column, place: int) -> Column:
+    """The bits of one segment, as a number."""
+    return F.shiftrightunsigned(fp, place * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+
+
+def ball(value: Column) -> list[Column]:
+    """A segment's value and all at one bit from it."""
+    return [value, *(value.bitwiseXOR(F.lit(1 << b)) for b in range(WIDTH))]
+
+
+def index_rows(fps: DataFrame) -> DataFrame:
+    """(fp, place, value, far): the tables of all segments, far 0, and what each fingerprint looks up in them, far 1.
+
+    The ball around a segment has BALL = 1 bit. Of two values that differ in one bit one has it set, so it is enough that
+    a fingerprint looks up the values with one more bit set; equal values meet in the table itself. That makes 34 rows
+    of a fingerprint on average."""
+    fp = F.col("fp")
+    rows = []
+    for place in range(SEGMENTS):
+        own = segment(fp, place)
+        rows += [F.struct(F.lit(place).alias("place"), own.alias("value"), F.lit(0).alias("far"))]
+        rows += [F.when(own.bitwiseAND(F.lit(1 << b)) == 0, F.struct(F.lit(place).alias("place"), own.bitwiseOR(F.lit(1 << b)).alias("value"), F.lit(1).alias("far"))) for b in range(WIDTH)]
+    return fps.select("fp", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("fp", "x.*")
+
+
+def other(fp: Column, place: Column) -> Column:
+    """The rest of a fingerprint beside one segment, where there are two."""
+    return F.when(place == 0, segment(fp, 1)).otherwise(segment(fp, 0))
+
+
+def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(a, b), a < b: the pairs of distinct fingerprints that differ in RADIUS bits or fewer.
+
+    Two such fingerprints differ in BALL bits at most in some segment. There is a table for each segment, by its value; a
+    fingerprint fetches what the table has under the values of a ball around its own segment, and complete distances are
+    verified. Where more than split fingerprints share a segment's value, that value is split by the rest of the
+    fingerprint: of those that share it, the rests lie within two bits, so balls of one bit around them meet; to one that is
+    a bit off already, only a ball of one bit around its rest can lead. As fingerprints are distinct, at most 33 are under such
+    a key, whatever shares the value, so candidates grow with the fingerprints and not with the square of a group."""
+    rows = index_rows(fps.select("fp"))
+    own = F.array(*(F.struct(F.lit(p).alias("place"), segment(F.col("fp"), p).alias("value")) for p in range(SEGMENTS)))
+    table = fps.select(F.col("fp").alias("one"), F.explode(own).alias("x")).select("x.*", "one")
+    dense = keep(table.groupBy("place", "value").count().where(F.col("count") > split).select("place", "value"))
+    key = ["place", "value"]
+    wide = F.bit_count(F.col("one").bitwiseXOR(F.col("fp"))) <= RADIUS
+    light = table.join(dense, key, "left_anti").join(rows, key).where(wide & ((F.col("far") == 1) | (F.col("one") < F.col("fp"))))
+    found = [light.select(F.least("one", "fp").alias("a"), F.greatest("one", "fp").alias("b"))]
+    if not dense.isEmpty():
+        heavy = keep(rows.join(dense, key, "left_semi"))
+        near = heavy.withColumn("rest", F.explode(F.array(*ball(other(F.col("fp"), F.col("place"))))))
+        full = heavy.where("far = 0").select(*key, other(F.col("fp"), F.col("place")).alias("rest"), F.col("fp").alias("one"))
+        within = near.where("far = 0")
+        met = within.select(*key, "rest", F.col("fp").alias("one")).join(within, [*key, "rest"]).where(wide & (F.col("one") < F.col("fp")))
+        off = full.join(near.where("far = 1"), [*key, "rest"]).where(wide)
+        found += [x.select(F.least("one", "fp").alias("a"), F.greatest("one", "fp").alias("b")) for x in (met, off)]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -101,9 +103,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Documents without words (null, empty, white space) have fingerprint 0 and link like any other. Copies meet in an
     aggregation by fingerprint before anything else, so a large group of copies is one row from there on. Rows whose key
     repeats each give a row. Null keys are kept; they never are the smallest, and the component of null keys alone is null.
-    Keys must be of a type that orders; the names fp, low, root and component must not be the key's."""
-    own = keep(fingerprints(docs, key, text, size))
-    nodes = keep(own.groupBy("fp").agg(F.min(key).alias("low")))
+    Ties of distance don't matter: every link counts. Texts are read whole, however long; other columns take no part. Keys must
+    be of a type that orders; a key named fp or component gets an underscore behind its name."""
+    name = apart([key], ["fp", "component"])[0]
+    own = keep(fingerprints(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text", size))
+    nodes = keep(own.groupBy("fp").agg(F.min("_key").alias("low")))
     edges = keep(links(nodes))
     if edges.isEmpty():
         whole = nodes.withColumnRenamed("low", "component")
@@ -111,7 +115,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         rooted = keep(nodes.join(components(edges), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
         lows = keep(rooted.groupBy("root").agg(F.min("low").alias("component")))
         whole = keep(rooted.join(lows, "root").select("fp", "component"))
-    return own.join(whole, "fp").select(key, "fp", "component")
+    return own.join(whole, "fp").select(F.col("_key").alias(name), "fp", "component")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -62,6 +62,26 @@ def test_simhash_chain(spark):
     assert len(roots) == 1 and simhash.components(edges).count() == 30
 
 
+@pytest.mark.parametrize("split", [2, 64])
+def test_simhash_links_equal_all_pairs(spark, split):
+    """Random fingerprints, neighbours of some at one to four bits in the same or both segments, and segments that many share."""
+    r, fps = random.Random(9), set()
+    for _ in range(40):
+        x = r.getrandbits(64)
+        fps.add(x)
+        for k in (1, 1, 2, 2, 2, 3, 4):
+            y = x
+            for b in r.sample(range(64), k):
+                y ^= 1 << b
+            fps.add(y)
+    for _ in range(60):
+        fps |= {0x123456789 << 28 & ~0xFFFFFFFF & (1 << 64) - 1 | r.getrandbits(5), r.getrandbits(32) << 32 | 0xFFFFFFFF, 0xABCD << 48 | 1 << r.randrange(40)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(sorted(fps), 2) if (a ^ b).bit_count() <= 2}
+    got = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), split).collect()
+    assert len(got) == len(want) > 300 and {(e.a, e.b) for e in got} == want
+
+
 def test_winnow_equals_plain(spark, docs):
     texts = [r.text for r in docs.collect()]
     items = [(1, " ".join(texts[0].split()[5:30])), (2, "ax ay az"), (2, "hx hy"), (3, None), (None, " ".join(texts[1].split()[:12])), (4, " ".join(texts[3].split()[20:30]).upper()), (5, "")]
