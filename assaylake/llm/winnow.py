@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _slices, mix, read
+from .common import _slices, apart, drop_kept, keep, mix, read, trim
 
 #: Words of a window, and of a k-gram. The smallest of WINDOW - GRAM + 1 neighbouring k-grams is kept, so that
 #: every shared run of WINDOW words shares a kept k-gram.
 WINDOW, GRAM = 10, 5
-#: Words of benchmark text that one pass over the documents holds at once.
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter of item fingerprints for each of them, and log2 of its least and most bits. It only spares rows that the
+#: join would drop: where it is full, all go to the join.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 32, 20, 27
+#: Rows that a task hands on at once.
+ROWS = 1 << 15
 
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 IS_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
@@ -93,132 +96,164 @@ def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(most == grams)
 
 
-class Index:
-    """Windows of a block of items: kept k-grams to look up, window hashes, and the windows' words to compare."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, gram
-        at: dict[bytes, int] = {}
-        owners: list[set[str]] = []
-        hashes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        kept: set[int] = set()
-        for item, text in items:
-            w = Words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-            if not len(w.hash):
-                continue
-            k = min(window, len(w.hash))
-            for i, h in enumerate(w.runs(k).tolist()):
-                words = w.text(i, k)
-                if words not in at:
-                    at[words] = len(owners)
-                    owners.append(set())
-                    hashes[k][h].append(at[words])
-                if item is not None:
-                    owners[at[words]].add(item)
-            if k == window:
-                grams = w.runs(gram)
-                kept.update(grams[winnowed(grams, window - gram + 1)].tolist())
-        self.at, self.owners = at, [tuple(x) for x in owners]
-        self.lengths = sorted(hashes)
-        self.hashes = {k: np.array(sorted(hashes[k]), np.uint64) for k in self.lengths}
-        self.kept = np.array(sorted(kept), np.uint64)
-
-    def starts(self, w: Words, doc: np.ndarray, k: int) -> np.ndarray:
-        """Places whose k words may be a window: near a kept k-gram that documents and items share, or, for windows too
-        short to hold a k-gram's whole window, any place. The hash of the k words agrees at all of them."""
-        n = len(w.hash) - k + 1
-        if n < 1:
-            return np.zeros(0, np.int64)
-        if k == self.window:
-            grams = w.runs(self.gram)
-            own = winnowed(grams, self.window - self.gram + 1)
-            own = own[member(grams[own], self.kept)]
-            near = np.unique((own[:, None] - np.arange(self.window - self.gram + 1)[None, :]).ravel())
-            near = near[(near >= 0) & (near < n)]
-            if not len(near):
-                return near
-            value = np.zeros(len(near), np.uint64)
-            for j in range(k):
-                value = mix(value + w.hash[near + j])
-        else:
-            near, value = np.arange(n), w.runs(k)
-        near = near[member(value, self.hashes[k])]
-        return near[doc[near] == doc[near + k - 1]]
-
-
-def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
-def scan(index: Index, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]], dict[int, set[str]]]:
-    """Words of each text, and for texts with a hit the places of their hit words and the items. ends: each text's end."""
-    w = Words(data)
-    doc = np.searchsorted(ends, w.start, "right")
-    n_words = np.bincount(doc, minlength=len(ends)) if len(doc) else np.zeros(len(ends), np.int64)
-    first = np.concatenate(([0], np.cumsum(n_words)))
-    hit: dict[int, set[int]] = defaultdict(set)
-    items: dict[int, set[str]] = defaultdict(set)
-    for k in index.lengths:
-        for i in index.starts(w, doc, k).tolist():
-            found = index.at.get(w.text(i, k))
-            if found is not None:
-                d = int(doc[i])
-                hit[d].update(range(i - int(first[d]), i - int(first[d]) + k))
-                items[d].update(index.owners[found])
-    return n_words, hit, items
-
-
-def blocks(items: DataFrame, key: str, text: str, most_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """Items in blocks of about most_words words; the driver holds one block at a time."""
-    block, n = [], 0
-    for row in items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).toLocalIterator():
-        block.append((row["k"], row["t"]))
-        n += len(row["t"] or "") // 2 + 1
-        if n >= most_words:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
-def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most_words: int = BLOCK_WORDS) -> DataFrame:
-    """(key, n_words, hit, items): places of the words in any occurrence of an item's window, and the items with one.
-
-    The items are the stated query set: blocks of at most most_words of their words go to all documents one after the
-    other, so what a task holds doesn't grow with either table. With one block, as with any usual benchmark, a document is
-    read once and nothing is shuffled; more blocks' results are joined by document. Null texts have no words; items of a
-    null id hit words without a place in the list of items; an item that repeats counts once. Rows with one key give a row
-    each with one block, and one row together with more."""
-
-    def pass_over(index: Index) -> DataFrame:
-        def batches(it):
-            for whole in it:
-                column = whole.column(1)
-                for a, n in _slices(column, 2 << 20):
-                    part = column.slice(a, n)
-                    texts = [x.encode("utf-8", "surrogatepass") if x else b"" for x in part.to_pylist()]
-                    ends = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
-                    n_words, hit, found = scan(index, np.frombuffer(b" ".join([*texts, b""]), np.uint8), ends) if n else (np.zeros(0, np.int64), {}, {})
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            whole.column(0).slice(a, n), pa.array(n_words, pa.int64()),
-                            pa.array([sorted(hit.get(i, ())) for i in range(n)], pa.list_(pa.int32())), pa.array([sorted(found.get(i, ())) for i in range(n)], pa.list_(pa.string())),
-                        ], [key, "n_words", "hit", "items"],
-                    )
-
-        kind = dict(docs.dtypes)[key]
-        return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, n_words long, hit array<int>, items array<string>")
-
-    found = [pass_over(Index(block)) for block in blocks(items, item_key, item_text, most_words)] or [pass_over(Index([]))]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    flat = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return flat
+def sides(w: Words, doc: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, their places): the kept k-grams of the texts one after the other. Kept are all that are smallest in a
+    window of words, so that a shared window has a kept k-gram in common, at the same place in it."""
+    grams = w.runs(gram)
+    at = winnowed(grams, window - gram + 1)
+    at = at[doc[at] == doc[at + gram - 1]]
+    return grams[at], at
+
+
+def short(w: Words, k: int) -> np.ndarray:
+    """Fingerprints of all runs of k words, for items that are no longer; apart from those of k-grams and of other k."""
+    return mix(w.runs(k) + np.uint64(k))
+
+
+def identity(w: Words, at: int, k: int) -> tuple[int, int]:
+    """128 bits of hash of k words: two runs of words are taken as equal if these are."""
+    h = np.frombuffer(xxhash.xxh3_128_digest(w.text(at, k), 10), "<i8")
+    return int(h[0]), int(h[1])
+
+
+def pieces(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+    """(first row, rows, their words, the row of each word) of runs of texts."""
+    for a, n in _slices(column, most):
+        texts = [x.encode("utf-8", "surrogatepass") if x else b"" for x in column.slice(a, n).to_pylist()]
+        ends = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
+        w = Words(np.frombuffer(b" ".join([*texts, b""]), np.uint8))
+        yield a, n, w, np.searchsorted(ends, w.start, "right")
+
+
+def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(item, k, h1, h2, g): each window of each item, by its number of words and its hash, and its fingerprints: one row for
+    each kept k-gram in it. An item of fewer words than a window is one window, and its fingerprint is its own."""
+
+    def batches(it):
+        for batch in it:
+            cols: list[list] = [[], [], [], [], []]
+            for i, text in enumerate(batch.column(1)):
+                for *_, w, doc in pieces(pa.array([text.as_py()], pa.string())):
+                    n = len(w.hash)
+                    if not n:
+                        continue
+                    k = min(window, n)
+                    if k == window:
+                        g, at = sides(w, doc, window, gram)
+                        g = g.view(np.int64)
+                    for s in range(n - k + 1):
+                        own = g[np.searchsorted(at, s) : np.searchsorted(at, s + window - gram, "right")].tolist() if k == window else short(w, k).view(np.int64).tolist()
+                        h = identity(w, s, k)
+                        for x in own:
+                            for c, v in zip(cols, (batch.column(0)[i].as_py(), k, *h, x), strict=True):
+                                c.append(v)
+                        if len(cols[0]) >= ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                            cols = [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    names, kinds = ["item", "k", "h1", "h2", "g"], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    return items.mapInArrow(batches, "item string, k int, h1 long, h2 long, g long")
+
+
+def filter_of(prints: DataFrame, n: int) -> np.ndarray:
+    """A bit for each value that the upper bits of an item's fingerprint have. Its size follows from the number of
+    fingerprints and has a bound (2**FILTER_MOST bits), and so has what comes to the driver: a row for each 64 bits."""
+    bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_BITS * n).bit_length()))
+    slot = F.shiftrightunsigned(F.col("g"), 64 - bits)
+    rows = prints.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - bits}) & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def passes(filt: np.ndarray, g: np.ndarray) -> np.ndarray:
+    slot = g >> np.uint64(64 - (len(filt).bit_length() + 5))
+    return (filt[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def scanned(docs: DataFrame, filt: np.ndarray, lengths: list[int], window: int, gram: int) -> DataFrame:
+    """(row, key, n_words, prints): every row of docs (key, text) once, with the fingerprints of its text that pass the filter.
+
+    prints holds (g, place, ws): ws are the windows that a hit of g would extend to, as (start, k, h1, h2)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(filt)  # 2**FILTER_MOST bits at most
+    ws = pa.list_(pa.struct([("at", pa.int32()), ("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+    prints = pa.list_(pa.struct([("g", pa.int64()), ("ws", ws)]))
+
+    def batches(it):
+        f = shipped.value
+        for whole in it:
+            for a, n, w, doc in pieces(whole.column(2)):
+                n_words = np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, np.int64)
+                first = np.concatenate(([0], np.cumsum(n_words)))
+                out: dict[int, list] = {}
+                known: dict[int, tuple[int, int]] = {}
+                for k in lengths:
+                    if len(w.hash) < k:
+                        continue
+                    if k == window:
+                        g, at = sides(w, doc, window, gram)
+                    else:
+                        g = short(w, k)
+                        at = np.flatnonzero(doc[: len(g)] == doc[k - 1 :])
+                        g = g[at]
+                    live = passes(f, g)
+                    reach = window - gram if k == window else 0
+                    for x, i in zip(g[live].view(np.int64).tolist(), at[live].tolist()):
+                        d, own = int(doc[i]), []
+                        for s in range(max(int(first[d]), i - reach), min(i, int(first[d + 1]) - k) + 1):
+                            if k != window:
+                                h = identity(w, s, k)
+                            elif (h := known.get(s)) is None:
+                                h = known[s] = identity(w, s, k)
+                            own.append({"at": s - int(first[d]), "k": k, "h1": h[0], "h2": h[1]})
+                        if own:
+                            out.setdefault(d, []).append({"g": x, "ws": own})
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, n), whole.column(1).slice(a, n), pa.array(n_words, pa.int64()), pa.array([out.get(i, []) for i in range(n)], prints)], ["row", "key", "n_words", "prints"])
+        trim()
+
+    kind = dict(docs.dtypes)["key"]
+    return docs.select(F.monotonically_increasing_id().alias("row"), "key", "text").mapInArrow(batches, f"row long, key {kind}, n_words long, prints array<struct<g:long,ws:array<struct<at:int,k:int,h1:long,h2:long>>>>")
+
+
+def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(key, n_words, hit, items), one row for each row of docs: places of the words in any occurrence of an item's window, and
+    the items with one.
+
+    Kept k-grams of documents and items are joined by their hashes; what meets is extended to the windows around it, and those are
+    joined with the items' windows. Both joins are of tables, whatever the benchmark's size; a window that many items hold is
+    one row, and its items are listed once for all windows of the same items. A filter of bounded size, of the
+    benchmark's fingerprints, spares documents' fingerprints that could not meet any. Texts stay where they are.
+
+    Null and empty texts have no words; items of a null id hit words without a place in the list of items; an item that
+    repeats counts once, and rows of one id are one item. Rows count one by one, whether their key repeats or is null. Texts are
+    read whole, however long. A key named as one of the results gets an underscore behind its name; other columns take no
+    part. Empty tables of either kind hit nothing."""
+    own = items.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text"))
+    rows = keep(item_windows(own, window, gram).distinct())
+    prints = keep(rows.select("g").distinct())
+    lengths = sorted(r["k"] for r in rows.select("k").distinct().collect())  # window numbers at most
+    filt = filter_of(prints, prints.count())
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    scan = keep(scanned(named, filt, lengths, window, gram))
+    # a hit of a fingerprint, extended to the windows around it
+    cand = scan.where(F.size("prints") > 0).select("row", F.explode("prints").alias("p")).select("row", F.col("p.g").alias("g"), F.col("p.ws").alias("ws"))
+    near = cand.join(prints, "g").select("row", F.explode("ws").alias("w")).select("row", "w.*").distinct()
+    # windows of the same items have one set of them: the sums of two hashes of the ids, and how many they are
+    held = keep(rows.select("item", "h1", "h2").distinct())
+    ids = [F.sum(F.when(F.col("item").isNotNull(), F.xxhash64(F.lit(x), "item").cast("decimal(20,0)"))).alias(f"x{x}") for x in (1, 2)]
+    windows = keep(held.groupBy("h1", "h2").agg(F.count("item").alias("n"), *ids).withColumn("set", F.when(F.col("n") > 0, F.concat_ws(":", "n", "x1", "x2"))).select("h1", "h2", "set"))
+    one = windows.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("h1", "h2")).alias("w")).select("set", "w.*")
+    sets = keep(one.join(held.where("item IS NOT NULL"), ["h1", "h2"]).select("set", "item"))
+    found = keep(near.join(windows, ["h1", "h2"]).select("row", "at", "k", "set"))
+    places = found.groupBy("row").agg(F.collect_set(F.struct("at", "k")).alias("x"))
+    places = places.select("row", F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda w: F.sequence(w["at"], w["at"] + w["k"] - 1))))).alias("hit"))
+    which = found.where("set IS NOT NULL").select("row", "set").distinct().join(sets, "set").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    out = scan.select("row", "key", "n_words").join(keep(places.join(which, "row", "left")), "row", "left")
+    for x in (rows, prints, held, sets, windows, found):
+        drop_kept(x)
+    return out.select(F.col("key").alias(apart([key], ["n_words", "hit", "items"])[0]), "n_words", none("hit", "array<int>").alias("hit"), none("items", "array<string>").alias("items"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
