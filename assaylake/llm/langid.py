@@ -15,8 +15,10 @@ from .common import Ftrl, by_text, char_ngrams, fit_temperature, id_bucket, read
 #: most for each language and in all, passes over them, and characters of such a row's text that a step sees at once.
 ORDERS, BITS, PER_CLASS, MOST_ROWS, EPOCHS = (1, 2, 3), 15, 600, 6000, 2
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+#: Numerals that \d doesn't hold, such as fractions: no letters either.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_LETTER = re.compile(rf"[^\W\d_{_NUMERALS}]")
 
 
 def letters(text: str | None) -> str:
@@ -121,7 +123,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in carry, lang_pred and score of every row. Null, empty and letterless texts are 'und' with score 0."""
+    """The columns in carry, lang_pred and score of every row.
+
+    Null, empty and letterless texts are 'und' with score 0. Texts are read whole, however long. Of languages that are equally
+    likely the first in the alphabet counts. Repeated rows give a row each; an empty table gives none. A carried column named
+    lang_pred or score gets an underscore behind its name; other columns take no part."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 weights and inverse frequencies for each language, whatever the rows
 
     def of(texts: list[str | None]) -> dict:
