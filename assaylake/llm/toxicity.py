@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ftrl, by_text, char_ngrams, id_bucket, keep, read
+from .common import Ftrl, apart, by_text, char_ngrams, id_bucket, keep, read, trim
 
 #: Orders of the n-grams, log2 of the buckets they are hashed into, n-grams that the classifier keeps, labelled rows
 #: of each class that the ratios and that the weights are fitted on at most, and passes over the latter.
@@ -70,6 +70,7 @@ def class_counts(rows: DataFrame, text: str, label: str) -> tuple[DataFrame, tup
                 n[y, buckets(t.as_py())] += 1
                 rows[y] += 1
         at = np.flatnonzero(n.any(axis=0))
+        trim()
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1), pa.int32()), "n0": pa.array(np.append(n[0, at], rows[0]), pa.int64()), "n1": pa.array(np.append(n[1, at], rows[1]), pa.int64())})
 
     found = keep(rows.select(text, label).mapInArrow(batches, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
@@ -144,7 +145,9 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in carry and toxicity, the probability of label 1, of every row.
 
-    Only the text goes to Python, and only the probability comes back, whatever columns are carried."""
+    Only the text goes to Python, and only the probability comes back, whatever columns are carried. Null and empty texts
+    get the probability of the bias alone; texts are read whole, however long; repeated rows give a row each, and equal texts
+    one score; an empty table gives none. A carried column named toxicity gets an underscore behind its name."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     @F.arrow_udf("double")
@@ -152,9 +155,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
         m = shipped.value
         for batch in batches:
             yield pa.array([m.score(t.as_py()) for t in batch], pa.float64())
-        pa.default_memory_pool().release_unused()
+        trim()
 
-    return docs.select(*carry, of(text).alias("toxicity"))
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, apart(carry, ["toxicity"]), strict=True)), of(F.col(f"`{text}`")).alias("toxicity"))
 
 
 def trained(spark, sf_dir: str) -> Model:
