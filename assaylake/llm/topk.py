@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep, read
+from .common import drop_kept, keep, read, trim
 
-#: Vectors in a bucket, vectors of the greatest length that give the first thresholds, bytes of queries in a block, and
-#: the local cosine threshold from which on coordinates prune a bucket for a query; below, lengths do.
-BUCKET, SEEDS, BLOCK_BYTES, BY_COORDINATE, FOCUS = 1024, 2048, 8 << 20, 0.6, 3
+#: Vectors in a bucket and in a range of lengths, vectors of the greatest length that give the first thresholds, bytes of
+#: queries in a block, the local cosine threshold from which on coordinates prune a bucket for a query (below, lengths
+#: do), and the coordinates that are looked at then.
+BUCKET, RANGE, SEEDS, BLOCK_BYTES, BY_COORDINATE, FOCUS = 1024, 1 << 16, 2048, 8 << 20, 0.6, 3
 
 
 def scaled(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
     """(id, dim, norm2, v): v holds floor(scale * component) as bytes of 64-bit numbers, norm2 its squared length.
 
-    Rows with a null id or vector, or with a null or non-finite component, are left out."""
+    Rows with a null id or vector, or with a null or non-finite component, are left out. A number beyond 64 bits is an error."""
 
     def batches(it):
         for batch in it:
@@ -32,7 +33,9 @@ def scaled(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame
             for i in range(len(ids)):
                 x = values[offsets[i] : offsets[i + 1]]
                 if valid[i] and ids[i].is_valid and np.isfinite(x).all():
-                    v = np.clip(np.floor(x * scale), -(2.0**62), 2.0**62)
+                    v = np.floor(x * scale)
+                    if len(v) and not (-(2.0**63) <= v.min() and v.max() < 2.0**63):
+                        raise OverflowError(f"a component of {key} {ids[i]} times {scale} doesn't fit into 64 bits")
                     good[i], norms[i] = True, float(v @ v)
                     out.append(v.astype("<i8"))
             yield pa.RecordBatch.from_arrays(
@@ -40,35 +43,41 @@ def scaled(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame
                 ["id", "dim", "norm2", "v"],
             )
 
-    return vectors.select(F.col(key).cast("long"), vector).mapInArrow(batches, "id long, dim int, norm2 double, v binary")
+    return vectors.select(F.col(f"`{key}`").cast("long"), F.col(f"`{vector}`")).mapInArrow(batches, "id long, dim int, norm2 double, v binary")
 
 
 class Block:
     """Queries of one number of dimensions: their ids, numbers, lengths, and first thresholds."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
-        self.ids, self.v, self.k = ids, v, k
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray):
+        self.ids, self.v, self.k, self.floor = ids, v, k, floor
         self.length = np.sqrt((v.astype(float) ** 2).sum(axis=1))
-        self.floor = np.full(len(ids), -np.inf)
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point where no sum can pass 2**53, else in 64-bit numbers."""
+    """Exact inner products: in floating point where no sum can pass 2**53, in 64-bit numbers where none can pass 2**63 (as
+    those wrap, what lies between doesn't matter), else in whole numbers of any size; one beyond 64 bits is an error."""
     if not q.size or not v.size:
         return np.zeros((len(q), len(v)), np.int64)
     a, b = q.astype(float), v.astype(float)
-    if np.sqrt((a * a).sum(axis=1).max() * (b * b).sum(axis=1).max()) < 2.0**52:
+    most = np.sqrt((a * a).sum(axis=1).max() * (b * b).sum(axis=1).max())
+    if most < 2.0**52:
         return (a @ b.T).astype(np.int64)
-    return q @ v.T
+    if most < 2.0**62:
+        return q @ v.T
+    whole = q.astype(object) @ v.T.astype(object)
+    if any(not -(1 << 63) <= x < 1 << 63 for x in whole.ravel()):
+        raise OverflowError("an inner product doesn't fit into 64 bits")
+    return whole.astype(np.int64)
 
 
-def seed(block: Block, ids: np.ndarray, v: np.ndarray) -> None:
-    """Thresholds that a query's k-th best score can't fall below: the k-th best among the longest vectors."""
-    if len(ids) <= block.k:
-        return
-    s = products(block.v, v).astype(float)
-    s[block.ids[:, None] == ids[None, :]] = -np.inf
-    block.floor = np.partition(s, len(ids) - block.k, axis=1)[:, len(ids) - block.k]
+def first_thresholds(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """What a query's k-th best score can't fall below: the k-th best among the longest vectors. Ids are distinct."""
+    if len(ids) <= k:
+        return np.full(len(q), -np.inf)
+    s = products(q, v).astype(float)
+    s[q_ids[:, None] == ids[None, :]] = -np.inf
+    return np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
 
 
 class Search:
@@ -124,56 +133,119 @@ class Search:
                         self.add(q, s[good], ids[at[good]])
 
 
-def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], key: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
+def grouped(it: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Runs of rows that are equal in the first n columns (numbers), with those; a group may come in several runs."""
+    for batch in it:
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                yield tuple(keys[:, x].tolist()), batch.slice(x, y - x)
+
+
+def numbers(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), "<i8").reshape(len(column), dim)
+
+
+def with_thresholds(rows: DataFrame, k: int) -> DataFrame:
+    """(dim, block, id, v, floor) of the queries in rows (dim, block, tag, id, v): of each block, first come the longest vectors
+    (tag 0), then its queries (tag 1)."""
+
+    def batches(it):
+        now, longest, ids, v = None, {}, None, None
+        for key, part in grouped(it, 3):
+            dim, block, tag = key
+            if (dim, block) != now:
+                now, longest, ids = (dim, block), {}, None
+            if tag == 0:
+                longest.update(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True))
+                continue
+            if ids is None:
+                ids, v = np.array(list(longest), np.int64), np.frombuffer(b"".join(longest.values()), "<i8").reshape(len(longest), dim)
+            for at in range(0, part.num_rows, BUCKET):
+                own = part.slice(at, BUCKET)
+                floor = first_thresholds(own.column(3).to_numpy(), numbers(own.column(4), dim), ids, v, k)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), own.column(4), pa.array(floor)], ["dim", "block", "id", "v", "floor"])
+        trim()
+
+    return rows.mapInArrow(batches, "dim int, block int, id long, v binary, floor double")
+
+
+def searched(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k in each range for each query of each block, from rows (dim, part, block, tag,
+    id, v, x): of each range and block, first come the queries (tag 0, x the threshold), then the vectors (tag 1, x the
+    squared length) in order of falling length. A task holds one block of queries and one bucket of vectors."""
+
+    def batches(it):
+        now, ids, vs, floors, search = None, [], [], [], None
+
+        def best():
+            rows = [(int(search.b.ids[q]), i, -s) for q, found in enumerate(search.found) for s, i in found] if search else []
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+
+        for key, part in grouped(it, 4):
+            dim, _, _, tag = key
+            if key[:3] != now:
+                yield best()
+                now, ids, vs, floors, search = key[:3], [], [], [], None
+            if tag == 0:
+                ids.append(part.column(4).to_numpy())
+                vs.append(numbers(part.column(5), dim))
+                floors.append(part.column(6).to_numpy())
+                continue
+            if search is None and ids:
+                search = Search(Block(np.concatenate(ids), np.concatenate(vs), k, np.concatenate(floors)))
+            if search is not None:
+                for at in range(0, part.num_rows, BUCKET):
+                    own = part.slice(at, BUCKET)
+                    search.bucket(own.column(4).to_numpy(), numbers(own.column(5), dim), np.sqrt(own.column(6).to_numpy()))
+        yield best()
+        trim()
+
+    return rows.mapInArrow(batches, "query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], key: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0, block_bytes: int = BLOCK_BYTES, range_rows: int = RANGE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest (is_query tells by the id) inner products with the other rows, ties to smaller ids.
 
-    Vectors are dealt by ranges of their length, the id parting ties, so that a partition holds vectors of like length however many
-    are equal; within one, buckets of BUCKET vectors are pruned and searched. Queries go to the partitions in
-    blocks of BLOCK_BYTES. Each block first gets thresholds from the SEEDS longest vectors. A partition returns k rows of a
-    query at most, and the best k of those are taken.
+    Vectors are dealt by ranges of their length, the id parting ties, so that a range holds vectors of like length however many
+    are equal; within one, buckets of BUCKET vectors are pruned and searched. Queries are dealt into blocks of block_bytes.
+    Each block first gets thresholds from the SEEDS longest vectors. A block and a range meet in one task, as rows that are
+    sorted by block and range, unless no vector of the range is long enough for any threshold of the block. What comes
+    to the driver is the number of rows. A range returns k rows of a query at most, and the best k of those are taken.
 
     Vectors that are null or hold null or non-finite components, and null ids, take no part. Rows that repeat an id count
     once for each score they have; an id with several vectors is a query with the smallest. Only vectors of equal numbers of
-    dimensions are compared."""
+    dimensions are compared. A component or score beyond 64 bits is an error. Empty tables give no row, and names of other columns
+    don't matter."""
     spark = vectors.sparkSession
-    base = keep(scaled(vectors, key, vector, scale).repartitionByRange("norm2", "id").sortWithinPartitions(F.desc("norm2"), "id", "v"))
-    queries = base.where(is_query(F.col("id")))
-    sizes = queries.groupBy("dim").count().collect()
-    out = None
-    for row in sizes:
-        dim = row["dim"]
-        n_blocks = max(1, -(-row["count"] * max(1, dim) * 8 // BLOCK_BYTES))
-        own = base.where(F.col("dim") == dim)
-        top = own.orderBy(F.desc("norm2"), "id", "v").limit(SEEDS).select("id", "v").collect()
-        top = sorted({r["id"]: bytes(r["v"]) for r in top}.items())  # an id once, else its copies would lift the threshold
-        top_ids, top_v = np.array([r[0] for r in top], np.int64), np.frombuffer(b"".join(r[1] for r in top), "<i8").reshape(len(top), dim)
-        for i in range(n_blocks):
-            part = queries.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)).groupBy("id").agg(F.min("v").alias("v")).collect()
-            block = Block(np.array([r["id"] for r in part], np.int64), np.frombuffer(b"".join(bytes(r["v"]) for r in part), "<i8").reshape(len(part), dim), k)
-            seed(block, top_ids, top_v)
-            found = _search(own, spark.sparkContext.broadcast(block), dim)  # BLOCK_BYTES at most
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n = vectors.count()
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-n // range_rows), min(few, -(-n // (4 * BUCKET))))
+    base = keep(scaled(vectors, key, vector, scale).repartitionByRange(ranges, "dim", "norm2", "id").withColumn("part", F.spark_partition_id()))
+    queries = base.where(is_query(F.col("id"))).groupBy("dim", "id").agg(F.min("v").alias("v"))
+    n_blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") * 8 / F.lit(block_bytes)).cast("int").alias("of"))
+    dealt = queries.join(n_blocks, "dim").select("dim", F.pmod(F.xxhash64("id"), F.greatest("of", F.lit(1))).cast("int").alias("block"), "id", "v")
+    dealt = keep(dealt)
+    place = W.partitionBy("dim").orderBy(F.desc("norm2"), "id", "v")
+    longest = base.select("dim", "norm2", "id", "v", F.row_number().over(place).alias("n")).where(F.col("n") <= SEEDS)
+    longest = longest.join(dealt.select("dim", "block").distinct(), "dim").select("dim", "block", F.lit(0).alias("tag"), "id", "v")
+    order = ["dim", "block", "tag", "id", "v"]
+    seeded = keep(with_thresholds(longest.unionByName(dealt.select("dim", "block", F.lit(1).alias("tag"), "id", "v")).repartition("dim", "block").sortWithinPartitions(*order), k))
+    # a block can reach a range if the least length that some threshold of it asks for is in there
+    lengths = base.groupBy("dim", "part").agg(F.max("norm2").alias("longest"))
+    own = base.where(is_query(F.col("id"))).groupBy("dim", "id").agg(F.max("norm2").alias("norm2"))
+    asks = F.when(F.col("floor") > 0, F.col("floor") / F.sqrt("norm2")).otherwise(F.lit(0.0))
+    need = seeded.join(own, ["dim", "id"]).groupBy("dim", "block").agg(F.min(asks).alias("need"))
+    meet = keep(need.join(lengths, "dim").where(F.sqrt("longest") >= F.col("need") * F.lit(1 - 1e-9)).select("dim", "block", "part"))
+    asked = seeded.join(meet, ["dim", "block"]).select("dim", "part", "block", F.lit(0).alias("tag"), "id", "v", F.col("floor").alias("x"))
+    held = base.join(meet, ["dim", "part"]).select("dim", "part", "block", F.lit(1).alias("tag"), "id", "v", F.col("norm2").alias("x"))
+    rows = asked.unionByName(held).repartition("dim", "part", "block").sortWithinPartitions("dim", "part", "block", "tag", F.desc("x"), "id", "v")
+    out = keep(searched(rows, k).distinct())
+    for x in (base, dealt, seeded, meet):
+        drop_kept(x)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _search(own: DataFrame, shipped, dim: int) -> DataFrame:
-    def batches(it):
-        search = Search(shipped.value)
-        for batch in it:
-            ids = batch.column(0).to_numpy()
-            v = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), "<i8").reshape(len(ids), dim)
-            length = np.sqrt(batch.column(1).to_numpy())
-            order = np.argsort(-length, kind="stable")  # a read partition may hold several written ones
-            for at in range(0, len(ids), BUCKET):
-                part = order[at : at + BUCKET]
-                search.bucket(ids[part], v[part], length[part])
-        rows = [(int(search.b.ids[q]), i, -s) for q, best in enumerate(search.found) for s, i in best]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    return own.select("id", "norm2", "v").mapInArrow(batches, "query_id long, vec_id long, score long")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
