@@ -8,30 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep, read
+from .common import apart, drop_kept, keep, read
 
-#: Hexadecimal digits of an MD5 that make the uniform draw, and the number of values they have.
-DIGITS, SPAN = 13, 16**13
+def key_hash(key: Column) -> Column:
+    """XXH64 (seed 42) of the key's text; no session setting takes part. It is taken once for a row."""
+    return F.xxhash64(F.coalesce(key.cast("string"), F.lit("null")))
 
 
-def draw(key: Column, shard: int) -> Column:
-    """A number in (0, 1) that the key's text and the shard decide; no session setting takes part."""
-    text = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{shard}"))
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(SPAN))
+def draw(h: Column, shard: int) -> Column:
+    """A number in (0, 1) that the key's hash and the shard decide: the upper 53 bits of XXH64 of both."""
+    return (F.shiftrightunsigned(F.xxhash64(h, F.lit(shard).cast("long")), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def cost(key: Column, shard: int, weight: float) -> Column:
+def cost(h: Column, shard: int, weight: float) -> Column:
     """-ln(draw) / weight: the shard of the smallest cost wins, so that a shard gets its weight's share of the keys."""
-    return -F.ln(draw(key, shard)) / F.lit(float(weight))
+    return -F.ln(draw(h, shard)) / F.lit(float(weight))
 
 
-def choose(key: Column, weights: Sequence[float]) -> Column:
+def choose(h: Column, weights: Sequence[float]) -> Column:
     """The winning shard. Shards of no weight get nothing; a tie goes to the smaller number. Taking a shard away or adding
     one leaves the other shards' costs as they are, so only keys that the shard loses or wins move."""
     live = [(i, w) for i, w in enumerate(weights) if w > 0]
     if not live:
         raise ValueError("no shard has a weight")
-    return F.array_min(F.array(*[F.struct(cost(key, i, w).alias("c"), F.lit(i).alias("s")) for i, w in live]))["s"]
+    return F.array_min(F.array(*[F.struct(cost(h, i, w).alias("c"), F.lit(i).alias("s")) for i, w in live]))["s"]
 
 
 def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, order: Sequence[str] = ()) -> DataFrame:
@@ -41,23 +41,27 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[fl
     dealt by ranges of (shard, key, order, place in the input), so neither a large shard nor a repeated key meets in one
     task; each range counts its own rows, and the small table of counts (a few rows for each range) gives the offsets.
 
-    A null key is placed as the text "null" would be; repeated rows get slots of their own; an empty table gives no row.
-    The names shard, slot, grown_shard, _c, _row, _at and _part must not be among df's own columns.
+    A null key is placed as the text "null" would be; repeated rows get slots of their own; texts and other columns pass
+    through whole; an empty table gives no row. A column of df named shard, slot, grown_shard or as one of the operator's own
+    (_h, _row, _at, _part, _shift) gets an underscore behind its name.
     """
-    k = F.col(key)
-    # one pass over the costs: the winner, and then the winner among the grown set
-    placed = df.withColumn("_c", choose(k, weights)).withColumnRenamed("_c", "shard")
-    placed = placed.withColumn("grown_shard", choose(k, grown)) if grown is not None else placed.withColumn("grown_shard", F.lit(None).cast("int"))
+    names = apart(df.columns, ["shard", "slot", "grown_shard", "_h", "_row", "_at", "_part", "_shift"])
+    now = dict(zip(df.columns, names, strict=True))
+    key, order = now[key], [now[x] for x in order]
+    placed = df.toDF(*names).withColumn("_h", key_hash(F.col(f"`{key}`"))).withColumn("shard", choose(F.col("_h"), weights))
+    placed = placed.withColumn("grown_shard", choose(F.col("_h"), grown) if grown is not None else F.lit(None).cast("int"))
+    # written before it is dealt by ranges, which reads it twice: for the bounds and for the rows
+    placed = keep(placed.drop("_h").withColumn("_row", F.monotonically_increasing_id()))
     by = ["shard", key, *order, "_row"]
-    ranged = placed.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_row")
-    ranged = keep(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    ranged = keep(placed.repartitionByRange(*(F.col(f"`{c}`") for c in by)).sortWithinPartitions(*(F.col(f"`{c}`") for c in by)).drop("_row").withColumn("_at", F.monotonically_increasing_id()))
+    drop_kept(placed)
     # the upper bits of the id are the partition, the lower 33 the row in it
     ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
     runs = ranged.groupBy("_part", "shard").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select("_part", "shard", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     # a row for each range and shard in it: as many as ranges and shards together, whatever the rows
-    return ranged.join(F.broadcast(runs), ["_part", "shard"]).withColumn("slot", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+    return ranged.join(F.broadcast(runs), ["_part", "shard"]).withColumn("slot", F.col("_at") + F.col("_shift")).select(*(f"`{c}`" for c in names), "shard", "grown_shard", "slot")
 
 
 N_SHARDS = 40
