@@ -101,8 +101,10 @@ def test_winnow_equals_plain(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = [(str(r.doc_id), r.n_words, r.hit, r["items"]) for r in winnow.hits(docs, bench).collect()]
     assert sorted(got) == sorted(want)
-    many = {(str(r.doc_id), r.n_words, tuple(r.hit), tuple(r["items"])) for r in winnow.hits(docs, bench, most_words=5).collect()}
-    assert many == {(a, b, tuple(c), tuple(d)) for a, b, c, d in want}
+    clash = docs.select(F.col("doc_id").alias("hit"), F.col("text").alias("n_words"))
+    again = winnow.hits(clash, bench, key="hit", text="n_words")
+    assert again.columns == ["hit_", "n_words", "hit", "items"] and sorted((str(r[0]), *r[1:]) for r in again.collect()) == sorted(want)
+    assert winnow.hits(docs.where("false"), bench).count() == 0
     assert all(r.hit == [] for r in winnow.hits(docs, bench.where("false")).collect())
 
 
@@ -140,6 +142,18 @@ def test_top_k(spark):
     want = {q: sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5] for q in good if q % 50 == 0}
     got = topk.top_k(spark.createDataFrame(vs, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0)
     assert sorted((x.query_id, x["rank"], -x.score, x.vec_id) for x in got.collect()) == sorted((q, k + 1, *b) for q, best in want.items() for k, b in enumerate(best))
+    plane = [(1000 + i, [float(x) for x in r.normal(size=3)]) for i in range(120)]  # another number of dimensions, and small blocks and ranges
+    two = spark.createDataFrame([*vs, *plane], "vec_id long, embedding array<double>")
+    small = {i: np.floor(256 * np.array(v)).astype(int) for i, v in plane}
+    want |= {q: sorted((-int(small[q] @ v), i) for i, v in small.items() if i != q)[:5] for q in small if q % 50 == 0}
+    got = topk.top_k(two, lambda i: i % 50 == 0, block_bytes=128, range_rows=16)
+    assert sorted((x.query_id, x["rank"], -x.score, x.vec_id) for x in got.collect()) == sorted((q, k + 1, *b) for q, best in want.items() for k, b in enumerate(best))
+    big = [(0, [2.0**21, 1.0]), (1, [2.0**21, 3.0]), (2, [-(2.0**21), 5.0])]
+    got = topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), lambda i: i == 0)
+    assert [(x.vec_id, x.score) for x in got.orderBy("rank").collect()] == [(1, 2**58 + 3 * 2**16), (2, -(2**58) + 5 * 2**16)]
+    for far in ([1e30], [2.0**40]):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(spark.createDataFrame([(0, far), (1, far)], "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 50 == 0).count() == 0
 
 
