@@ -194,8 +194,8 @@ class Lockstep:
         """The bytes of each segment's ids, as 32-bit numbers."""
         out: dict[str, bytes] = {}
         segments = sorted(segments, key=len, reverse=True)
-        for at in range(0, len(segments), 1 << 15):
-            part = segments[at : at + (1 << 15)]
+        for at in range(0, len(segments), 1 << 14):
+            part = segments[at : at + (1 << 14)]
             out.update(zip(part, self._segment(part), strict=True))
         return out
 
@@ -257,8 +257,11 @@ def coder(vocabulary: Vocabulary) -> Coder:
 
 
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in carry, ids, n_pieces, and round_trip: whether the ids decode to the text. Null texts have null
-    ids, no pieces and a null round_trip; empty texts have empty ids."""
+    """The columns in carry, ids, n_pieces, and round_trip: whether the ids decode to the text.
+
+    Null texts have null ids, no pieces and a null round_trip; empty texts have empty ids. Texts are coded whole, however long;
+    of equally good segmentations each position prefers its longest last piece; repeated rows give a row each; an empty table
+    gives none. A carried column named as a result gets an underscore behind its name."""
     shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model or default_model()))  # the model's pieces, whatever the rows
 
     def of(texts: list[str | None]) -> dict:
@@ -270,7 +273,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", carry:
             "round_trip": pa.array([None if t is None else c.decode(i) == t for t, i in zip(texts, ids, strict=True)], pa.bool_()),
         }
 
-    return by_text(docs, of, "ids array<int>, n_pieces long, round_trip boolean", text, carry)
+    return by_text(docs, of, "ids array<int>, n_pieces long, round_trip boolean", text, carry, 2 << 20)
 
 
 def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
