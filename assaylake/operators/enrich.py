@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def over_representation(every: DataFrame, hit: DataFrame, members: DataFrame) -> DataFrame:
@@ -37,17 +38,26 @@ def raise_zeros(t: DataFrame, value: str) -> DataFrame:
 
 
 def permuted(every: DataFrame, hit: DataFrame, members: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
-    """gene_set, n, r, p: the share of rounds in which a random list as long as hit selects r or more of the set.
-
-    A round's list is made by hash: an element is drawn by (seed, round, element), and a round takes those below the hash
-    that cuts off the list's share of all elements. Its length varies around that of hit; no round is sorted, and what is
-    shuffled are counts by set and round."""
-    counts = set_counts(every, hit, members)
-    share = every.agg(F.count("*").alias("_tn")).join(F.broadcast(hit.agg(F.count("*").alias("_tr")))).select((F.col("_tr") / F.col("_tn")).alias("_share"))
-    drawn = every.join(members, "element").join(F.broadcast(share)).withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = (F.xxhash64(F.lit(seed), "_round", "element") / F.lit(2.0**64)) + 0.5
-    null = drawn.groupBy("gene_set", "_round").agg(F.count_if(u < F.col("_share")).alias("_x"))
-    return counts.join(null, "gene_set").groupBy("gene_set", "n", "r").agg((F.count_if(F.col("_x") >= F.col("r")) / F.lit(float(rounds))).alias("p"))
+    """gene_set, n, r, z, p: the share of rounds in which a random list exactly as long as hit gives a set a z as far from 0.
+
+    A round's list is the elements of the smallest hashes of (seed, round, element). Rows are an element's in a round; only
+    drawn ones meet the members, and a set that no list meets in a round has r = 0 there."""
+    own = over_representation(every, hit, members)
+    sizes = set_counts(every, hit, members).select("gene_set", "n", "r", "tn", "tr")
+    k = hit.agg(F.count("*").alias("_tr"))
+    turn = every.select("element", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round"))
+    order = W.partitionBy("_round").orderBy(F.xxhash64(F.lit(seed), "_round", "element"), "element")
+    drawn = turn.withColumn("_k", F.row_number().over(order)).join(F.broadcast(k)).where("_k <= _tr").select("element", "_round")
+    met = drawn.join(members, "element").groupBy("gene_set", "_round").agg(F.count("*").alias("_x"))
+    tally = met.groupBy("gene_set", "_x").agg(F.count("*").alias("_rounds"))
+    seen = tally.groupBy("gene_set").agg(F.sum("_rounds").alias("_seen"))
+    zero = sizes.join(seen, "gene_set", "left").select("gene_set", F.lit(0).cast("long").alias("_x"), (F.lit(rounds) - F.coalesce("_seen", F.lit(0))).alias("_rounds"))
+    n, x, tn = F.col("n"), F.col("_x"), F.col("tn")
+    share = F.col("tr") / tn
+    z = F.try_divide(x - n * share, F.sqrt(n * share * (1 - share) * (1 - (n - 1.0) / (tn - 1.0))))
+    every_z = tally.unionByName(zero).join(sizes.drop("r"), "gene_set").withColumn("_z", z)
+    far = own.join(every_z.select("gene_set", "_z", "_rounds"), "gene_set").groupBy("gene_set", own["n"], "r", "z")
+    return far.agg((F.sum(F.when(F.abs("_z") >= F.abs("z") - 1e-9, F.col("_rounds")).otherwise(0)) / F.lit(float(rounds))).alias("p"))
 
 
 def redundant(members: DataFrame, least: float) -> DataFrame:

@@ -10,78 +10,144 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import tails
-from assaylake.operators.stats import _two, average_rank
+from assaylake.operators.stats import _two, average_rank, step_up, tie_share
 
 
 def paired_t(pairs: DataFrame) -> DataFrame:
-    """(feature, a, b): n, mean difference, and t of the differences."""
+    """(feature, a, b): n, mean difference, t of the differences, and its two-sided p."""
     d = F.col("a") - F.col("b")
     s = pairs.groupBy("feature").agg(F.count(d).alias("n"), F.avg(d).alias("diff"), F.stddev_samp(d).alias("sd")).where("n > 1")
-    return s.select("feature", "n", "diff", F.when(F.col("sd") > 0, F.col("diff") / (F.col("sd") / F.sqrt("n"))).alias("t"))
+    s = s.select("feature", "n", "diff", F.when(F.col("sd") > 0, F.col("diff") / (F.col("sd") / F.sqrt("n"))).alias("t"))
+    return s.withColumn("p", tails.t_two_sided(F.col("t"), F.col("n") - 1))
 
 
 def signed_rank(pairs: DataFrame) -> DataFrame:
-    """Wilcoxon's sums of the ranks of |a - b|, zeros left out, of rises and of falls; w is the smaller."""
+    """Wilcoxon's sums of the ranks of |a - b|, zeros left out, of rises and of falls; w is the smaller,
+    z its distance from what chance gives, p the two-sided one."""
     d = pairs.select("feature", (F.col("a") - F.col("b")).alias("d")).where("d != 0").withColumn("m", F.abs("d"))
     r = average_rank(d, ["feature"], "m", "rk")
     s = r.groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rk")).otherwise(0.0)).alias("down"))
-    return s.withColumn("w", F.least("up", "down"))
+    n = F.col("n").cast("double")
+    s = s.withColumn("w", F.least("up", "down")).withColumn("z", F.abs(F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+    return s.withColumn("p", tails.normal_two_sided(F.col("z")))
 
 
 def sign_test(pairs: DataFrame) -> DataFrame:
-    """z of the number of rises among the pairs that differ."""
+    """z of the number of rises among the pairs that differ, and the two-sided p."""
     s = pairs.where("a != b").groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("a") > F.col("b")).alias("up"))
-    return s.select("feature", "n", "up", ((F.col("up") - F.col("n") / 2) / (F.sqrt("n") / 2)).alias("z"))
+    s = s.select("feature", "n", "up", ((F.col("up") - F.col("n") / 2) / (F.sqrt("n") / 2)).alias("z"))
+    return s.withColumn("p", tails.normal_two_sided(F.col("z")))
 
 
 def rank_sums(m: DataFrame, one: str, two: str) -> DataFrame:
-    """z of the first group's rank sum, with the variance of both group sizes."""
+    """z of the first group's rank sum, with the variance of both group sizes, and the two-sided p."""
     r = average_rank(m.where(F.col("grp").isin(one, two)), ["feature"], "value", "rk")
     s = r.groupBy("feature").agg(F.count_if(F.col("grp") == one).alias("n1"), F.count_if(F.col("grp") == two).alias("n2"), F.sum(F.when(F.col("grp") == one, F.col("rk"))).alias("r1")).where("n1 > 0 AND n2 > 0")
     n1, n2 = F.col("n1"), F.col("n2")
-    return s.select("feature", ((F.col("r1") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
+    s = s.select("feature", ((F.col("r1") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
+    return s.withColumn("p", tails.normal_two_sided(F.col("z")))
 
 
 def ks_two_sample(m: DataFrame, one: str, two: str) -> DataFrame:
-    """The largest distance of the two groups' distribution functions. Values are counted before they are ordered."""
+    """The largest distance of the two groups' distribution functions, and its p by Kolmogorov's distribution. Values are counted before they are ordered."""
     c = m.where(F.col("grp").isin(one, two)).groupBy("feature", "value").agg(F.count_if(F.col("grp") == one).alias("c1"), F.count_if(F.col("grp") == two).alias("c2"))
     w, every = W.partitionBy("feature").orderBy("value"), W.partitionBy("feature")
     s = c.select("feature", F.sum("c1").over(w).alias("s1"), F.sum("c2").over(w).alias("s2"), F.sum("c1").over(every).alias("n1"), F.sum("c2").over(every).alias("n2"))
-    return s.where("n1 > 0 AND n2 > 0").groupBy("feature").agg(F.max(F.abs(F.col("s1") / F.col("n1") - F.col("s2") / F.col("n2"))).alias("d"))
+    s = s.where("n1 > 0 AND n2 > 0").groupBy("feature").agg(F.max(F.abs(F.col("s1") / F.col("n1") - F.col("s2") / F.col("n2"))).alias("d"), F.max(F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))).alias("en"))
+    return s.select("feature", "d", tails.kolmogorov_tail((F.col("en") + 0.12 + F.lit(0.11) / F.col("en")) * F.col("d")).alias("p"))
 
 
 def variance_ratio(m: DataFrame, one: str, two: str) -> DataFrame:
-    v = [F.var_samp(F.when(F.col("grp") == g, F.col("value"))) for g in (one, two)]
-    s = m.where(F.col("grp").isin(one, two)).groupBy("feature").agg(v[0].alias("v1"), v[1].alias("v2"))
-    return s.where("v1 IS NOT NULL AND v2 > 0").select("feature", (F.col("v1") / F.col("v2")).alias("f"))
+    """The ratio of the two groups' variances, and the chance of a larger one."""
+    s = _two(m, one, two).where("v2 > 0").select("feature", "n1", "n2", (F.col("v1") / F.col("v2")).alias("f"))
+    return s.select("feature", "f", tails.f_tail(F.col("f"), F.col("n1") - 1, F.col("n2") - 1).alias("p"))
+
+
+def r_probability(r: Column, n: Column) -> Column:
+    """The two-sided p of a correlation of n pairs; 0 for one of 1 or -1."""
+    df = (n - 2).cast("double")
+    rest = 1 - r * r
+    return F.when(rest <= 0, 0.0).otherwise(tails.t_two_sided(r * F.sqrt(df / rest), df))
+
+
+def pearson(xy: DataFrame) -> DataFrame:
+    """(feature, x, y): Pearson's r and its two-sided p; both null where x or y doesn't vary."""
+    s = xy.where("x IS NOT NULL AND y IS NOT NULL").groupBy("feature").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).where("n > 2")
+    s = s.withColumn("r", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))))
+    return s.select("feature", "r", r_probability(F.col("r"), F.col("n")).alias("p"))
+
+
+def point_biserial(m: DataFrame, one: str, two: str) -> DataFrame:
+    """The correlation of a value with being in the second group rather than the first, and its two-sided p."""
+    g = m.where(F.col("grp").isin(one, two) & F.col("value").isNotNull()).select("feature", F.col("value").alias("x"), F.when(F.col("grp") == two, 1.0).otherwise(0.0).alias("y"))
+    return pearson(g)
+
+
+def friedman(blocks: DataFrame) -> DataFrame:
+    """(feature, block, grp, value), one value of each group in a block: Friedman's chi-square of ranks within blocks, corrected
+    for ties, and its p. Only blocks with all groups of the feature count."""
+    k = blocks.groupBy("feature").agg(F.countDistinct("grp").alias("k"))
+    own = blocks.where("value IS NOT NULL").withColumn("_n", F.count("*").over(W.partitionBy("feature", "block"))).join(k, "feature").where("_n = k AND k > 1")
+    r = average_rank(own, ["feature", "block"], "value", "rk").withColumn("_tie", tie_share("rk", "value", ["feature", "block"]))
+    g = r.groupBy("feature", "grp", "k").agg(F.count("*").alias("n"), F.sum("rk").alias("rs"), F.sum("_tie").alias("tie"))
+    s = g.groupBy("feature", "k").agg(F.max("n").cast("double").alias("n"), F.sum(F.col("rs") * F.col("rs")).alias("s"), F.sum("tie").alias("tie"))
+    k, n = F.col("k").cast("double"), F.col("n")
+    share = 1 - F.col("tie") / (n * (k * k * k - k))
+    s = s.withColumn("chi2", F.when(share > 0, (F.lit(12.0) / (n * k * (k + 1)) * F.col("s") - 3 * n * (k + 1)) / share).otherwise(0.0))
+    return s.select("feature", F.greatest("chi2", F.lit(0.0)).alias("chi2"), tails.chi_square_tail(F.greatest("chi2", F.lit(0.0)), k - 1).alias("p"))
+
+
+def cochran_q(blocks: DataFrame) -> DataFrame:
+    """(feature, block, grp, value of 0 or 1): Cochran's Q of the groups' shares, and its p. Only blocks with all groups of the
+    feature count."""
+    k = blocks.groupBy("feature").agg(F.countDistinct("grp").alias("k"))
+    own = blocks.where("value IS NOT NULL").withColumn("_n", F.count("*").over(W.partitionBy("feature", "block"))).join(k, "feature").where("_n = k AND k > 1")
+    row = F.sum("value").over(W.partitionBy("feature", "block"))
+    g = own.withColumn("_row", row.cast("double")).groupBy("feature", "grp", "k").agg(F.sum("value").cast("double").alias("c"), F.sum(F.col("_row") * F.col("_row") / F.col("k")).alias("r2"))
+    s = g.groupBy("feature", "k").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.sum("r2").alias("r2"))
+    k = F.col("k").cast("double")
+    q = F.try_divide((k - 1) * (k * F.col("c2") - F.col("t") * F.col("t")), k * F.col("t") - F.col("r2"))
+    return s.withColumn("q", q).select("feature", "q", tails.chi_square_tail(F.col("q"), k - 1).alias("p"))
+
+
+def one_sample_t(m: DataFrame, mean: float) -> DataFrame:
+    """t of a feature's mean against a given one, and the two-sided p; and the chi-square of its variance against 1."""
+    s = m.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("sd")).where("n > 1")
+    t = F.when(F.col("sd") > 0, (F.col("m") - mean) / (F.col("sd") / F.sqrt("n")))
+    s = s.select("feature", "n", t.alias("t"), ((F.col("n") - 1) * F.col("sd") * F.col("sd")).alias("variance_chi2"))
+    return s.withColumn("p", tails.t_two_sided(F.col("t"), F.col("n") - 1))
 
 
 def spearman(xy: DataFrame) -> DataFrame:
-    """(feature, x, y): Pearson's r of the average ranks."""
+    """(feature, x, y): Pearson's r of the average ranks, and its two-sided p."""
     r = average_rank(average_rank(xy, ["feature"], "x", "rx"), ["feature"], "y", "ry")
-    return r.groupBy("feature").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).where("n > 2").select("feature", F.nanvl("rho", F.lit(None).cast("double")).alias("rho"))
+    r = r.groupBy("feature").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).where("n > 2").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
+    return r.select("feature", "rho", r_probability(F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0)), F.col("n")).alias("p"))
 
 
 def kendall_tau(xy: DataFrame) -> DataFrame:
-    """tau-b from the cells of equal (x, y): rows are counted into cells first, so the pairs met are pairs of cells."""
+    """tau-b, its z and two-sided p, from the cells of equal (x, y): rows are counted into cells first, so the pairs met are pairs of cells."""
     c = xy.where("x IS NOT NULL AND y IS NOT NULL").groupBy("feature", "x", "y").agg(F.count("*").cast("double").alias("c"))
     o = c.select("feature", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("c").alias("c2"))
     both = F.col("c") * F.col("c2")
     s = c.join(o, "feature").groupBy("feature").agg(
         F.sum(both * F.signum((F.col("x") - F.col("x2")).cast("double")) * F.signum((F.col("y") - F.col("y2")).cast("double"))).alias("s"),
         F.sum(F.when(F.col("x") != F.col("x2"), both).otherwise(0.0)).alias("dx"),
-        F.sum(F.when(F.col("y") != F.col("y2"), both).otherwise(0.0)).alias("dy"),
+        F.sum(F.when(F.col("y") != F.col("y2"), both).otherwise(0.0)).alias("dy"), F.sum(both).alias("nn"),
     )
-    return s.select("feature", F.when((F.col("dx") > 0) & (F.col("dy") > 0), F.col("s") / F.sqrt(F.col("dx") * F.col("dy"))).alias("tau"))
+    n = F.sqrt("nn")
+    s = s.select("feature", F.when((F.col("dx") > 0) & (F.col("dy") > 0), F.col("s") / F.sqrt(F.col("dx") * F.col("dy"))).alias("tau"), n.alias("n"))
+    s = s.withColumn("z", F.col("tau") / F.sqrt((4 * F.col("n") + 10) / (9 * F.col("n") * (F.col("n") - 1))))
+    return s.select("feature", "tau", "z", tails.normal_two_sided(F.col("z")).alias("p"))
 
 
 def chi_square(x: DataFrame, row: str, col: str) -> DataFrame:
-    """(feature, row, col): the statistic of independence and its degrees of freedom."""
+    """(feature, row, col): the statistic of independence, its degrees of freedom, and p."""
     c = x.groupBy("feature", row, col).agg(F.count("*").cast("double").alias("c"))
     f = W.partitionBy("feature")
     c = c.select("feature", row, col, "c", F.sum("c").over(f).alias("n"), F.sum("c").over(W.partitionBy("feature", row)).alias("r"), F.sum("c").over(W.partitionBy("feature", col)).alias("k"))
     s = c.groupBy("feature").agg((F.first("n") * (F.sum(F.col("c") * F.col("c") / (F.col("r") * F.col("k"))) - 1)).alias("chi2"), ((F.countDistinct(row) - 1) * (F.countDistinct(col) - 1)).alias("df"))
-    return s.select("feature", "chi2", "df")
+    return s.select("feature", "chi2", "df", tails.chi_square_tail(F.greatest("chi2", F.lit(0.0)), F.col("df")).alias("p"))
 
 
 def ln_choose(n: Column, k: Column) -> Column:
@@ -117,21 +183,19 @@ def step_up_by(p: DataFrame, by: str, key: str, value: str) -> DataFrame:
 
 
 def storey_pi0(p: DataFrame, value: str) -> float:
-    """The share of true nulls: counts over p >= lambda on the grid 0 to 0.89 come from one aggregation, a cubic through
-    them is read at its end. Fewer than 100 values: 1."""
-    grid = [i / 100 for i in range(90)]
-    row = p.where(F.col(value).isNotNull()).agg(F.count("*").alias("m"), *[F.count_if(F.col(value) > g).alias(f"g{i}") for i, g in enumerate(grid)]).first()
+    """The share of true nulls: a cubic spline through the shares of p above each point of the grid 0 to 0.89, read at the last
+    point. A spline goes through its points, so that is the share there. Fewer than 100 values: 1."""
+    last = 0.89
+    row = p.where(F.col(value).isNotNull()).agg(F.count("*").alias("m"), F.count_if(F.col(value) > last).alias("above")).first()
     if row["m"] < 100:
         return 1.0
-    shares = [row[f"g{i}"] / (row["m"] * (1 - g)) for i, g in enumerate(grid)]
-    return float(min(max(np.polyval(np.polyfit(grid, shares, 3), grid[-1]), 1e-8), 1.0))
+    return float(min(max(row["above"] / (row["m"] * (1 - last)), 1e-8), 1.0))
 
 
 def q_values(p: DataFrame, key: str, value: str) -> DataFrame:
     """Storey's q: Benjamini-Hochberg times the share of true nulls."""
     pi0 = storey_pi0(p, value)
-    one = p.withColumn("_all", F.lit(0))
-    return step_up_by(one, "_all", key, value).withColumn("q", F.col("q") * pi0).drop("_all")
+    return step_up(p, key, value).withColumn("q", F.col("q") * pi0)
 
 
 def moderated_t(m: DataFrame, one: str, two: str) -> DataFrame:

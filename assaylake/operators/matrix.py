@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 
 
 def row_center(m: DataFrame) -> DataFrame:
-    """Values less the feature's median."""
-    return m.withColumn("value", F.col("value") - F.median("value").over(W.partitionBy("feature")))
+    """Values less the feature's mean."""
+    return m.withColumn("value", F.col("value") - F.avg("value").over(W.partitionBy("feature")))
 
 
 def relative_fold(m: DataFrame, control: Column) -> DataFrame:
@@ -29,7 +29,8 @@ def fill_missing(m: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def max_filter(m: DataFrame, least: float) -> DataFrame:
-    return m.groupBy("feature").agg(F.max("value").alias("top")).where(F.col("top") >= least)
+    """Features whose largest value is above least."""
+    return m.groupBy("feature").agg(F.max("value").alias("top")).where(F.col("top") > least)
 
 
 def kth_largest(m: DataFrame, k: int) -> DataFrame:
@@ -50,8 +51,8 @@ def presence_filter(rows: DataFrame, feature: str, sample: str, least: int) -> D
 
 
 def translate_ids(rows: DataFrame, names: DataFrame, key: str, name_key: str, name: str, item: str, out: str) -> DataFrame:
-    """Items gathered under translated ids, in order and joined by bars."""
-    joined = rows.join(names, F.col(key) == F.col(name_key))
+    """Items gathered under translated ids, in order and joined by bars; those of ids without a translation under ''."""
+    joined = rows.join(names, F.col(key) == F.col(name_key), "left").withColumn(name, F.coalesce(name, F.lit("")))
     return joined.groupBy(name).agg(F.array_join(F.array_sort(F.collect_list(item)), "|").alias(out))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from assaylake.functions import tails
+from assaylake.operators.ranks import global_rank, least_from_here
+
 
 def _two(m: DataFrame, one: str, two: str) -> DataFrame:
     cols = []
@@ -16,29 +19,37 @@ def _two(m: DataFrame, one: str, two: str) -> DataFrame:
 
 
 def pooled_t(m: DataFrame, one: str, two: str) -> DataFrame:
-    """feature, n1, n2, log_fold, t: means' difference and Student's statistic of features with two values in both groups."""
+    """feature, n1, n2, log_fold, t, p: means' difference, Student's statistic of features with two values in both groups, and
+    its two-sided p."""
     se = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2) * (1 / F.col("n1") + 1 / F.col("n2")))
     fold = F.col("m1") - F.col("m2")
-    return _two(m, one, two).select("feature", "n1", "n2", fold.alias("log_fold"), F.when(se > 0, F.try_divide(fold, se)).alias("t"))
+    s = _two(m, one, two).select("feature", "n1", "n2", fold.alias("log_fold"), F.when(se > 0, F.try_divide(fold, se)).alias("t"))
+    return s.withColumn("p", tails.t_two_sided(F.col("t"), F.col("n1") + F.col("n2") - 2))
 
 
 def welch(m: DataFrame, one: str, two: str) -> DataFrame:
-    """feature, t, df without the assumption of equal variances."""
+    """feature, t, df and two-sided p without the assumption of equal variances."""
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     se = F.sqrt(a + b)
-    return _two(m, one, two).select("feature", F.when(se > 0, F.try_divide(F.col("m1") - F.col("m2"), se)).alias("t"), F.when(se > 0, F.try_divide(F.pow(se, 4), a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))).alias("df"))
+    s = _two(m, one, two).select("feature", F.when(se > 0, F.try_divide(F.col("m1") - F.col("m2"), se)).alias("t"), F.when(se > 0, F.try_divide(F.pow(se, 4), a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))).alias("df"))
+    return s.withColumn("p", tails.t_two_sided(F.col("t"), F.col("df")))
 
 
-def criterion(folds: DataFrame, least_fold: float, least_t: float) -> DataFrame:
-    strong = F.abs("t") >= least_t
-    return folds.withColumn("call", F.when((F.col("log_fold") >= least_fold) & strong, "up").when((F.col("log_fold") <= -least_fold) & strong, "down").otherwise("none"))
+def criterion(folds: DataFrame, least_fold: float, most_p: float) -> DataFrame:
+    """call of (log_fold, p): up or down where the fold is beyond least_fold and p below most_p. Where no feature's p is
+    below 1, so that none could be tested, a p of 1 calls by the fold alone."""
+    tested = folds.agg(F.min("p").alias("_least"))
+    strong = (F.abs("log_fold") > least_fold) & ((F.col("p") < most_p) | ((F.col("p") == 1) & (F.col("_least") == 1)))
+    call = F.when(strong & (F.col("log_fold") > 0), "up").when(strong, "down").otherwise("none")
+    return folds.join(F.broadcast(tested)).withColumn("call", call).drop("_least")
 
 
 def anova_f(m: DataFrame) -> DataFrame:
-    """One-way F over the groups of each feature."""
+    """One-way F over the groups of each feature, and its p."""
     g = m.groupBy("feature", "grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("ss"))
     s = g.groupBy("feature").agg(F.count("*").alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.pow(F.sum(F.col("n") * F.col("mean")), 2) / F.sum("n")).alias("ssb"), F.sum("ss").alias("ssw"))
-    return s.where("k > 1 AND n > k").select("feature", F.when(F.col("ssw") > 0, F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))).alias("f"))
+    s = s.where("k > 1 AND n > k").withColumn("f", F.when(F.col("ssw") > 0, F.try_divide(F.greatest("ssb", F.lit(0.0)) / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))))
+    return s.select("feature", "f", tails.f_tail(F.col("f"), F.col("k") - 1, F.col("n") - F.col("k")).alias("p"))
 
 
 def average_rank(rows: DataFrame, by: list[str], value: str, out: str = "avg_rank") -> DataFrame:
@@ -47,26 +58,43 @@ def average_rank(rows: DataFrame, by: list[str], value: str, out: str = "avg_ran
     return rows.withColumn(out, rank)
 
 
+def tie_share(rank: str, value: str, by: list[str]) -> Column:
+    """What a row adds to the sum of t**3 - t over groups of t equal values: t**2 - 1."""
+    t = F.count("*").over(W.partitionBy(*by, value))
+    return (t * t - 1).cast("double")
+
+
 def kruskal_h(m: DataFrame) -> DataFrame:
-    """The Kruskal-Wallis statistic, without correction for ties."""
-    g = average_rank(m, ["feature"], "value", "rk").groupBy("feature", "grp").agg(F.count("*").alias("n"), F.sum("rk").alias("rs"))
-    s = g.groupBy("feature").agg(F.sum("n").alias("n"), F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("s"), F.count("*").alias("k")).where("k > 1")
-    return s.select("feature", (F.lit(12.0) / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)).alias("h"))
+    """The Kruskal-Wallis statistic, corrected for ties, and p by chi-square; 0 and 1 where all values are equal."""
+    r = average_rank(m, ["feature"], "value", "rk").withColumn("_tie", tie_share("rk", "value", ["feature"]))
+    g = r.groupBy("feature", "grp").agg(F.count("*").alias("n"), F.sum("rk").alias("rs"), F.sum("_tie").alias("tie"))
+    s = g.groupBy("feature").agg(F.sum("n").alias("n"), F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("s"), F.count("*").alias("k"), F.sum("tie").alias("tie")).where("k > 1")
+    n = F.col("n").cast("double")
+    share = 1 - F.col("tie") / (n * n * n - n)
+    h = (F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / share
+    s = s.select("feature", "k", F.when(share > 0, F.greatest(h, F.lit(0.0))).otherwise(0.0).alias("h"))
+    return s.select("feature", "h", tails.chi_square_tail(F.col("h"), F.col("k") - 1).alias("p"))
 
 
 def mann_whitney_u(m: DataFrame, one: str, two: str) -> DataFrame:
-    """U of the first group."""
-    r = average_rank(m.where(F.col("grp").isin(one, two)), ["feature"], "value", "rk")
-    s = r.groupBy("feature").agg(F.count_if(F.col("grp") == one).alias("n1"), F.count_if(F.col("grp") == two).alias("n2"), F.sum(F.when(F.col("grp") == one, F.col("rk"))).alias("r1")).where("n1 > 0 AND n2 > 0")
-    return s.select("feature", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)).alias("u"))
+    """U of the first group, |z| with the correction for ties, and the one-sided p; both null where all values are equal."""
+    r = average_rank(m.where(F.col("grp").isin(one, two)), ["feature"], "value", "rk").withColumn("_tie", tie_share("rk", "value", ["feature"]))
+    s = r.groupBy("feature").agg(F.count_if(F.col("grp") == one).alias("n1"), F.count_if(F.col("grp") == two).alias("n2"), F.sum(F.when(F.col("grp") == one, F.col("rk"))).alias("r1"), F.sum("_tie").alias("tie")).where("n1 > 0 AND n2 > 0")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    share = 1 - F.col("tie") / (n * n * n - n)
+    u = F.col("r1") - n1 * (n1 + 1) / F.lit(2.0)
+    z = F.abs(u - n1 * n2 / 2) / F.sqrt(share * n1 * n2 * (n + 1) / 12)
+    s = s.select("feature", u.alias("u"), F.when(share > 0, z).alias("z"))
+    return s.withColumn("p", tails.normal_two_sided(F.col("z")) / 2)
 
 
 def step_up(p: DataFrame, key: str, value: str) -> DataFrame:
-    """Benjamini-Hochberg: p * n / rank, with the running minimum from the largest. One family is one ordered sequence, so
-    it is windowed whole: a row for each feature, not for each observation."""
-    ranked = p.withColumn("_k", F.row_number().over(W.orderBy(value, key))).withColumn("_n", F.count("*").over(W.partitionBy()))
-    q = F.min(F.least(F.col(value) * F.col("_n") / F.col("_k"), F.lit(1.0))).over(W.orderBy(F.desc("_k")))
-    return ranked.withColumn("q", q).drop("_k", "_n")
+    """Benjamini-Hochberg: p * n / rank, with the running minimum from the largest. Rows are dealt by ranges of p; ranks and
+    minima inside a range meet in a table of a row for each range."""
+    ranked = global_rank(p, [value, key], "_k", "_n", "_part")
+    raw = ranked.withColumn("_q", F.least(F.col(value) * F.col("_n") / F.col("_k"), F.lit(1.0)))
+    return least_from_here(raw, "_q", "_k", "_part", "q").drop("_k", "_n", "_q", "_part")
 
 
 def bonferroni(p: DataFrame, value: str) -> DataFrame:

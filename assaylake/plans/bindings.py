@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.functions import tails
 from assaylake.operators import assay, enrich, intervals, matrix, network, stats
+from assaylake.plans import tails as sql
 from assaylake.sources.tables import table
 
 
@@ -45,53 +45,69 @@ def bound(sql: str):
     return put
 
 
-_T = f"""SELECT feature, CAST(n1 AS BIGINT) n1, CAST(n2 AS BIGINT) n2, round(m1 - m2, 6) + 0.0 AS log_fold, round(CASE WHEN se > 0 THEN (m1 - m2) / se END, 6) + 0.0 AS t FROM (
-  SELECT feature, n1, n2, m1, m2, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS se FROM (
-    SELECT feature, count(*) FILTER (grp = 'R') n1, count(*) FILTER (grp = 'A') n2, avg(value) FILTER (grp = 'R') m1, avg(value) FILTER (grp = 'A') m2,
-           var_samp(value) FILTER (grp = 'R') v1, var_samp(value) FILTER (grp = 'A') v2 FROM ({_PRICES}) GROUP BY 1) WHERE n1 > 1 AND n2 > 1)"""
+_MOMENTS = f"""SELECT CAST(feature AS BIGINT) feature, count(*) FILTER (grp = 'R') n1, count(*) FILTER (grp = 'A') n2, avg(value) FILTER (grp = 'R') m1, avg(value) FILTER (grp = 'A') m2,
+           var_samp(value) FILTER (grp = 'R') v1, var_samp(value) FILTER (grp = 'A') v2 FROM ({_PRICES}) GROUP BY 1"""
+_T = f"""SELECT feature, CAST(n1 AS BIGINT) n1, CAST(n2 AS BIGINT) n2, m1 - m2 AS log_fold, CASE WHEN se > 0 THEN (m1 - m2) / se END AS t FROM (
+  SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS se FROM ({_MOMENTS}) WHERE n1 > 1 AND n2 > 1)"""
+_TP = sql.rounded({"feature": "", "n1": "", "n2": "", "log_fold": "log_fold", "t": "t", "p": sql.t("t", "(n1 + n2 - 2)")}, _T)
 
 
-@bound(_T)
+@bound(sql.rounded({"feature": "", "n1": "", "n2": "", "log_fold": "log_fold", "t": "t"}, _T))
 def de_fold(spark, d):
     return stats.pooled_t(_prices(spark, d), "R", "A").select("feature", "n1", "n2", "log_fold", "t")
 
 
-@bound(f"""SELECT feature, CASE WHEN log_fold >= 0.5 AND abs(t) >= 1 THEN 'up' WHEN log_fold <= -0.5 AND abs(t) >= 1 THEN 'down' ELSE 'none' END AS call FROM ({_T})""")
+@bound(sql.rounded({"feature": "", "p": sql.t("t", "(n1 + n2 - 2)")}, _T))
+def t_pvalue(spark, d):
+    return stats.pooled_t(_prices(spark, d), "R", "A").select("feature", "p")
+
+
+@bound(f"SELECT feature, CASE WHEN abs(log_fold) > 0.5 AND (p < 0.3 OR p = 1 AND (SELECT min(p) FROM ({_TP})) = 1) THEN CASE WHEN log_fold > 0 THEN 'up' ELSE 'down' END ELSE 'none' END AS call FROM ({_TP})")
 def criterion_split(spark, d):
-    return stats.criterion(r6(stats.pooled_t(_prices(spark, d), "R", "A")), 0.5, 1.0).select("feature", "call")
+    return stats.criterion(r6(stats.pooled_t(_prices(spark, d), "R", "A")), 0.5, 0.3).select("feature", "call")
+
 
+_W = f"SELECT feature, CASE WHEN se > 0 THEN (m1 - m2) / se END AS t, CASE WHEN se > 0 THEN se ** 4 / (a * a / (n1 - 1) + b * b / (n2 - 1)) END AS df FROM (SELECT *, v1 / n1 AS a, v2 / n2 AS b, sqrt(v1 / n1 + v2 / n2) AS se FROM ({_MOMENTS}) WHERE n1 > 1 AND n2 > 1)"
 
-@bound(f"""SELECT feature, round(CASE WHEN se > 0 THEN (m1 - m2) / se END, 6) + 0.0 AS t, round(CASE WHEN se > 0 THEN se ** 4 / (a * a / (n1 - 1) + b * b / (n2 - 1)) END, 6) + 0.0 AS df FROM (
-  SELECT *, v1 / n1 AS a, v2 / n2 AS b, sqrt(v1 / n1 + v2 / n2) AS se FROM (
-    SELECT feature, count(*) FILTER (grp = 'R') n1, count(*) FILTER (grp = 'A') n2, avg(value) FILTER (grp = 'R') m1, avg(value) FILTER (grp = 'A') m2,
-           var_samp(value) FILTER (grp = 'R') v1, var_samp(value) FILTER (grp = 'A') v2 FROM ({_PRICES}) GROUP BY 1) WHERE n1 > 1 AND n2 > 1)""")
+
+@bound(sql.rounded({"feature": "", "t": "t", "df": "df", "p": sql.t("t", "df")}, _W))
 def welch(spark, d):
-    return stats.welch(_prices(spark, d), "R", "A").select("feature", "t", "df")
+    return stats.welch(_prices(spark, d), "R", "A").select("feature", "t", "df", "p")
+
+
+_F = f"""SELECT feature, k, n, CASE WHEN ssw > 0 THEN (greatest(ssb, 0) / (k - 1)) / (ssw / (n - k)) END AS f FROM (
+  SELECT CAST(feature AS BIGINT) feature, count(*) k, sum(ng) n, sum(ng * mg * mg) - sum(ng * mg) ** 2 / sum(ng) AS ssb, sum(ssg) AS ssw FROM (
+    SELECT feature, grp, count(*) ng, avg(value) mg, var_pop(value) * count(*) AS ssg FROM ({_PRICES}) GROUP BY 1, 2) GROUP BY 1) WHERE k > 1 AND n > k"""
 
 
-@bound(f"""SELECT feature, round(CASE WHEN ssw > 0 THEN (ssb / (k - 1)) / (ssw / (n - k)) END, 6) + 0.0 AS f FROM (
-  SELECT feature, count(*) k, sum(ng) n, sum(ng * mg * mg) - sum(ng * mg) ** 2 / sum(ng) AS ssb, sum(ssg) AS ssw FROM (
-    SELECT feature, grp, count(*) ng, avg(value) mg, var_pop(value) * count(*) AS ssg FROM ({_PRICES}) GROUP BY 1, 2) GROUP BY 1) WHERE k > 1 AND n > k""")
+@bound(sql.rounded({"feature": "", "f": "f", "p": sql.f("f", "(k - 1)", "(n - k)")}, _F))
 def anova_f(spark, d):
-    return stats.anova_f(_prices(spark, d)).select("feature", "f")
+    return stats.anova_f(_prices(spark, d))
 
 
-@bound(f"""SELECT feature, round(12.0 / (n * (n + 1)) * s - 3 * (n + 1), 6) + 0.0 AS h FROM (SELECT feature, sum(ng) n, sum(rs * rs / ng) s, count(*) k FROM (
-  SELECT feature, grp, count(*) ng, sum(rk) rs FROM (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM ({_PRICES})) GROUP BY 1, 2) GROUP BY 1) WHERE k > 1""")
+def _cheap(spark, d):
+    """feature = part, grp = return flag, value = discount in steps of 0.01, so that many values tie."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("feature"), F.col("l_returnflag").alias("grp"), F.col("l_discount").cast("double").alias("value"))
+
+
+_CHEAP = "SELECT CAST(l_partkey AS BIGINT) AS feature, l_returnflag AS grp, CAST(l_discount AS DOUBLE) AS value FROM lineitem"
+_TIED = "SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk, (count(*) OVER (PARTITION BY feature, value)) ** 2 - 1.0 AS tie FROM ({})"
+_H = f"""SELECT feature, k, CASE WHEN share > 0 THEN greatest((12.0 / (n * (n + 1)) * s - 3 * (n + 1)) / share, 0.0) ELSE 0.0 END AS h FROM (SELECT *, 1 - tie / (n * 1.0 * n * n - n) AS share FROM (
+  SELECT feature, sum(ng) n, sum(rs * rs / ng) s, count(*) k, sum(tg) tie FROM (SELECT feature, grp, count(*) ng, sum(rk) rs, sum(tie) tg FROM ({_TIED.format(_CHEAP)}) GROUP BY 1, 2) GROUP BY 1) WHERE k > 1)"""
+
+
+@bound(sql.rounded({"feature": "", "h": "h", "p": sql.chi("h", "(k - 1)")}, _H))
 def kruskal_h(spark, d):
-    return stats.kruskal_h(_prices(spark, d)).select("feature", "h")
+    return stats.kruskal_h(_cheap(spark, d))
 
 
-@bound(f"""SELECT feature, round(r1 - n1 * (n1 + 1) / 2.0, 6) + 0.0 AS u FROM (SELECT feature, count(*) FILTER (grp = 'R') n1, count(*) FILTER (grp = 'A') n2, sum(rk) FILTER (grp = 'R') r1 FROM (
-  SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM ({_PRICES}) WHERE grp IN ('R', 'A')) GROUP BY 1) WHERE n1 > 0 AND n2 > 0""")
-def mwu(spark, d):
-    return stats.mann_whitney_u(_prices(spark, d), "R", "A").select("feature", "u")
+_U = f"""SELECT feature, u, CASE WHEN share > 0 THEN abs(u - n1 * n2 / 2.0) / sqrt(share * n1 * n2 * (n1 + n2 + 1) / 12.0) END AS z FROM (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, 1 - tie / ((n1 + n2) * 1.0 * (n1 + n2) * (n1 + n2) - (n1 + n2)) AS share FROM (
+  SELECT feature, count(*) FILTER (grp = 'R') n1, count(*) FILTER (grp = 'A') n2, sum(rk) FILTER (grp = 'R') r1, sum(tie) tie FROM ({_TIED.format(_CHEAP + " WHERE l_returnflag IN ('R', 'A')")}) GROUP BY 1) WHERE n1 > 0 AND n2 > 0)"""
 
 
-@bound("")
-def t_pvalue(spark, d):
-    x = stats.pooled_t(_prices(spark, d), "R", "A")
-    return x.select("feature", "t", tails.t_two_sided(F.col("t"), (F.col("n1") + F.col("n2") - 2).cast("double")).alias("p"))
+@bound(sql.rounded({"feature": "", "u": "u", "z": "z", "p": f"({sql.z('z')}) / 2"}, _U))
+def mwu(spark, d):
+    return stats.mann_whitney_u(_cheap(spark, d), "R", "A")
 
 
 @bound("""SELECT feature, p, round(min(least(p * n / rk, 1.0)) OVER (ORDER BY rk DESC), 6) + 0.0 AS q FROM (
@@ -108,7 +124,7 @@ def bonferroni(spark, d):
     return stats.bonferroni(x, "p")
 
 
-@bound(f"SELECT feature, CAST(sample AS BIGINT) AS sample, round(value - median(value) OVER (PARTITION BY feature), 6) + 0.0 AS value FROM ({_WIDE})")
+@bound(f"SELECT feature, CAST(sample AS BIGINT) AS sample, round(value - avg(value) OVER (PARTITION BY feature), 6) + 0.0 AS value FROM ({_WIDE})")
 def row_center(spark, d):
     return matrix.row_center(_wide(spark, d))
 
@@ -127,7 +143,7 @@ def missing_fill(spark, d):
     return matrix.fill_missing(m, m.select("sample").distinct())
 
 
-@bound(f"SELECT feature, round(max(value), 6) + 0.0 AS top FROM ({_WIDE}) GROUP BY 1 HAVING max(value) >= 500")
+@bound(f"SELECT feature, round(max(value), 6) + 0.0 AS top FROM ({_WIDE}) GROUP BY 1 HAVING max(value) > 500")
 def max_filter(spark, d):
     return matrix.max_filter(_wide(spark, d), 500.0)
 
@@ -199,14 +215,15 @@ def semi(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@bound("SELECT CAST(c_custkey AS BIGINT) c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@bound("SELECT CAST(p_partkey AS BIGINT) p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)")
 def anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    gone = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40")
+    return table(spark, d, "part").join(gone, F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
 
 
-@bound("SELECT r_name, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@bound("SELECT coalesce(r_name, '') AS r_name, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey GROUP BY 1")
 def id_translate(spark, d):
-    return matrix.translate_ids(table(spark, d, "nation"), table(spark, d, "region"), "n_regionkey", "r_regionkey", "r_name", "n_name", "names")
+    return matrix.translate_ids(table(spark, d, "nation"), table(spark, d, "region").where("r_name <> 'ASIA'"), "n_regionkey", "r_regionkey", "r_name", "n_name", "names")
 
 
 def _flag_sums(spark, d, flag):

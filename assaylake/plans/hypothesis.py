@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.operators import enrich, hypothesis, stats
+from assaylake.plans import tails as sql
 from assaylake.plans.bindings import _PRICES, _prices, bound
 from assaylake.sources.tables import table
 
@@ -19,30 +20,45 @@ def _pairs(spark, d):
 _PAIRS = "SELECT feature, a, b FROM (SELECT CAST(l_suppkey AS BIGINT) feature, date_trunc('month', l_shipdate) k, avg(l_quantity) FILTER (l_returnflag = 'R') a, avg(l_quantity) FILTER (l_returnflag = 'A') b FROM lineitem GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL"
 
 
-@bound(f"SELECT feature, n, round(diff, 6) + 0.0 AS diff, round(CASE WHEN sd > 0 THEN diff / (sd / sqrt(n)) END, 6) + 0.0 AS t FROM (SELECT feature, count(*) n, avg(a - b) diff, stddev_samp(a - b) sd FROM ({_PAIRS}) GROUP BY 1) WHERE n > 1")
+_PT = f"SELECT feature, n, diff, CASE WHEN sd > 0 THEN diff / (sd / sqrt(n)) END AS t FROM (SELECT feature, count(*) n, avg(a - b) diff, stddev_samp(a - b) sd FROM ({_PAIRS}) GROUP BY 1) WHERE n > 1"
+
+
+@bound(sql.rounded({"feature": "", "n": "", "diff": "diff", "t": "t", "p": sql.t("t", "(n - 1)")}, _PT))
 def paired_t(spark, d):
     return hypothesis.paired_t(_pairs(spark, d))
 
 
-@bound(f"""SELECT feature, n, round(up, 6) + 0.0 AS up, round(down, 6) + 0.0 AS down, round(least(up, down), 6) + 0.0 AS w FROM (SELECT feature, count(*) n, coalesce(sum(rk) FILTER (dd > 0), 0) up, coalesce(sum(rk) FILTER (dd < 0), 0) down FROM (
-  SELECT feature, dd, rank() OVER (PARTITION BY feature ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY feature, abs(dd)) - 1) / 2.0 AS rk FROM (SELECT feature, a - b AS dd FROM ({_PAIRS})) WHERE dd <> 0) GROUP BY 1)""")
+_SR = f"""SELECT *, least(up, down) AS w, abs(least(up, down) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2.0 * n + 1) / 24) AS z FROM (SELECT feature, count(*) n, coalesce(sum(rk) FILTER (dd > 0), 0) up, coalesce(sum(rk) FILTER (dd < 0), 0) down FROM (
+  SELECT feature, dd, rank() OVER (PARTITION BY feature ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY feature, abs(dd)) - 1) / 2.0 AS rk FROM (SELECT feature, a - b AS dd FROM ({_PAIRS})) WHERE dd <> 0) GROUP BY 1)"""
+
+
+@bound(sql.rounded({"feature": "", "n": "", "up": "up", "down": "down", "w": "w", "z": "z", "p": sql.z("z")}, _SR))
 def signed_rank(spark, d):
     return hypothesis.signed_rank(_pairs(spark, d))
 
 
-@bound(f"SELECT feature, n, up, round((up - n / 2.0) / (sqrt(n) / 2), 6) + 0.0 AS z FROM (SELECT feature, count(*) n, count(*) FILTER (a > b) up FROM ({_PAIRS}) WHERE a <> b GROUP BY 1)")
+_SIGNS = f"SELECT feature, n, up, (up - n / 2.0) / (sqrt(n) / 2) AS z FROM (SELECT feature, count(*) n, count(*) FILTER (a > b) up FROM ({_PAIRS}) WHERE a <> b GROUP BY 1)"
+
+
+@bound(sql.rounded({"feature": "", "n": "", "up": "", "z": "z", "p": sql.z("z")}, _SIGNS))
 def sign_test(spark, d):
     return hypothesis.sign_test(_pairs(spark, d))
 
 
-@bound(f"""SELECT feature, round((r1 - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) + 0.0 AS z FROM (SELECT CAST(feature AS BIGINT) feature, count(*) FILTER (grp = 'R') n1, count(*) FILTER (grp = 'A') n2, sum(rk) FILTER (grp = 'R') r1 FROM (
-  SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM ({_PRICES}) WHERE grp IN ('R', 'A')) GROUP BY 1) WHERE n1 > 0 AND n2 > 0""")
+_RS = f"""SELECT feature, (r1 - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0) AS z FROM (SELECT CAST(feature AS BIGINT) feature, count(*) FILTER (grp = 'R') n1, count(*) FILTER (grp = 'A') n2, sum(rk) FILTER (grp = 'R') r1 FROM (
+  SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM ({_PRICES}) WHERE grp IN ('R', 'A')) GROUP BY 1) WHERE n1 > 0 AND n2 > 0"""
+
+
+@bound(sql.rounded({"feature": "", "z": "z", "p": sql.z("z")}, _RS))
 def rank_sums(spark, d):
     return hypothesis.rank_sums(_prices(spark, d), "R", "A")
 
 
-@bound("""SELECT feature, round(max(abs(s1 * 1.0 / n1 - s2 * 1.0 / n2)), 6) + 0.0 AS d FROM (SELECT feature, sum(c1) OVER w s1, sum(c2) OVER w s2, sum(c1) OVER (PARTITION BY feature) n1, sum(c2) OVER (PARTITION BY feature) n2 FROM (
-  SELECT CAST(l_partkey AS BIGINT) feature, l_quantity q, count(*) FILTER (l_returnflag = 'R') c1, count(*) FILTER (l_returnflag = 'A') c2 FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature ORDER BY q)) WHERE n1 > 0 AND n2 > 0 GROUP BY 1""")
+_KS = """SELECT feature, max(abs(s1 * 1.0 / n1 - s2 * 1.0 / n2)) AS d, max(sqrt(n1 * n2 * 1.0 / (n1 + n2))) AS en FROM (SELECT feature, sum(c1) OVER w s1, sum(c2) OVER w s2, sum(c1) OVER (PARTITION BY feature) n1, sum(c2) OVER (PARTITION BY feature) n2 FROM (
+  SELECT CAST(l_partkey AS BIGINT) feature, l_quantity q, count(*) FILTER (l_returnflag = 'R') c1, count(*) FILTER (l_returnflag = 'A') c2 FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature ORDER BY q)) WHERE n1 > 0 AND n2 > 0 GROUP BY 1"""
+
+
+@bound(sql.rounded({"feature": "", "d": "d", "p": sql.kolmogorov("((en + 0.12 + 0.11 / en) * d)")}, _KS))
 def ks_distance(spark, d):
     return hypothesis.ks_two_sample(_quantities(spark, d), "R", "A")
 
@@ -58,25 +74,96 @@ def _xy(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("feature"), F.col("l_quantity").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
 
 
-@bound("SELECT feature, round(v1 / v2, 6) + 0.0 AS f FROM (SELECT CAST(l_partkey AS BIGINT) feature, var_samp(CAST(l_quantity AS DOUBLE)) FILTER (l_returnflag = 'R') v1, var_samp(CAST(l_quantity AS DOUBLE)) FILTER (l_returnflag = 'A') v2 FROM lineitem GROUP BY 1) WHERE v1 IS NOT NULL AND v2 > 0")
+_VR = "SELECT feature, n1, n2, v1 / v2 AS f FROM (SELECT CAST(l_partkey AS BIGINT) feature, count(*) FILTER (l_returnflag = 'R') n1, count(*) FILTER (l_returnflag = 'A') n2, var_samp(CAST(l_quantity AS DOUBLE)) FILTER (l_returnflag = 'R') v1, var_samp(CAST(l_quantity AS DOUBLE)) FILTER (l_returnflag = 'A') v2 FROM lineitem GROUP BY 1) WHERE v1 IS NOT NULL AND v2 > 0"
+
+
+@bound(sql.rounded({"feature": "", "f": "f", "p": sql.f("f", "(n1 - 1)", "(n2 - 1)")}, _VR))
 def variance_ratio(spark, d):
     return hypothesis.variance_ratio(_quantities(spark, d), "R", "A")
 
 
-@bound(f"""SELECT feature, round(CASE WHEN sx > 0 AND sy > 0 THEN r END, 6) + 0.0 AS rho FROM (SELECT feature, count(*) n, corr(rx, ry) r, stddev_pop(rx) sx, stddev_pop(ry) sy FROM (SELECT feature,
+_R = "SELECT feature, n, least(1.0, greatest(-1.0, r)) AS r FROM ({})"
+
+
+def _r_p(r: str) -> str:
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN 1 - {r} * {r} <= 0 THEN 0.0 ELSE {sql.t(f'({r} * sqrt((n - 2) / (1 - {r} * {r})))', '(n - 2)')} END"
+
+
+_PR = _R.format(f"SELECT feature, n, CASE WHEN sx > 0 AND sy > 0 THEN c END AS r FROM (SELECT feature, count(*) n, corr(x, y) c, var_pop(x) sx, var_pop(y) sy FROM ({_XY}) GROUP BY 1) WHERE n > 2")
+
+
+@bound(sql.rounded({"feature": "", "r": "r", "p": _r_p("r")}, _PR))
+def pearson(spark, d):
+    return hypothesis.pearson(_xy(spark, d))
+
+
+_PB = _R.format("SELECT feature, n, CASE WHEN sx > 0 AND sy > 0 THEN c END AS r FROM (SELECT feature, count(*) n, corr(x, y) c, var_pop(x) sx, var_pop(y) sy FROM (SELECT CAST(l_partkey AS BIGINT) feature, CAST(l_quantity AS DOUBLE) x, CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END y FROM lineitem WHERE l_returnflag IN ('R', 'A')) GROUP BY 1) WHERE n > 2")
+
+
+@bound(sql.rounded({"feature": "", "r": "r", "p": _r_p("r")}, _PB))
+def point_biserial(spark, d):
+    return hypothesis.point_biserial(_quantities(spark, d), "R", "A")
+
+
+_BLOCKS = "SELECT CAST(l_suppkey AS BIGINT) feature, month(l_shipdate) block, l_returnflag grp, avg(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem GROUP BY 1, 2, 3"
+
+
+def _blocks(spark, d):
+    """feature = supplier, block = month of the year, grp = return flag, value = mean quantity."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("feature"), F.month("l_shipdate").alias("block"), F.col("l_returnflag").alias("grp"))
+    return x.agg(F.avg(F.col("l_quantity").cast("double")).alias("value"))
+
+
+_FULL = f"SELECT b.*, k FROM (SELECT *, count(*) OVER (PARTITION BY feature, block) nb FROM ({_BLOCKS})) b JOIN (SELECT feature, count(DISTINCT grp) k FROM ({_BLOCKS}) GROUP BY 1) USING (feature) WHERE nb = k AND k > 1"
+_FR = f"""SELECT feature, k, CASE WHEN share > 0 THEN greatest((12.0 / (n * k * (k + 1)) * s - 3.0 * n * (k + 1)) / share, 0) ELSE 0.0 END AS chi2 FROM (SELECT *, 1 - tie / (n * (k * 1.0 * k * k - k)) AS share FROM (SELECT feature, k, max(n) n, sum(rs * rs) s, sum(tie) tie FROM (SELECT feature, grp, k, count(*) n, sum(rk) rs, sum(tie) tie FROM (
+  SELECT *, rank() OVER (PARTITION BY feature, block ORDER BY value) + (count(*) OVER (PARTITION BY feature, block, value) - 1) / 2.0 AS rk, (count(*) OVER (PARTITION BY feature, block, value)) ** 2 - 1.0 AS tie FROM ({_FULL})) GROUP BY 1, 2, 3) GROUP BY 1, 2))"""
+
+
+@bound(sql.rounded({"feature": "", "chi2": "chi2", "p": sql.chi("chi2", "(k - 1)")}, _FR))
+def friedman(spark, d):
+    return hypothesis.friedman(_blocks(spark, d))
+
+
+_CQ = f"""SELECT feature, k, (k - 1) * (k * c2 - t * t) / nullif(k * t - r2, 0) AS q FROM (SELECT feature, k * 1.0 AS k, sum(c) t, sum(c * c) c2, sum(r2) r2 FROM (SELECT feature, grp, k, sum(v) c, sum(rw * rw / k) r2 FROM (
+  SELECT *, sum(v) OVER (PARTITION BY feature, block) rw FROM (SELECT *, CASE WHEN value > 25 THEN 1.0 ELSE 0.0 END AS v FROM ({_FULL}))) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@bound(sql.rounded({"feature": "", "q": "q", "p": sql.chi("q", "(k - 1)")}, _CQ))
+def cochran_q(spark, d):
+    return hypothesis.cochran_q(_blocks(spark, d).withColumn("value", (F.col("value") > 25).cast("int")))
+
+
+_OT = "SELECT *, CASE WHEN sd > 0 THEN (m - 25) / (sd / sqrt(n)) END AS t FROM (SELECT CAST(l_partkey AS BIGINT) feature, count(*) n, avg(CAST(l_quantity AS DOUBLE)) m, stddev_samp(CAST(l_quantity AS DOUBLE)) sd FROM lineitem GROUP BY 1) WHERE n > 1"
+
+
+@bound(sql.rounded({"feature": "", "n": "", "t": "t", "variance_chi2": "(n - 1) * sd * sd", "p": sql.t("t", "(n - 1)")}, _OT))
+def one_sample_t(spark, d):
+    return hypothesis.one_sample_t(_quantities(spark, d), 25.0)
+
+
+_SP = _R.format(f"""SELECT feature, n, CASE WHEN sx > 0 AND sy > 0 THEN r END AS r FROM (SELECT feature, count(*) n, corr(rx, ry) r, stddev_pop(rx) sx, stddev_pop(ry) sy FROM (SELECT feature,
   rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM ({_XY})) GROUP BY 1) WHERE n > 2""")
+
+
+@bound(sql.rounded({"feature": "", "rho": "r", "p": _r_p("r")}, _SP))
 def spearman(spark, d):
     return hypothesis.spearman(_xy(spark, d))
 
 
-@bound(f"""SELECT feature, round(CASE WHEN dx > 0 AND dy > 0 THEN s / sqrt(dx * dy) END, 6) + 0.0 AS tau FROM (SELECT a.feature, sum(sign(a.x - b.x) * sign(a.y - b.y)) s, CAST(count(*) FILTER (a.x <> b.x) AS DOUBLE) dx, CAST(count(*) FILTER (a.y <> b.y) AS DOUBLE) dy
-  FROM ({_XY}) a JOIN ({_XY}) b ON a.feature = b.feature GROUP BY 1)""")
+_KT = f"""SELECT *, tau / sqrt((4 * n + 10) / (9 * n * (n - 1))) AS z FROM (SELECT feature, CASE WHEN dx > 0 AND dy > 0 THEN s / sqrt(dx * dy) END AS tau, n FROM (SELECT a.feature, sum(sign(a.x - b.x) * sign(a.y - b.y)) s, CAST(count(*) FILTER (a.x <> b.x) AS DOUBLE) dx, CAST(count(*) FILTER (a.y <> b.y) AS DOUBLE) dy, sqrt(count(*)) n
+  FROM ({_XY}) a JOIN ({_XY}) b ON a.feature = b.feature GROUP BY 1))"""
+
+
+@bound(sql.rounded({"feature": "", "tau": "tau", "z": "z", "p": sql.z("z")}, _KT))
 def kendall(spark, d):
     return hypothesis.kendall_tau(_xy(spark, d))
 
 
-@bound("""WITH c AS (SELECT CAST(l_suppkey AS BIGINT) feature, l_returnflag r, l_linenumber k, count(*) c FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(c) OVER (PARTITION BY feature) n, sum(c) OVER (PARTITION BY feature, r) nr, sum(c) OVER (PARTITION BY feature, k) nk FROM c)
-  SELECT feature, round(max(n) * (sum(c * 1.0 * c / (nr * nk)) - 1), 6) + 0.0 AS chi2, (count(DISTINCT r) - 1) * (count(DISTINCT k) - 1) AS df FROM m GROUP BY 1""")
+_CS = """WITH c AS (SELECT CAST(l_suppkey AS BIGINT) feature, l_returnflag r, l_linenumber k, count(*) c FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(c) OVER (PARTITION BY feature) n, sum(c) OVER (PARTITION BY feature, r) nr, sum(c) OVER (PARTITION BY feature, k) nk FROM c)
+  SELECT feature, max(n) * (sum(c * 1.0 * c / (nr * nk)) - 1) AS chi2, (count(DISTINCT r) - 1) * (count(DISTINCT k) - 1) AS df FROM m GROUP BY 1"""
+
+
+@bound(sql.rounded({"feature": "", "chi2": "chi2", "df": "", "p": sql.chi("chi2", "df")}, _CS))
 def chi_square(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("feature"), "l_returnflag", "l_linenumber")
     return hypothesis.chi_square(x, "l_returnflag", "l_linenumber")
@@ -104,7 +191,11 @@ def bh_by_comparison(spark, d):
     return hypothesis.step_up_by(_shares(spark, d), "comparison", "feature", "p")
 
 
-@bound("")
+_MEANS = f"SELECT feature, round(avg(p), 6) AS p FROM ({_SHARES}) GROUP BY 1 HAVING avg(p) IS NOT NULL"
+
+
+@bound(f"""SELECT feature, p, round(min(least(p * n / rk, 1.0)) OVER (ORDER BY rk DESC) * (SELECT CASE WHEN count(*) < 100 THEN 1.0 ELSE least(greatest(count(*) FILTER (p > 0.89) / (count(*) * (1 - 0.89)), 1e-8), 1.0) END FROM ({_MEANS})), 6) + 0.0 AS q FROM (
+  SELECT feature, p, count(*) OVER () n, row_number() OVER (ORDER BY p, feature) rk FROM ({_MEANS}))""")
 def storey_q(spark, d):
     return hypothesis.q_values(_shares(spark, d).groupBy("feature").agg(F.round(F.avg("p"), 6).alias("p")).where("p IS NOT NULL"), "feature", "p")
 
@@ -146,16 +237,17 @@ def permutation_null(spark, d):
     x, part = table(spark, d, "lineitem"), table(spark, d, "part")
     every = x.select(F.col("l_partkey").alias("element")).distinct()
     hit = x.where("l_discount >= 0.09 AND l_quantity > 45").select(F.col("l_partkey").alias("element")).distinct()
-    return enrich.permuted(every, hit, part.select(F.col("p_partkey").alias("element"), F.col("p_brand").alias("gene_set")), 200)
+    return enrich.permuted(every, hit, part.select(F.col("p_partkey").alias("element"), F.col("p_brand").alias("gene_set")), 2000)
 
 
-_MEMBERS = "SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS s, CAST(l_returnflag || l_linenumber AS VARCHAR) AS e FROM lineitem WHERE l_quantity >= 50"
+_MEMBERS = "SELECT DISTINCT c_mktsegment || c_nationkey AS s, strftime(o_orderdate, '%Y-%m') AS e FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
 @bound(f"WITH m AS ({_MEMBERS}), z AS (SELECT s, count(*) n FROM m GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, round(count(*) * 1.0 / max(za.n), 6) + 0.0 AS contained FROM m a JOIN m b ON a.e = b.e AND a.s <> b.s JOIN z za ON za.s = a.s GROUP BY 1, 2 HAVING count(*) * 1.0 / max(za.n) >= 0.9")
 def redundant_sets(spark, d):
-    x = table(spark, d, "lineitem").where("l_quantity >= 50")
-    return enrich.redundant(x.select(F.col("l_suppkey").alias("gene_set"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("element")), 0.9)
+    x = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    x = x.select(F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("gene_set"), F.date_format("o_orderdate", "yyyy-MM").alias("element"))
+    return enrich.redundant(x, 0.9)
 
 
 @bound("""WITH t AS (SELECT l_returnflag AS side, CAST(l_partkey AS BIGINT) e, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END) AS s FROM lineitem GROUP BY 1, 2), a AS (SELECT e, sign(s) s FROM t WHERE side = 'R' AND s <> 0), b AS (SELECT e, sign(s) s FROM t WHERE side = 'A' AND s <> 0),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,14 @@ _own_root: dict[str, str] = {}
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (a temporary folder only where that is unset) and read back:
-    lineage ends there, so an iterative operator plans each round afresh and a lost executor loses nothing."""
+    """df written as Parquet under spark.checkpoint.dir and read back: lineage ends there, so an iterative operator plans each
+    round afresh and a lost executor loses nothing. Where that is unset, a temporary folder serves if all runs on this machine;
+    on a cluster it is an error."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _own_root.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="assaylake-")
         _own_root[app] = root
