@@ -76,3 +76,60 @@ def concordance(one: DataFrame, two: DataFrame) -> DataFrame:
     c = a.join(b, "event", "full_outer").agg(F.count("_a").alias("na"), F.count("_b").alias("nb"), F.count_if(F.col("_a") == F.col("_b")).alias("same"), F.count_if(F.col("_a") != F.col("_b")).alias("opposite"))
     both = F.col("same") + F.col("opposite")
     return c.select("same", "opposite", F.try_divide(both, F.least("na", "nb")).alias("share"), F.when(both < 10, 0.5).otherwise(F.try_divide(F.col("same"), both)).alias("concordance"))
+
+
+def inherited(members: DataFrame, closed: DataFrame) -> DataFrame:
+    """(element, gene_set) with the members of a term's descendants as its own; closed is (child, ancestor)."""
+    up = members.join(closed, F.col("gene_set") == F.col("child")).select("element", F.col("ancestor").alias("gene_set"))
+    return members.select("element", "gene_set").unionByName(up).distinct()
+
+
+def pruned(terms: DataFrame, closed: DataFrame, score: str) -> DataFrame:
+    """terms (gene_set and score) without redundant ones: a term that scores no less than all its scored descendants stands for
+    them, one that a descendant outdoes goes, and of those that stand only the ones below none that stands are kept."""
+    own = terms.select("gene_set", F.col(score).alias("_s"))
+    below = closed.join(own.withColumnRenamed("gene_set", "child"), "child").groupBy(F.col("ancestor").alias("gene_set")).agg(F.max("_s").alias("_best"))
+    stands = own.join(below, "gene_set", "left").where(F.col("_best").isNull() | (F.col("_s") >= F.col("_best"))).select("gene_set")
+    covered = closed.join(stands, F.col("ancestor") == F.col("gene_set")).select(F.col("child").alias("gene_set")).distinct()
+    return terms.join(stands, "gene_set", "left_semi").join(covered, "gene_set", "left_anti")
+
+
+def genes_of_terms(hit: DataFrame, members: DataFrame, terms: DataFrame) -> DataFrame:
+    """(element, n, terms): the query's elements in any of the terms, how many those are, and their names in order."""
+    return hit.join(members, "element").join(terms.select("gene_set"), "gene_set", "left_semi").groupBy("element").agg(F.countDistinct("gene_set").alias("n"), F.array_join(F.array_sort(F.collect_set("gene_set")), "|").alias("terms"))
+
+
+def set_by_set(one: DataFrame, two: DataFrame, every: DataFrame) -> DataFrame:
+    """(a, b, r, n, tr, tn, sensitivity, specificity, z): sets of samples one (name, sample) against sets two, in a universe of
+    samples: common ones r, of b's n and a's tr. Pairs without a common sample have no row."""
+    a, b = one.select(F.col("name").alias("a"), "sample").distinct(), two.select(F.col("name").alias("b"), "sample").distinct()
+    tn = every.select("sample").distinct().agg(F.count("*").alias("tn"))
+    r = a.join(b, "sample").groupBy("a", "b").agg(F.count("*").alias("r"))
+    r = r.join(b.groupBy("b").agg(F.count("*").alias("n")), "b").join(a.groupBy("a").agg(F.count("*").alias("tr")), "a").join(F.broadcast(tn))
+    share = F.col("tr") / F.col("tn")
+    z = F.try_divide(F.col("r") - F.col("n") * share, F.sqrt(F.col("n") * share * (1 - share) * (1 - (F.col("n") - 1.0) / (F.col("tn") - 1.0))))
+    rest = F.col("tn") - F.col("tr")
+    return r.select("a", "b", "r", "n", "tr", "tn", (F.col("r") / F.col("tr")).alias("sensitivity"), F.try_divide(rest - F.col("n") + F.col("r"), rest).alias("specificity"), z.alias("z"))
+
+
+def fixed_universe(sets: DataFrame, tn: int, least_z: float, more: int) -> DataFrame:
+    """(gene_set, n, r, tr): z in a universe of a fixed size, of sets beyond that z with more than so many selected."""
+    share = F.col("tr") / F.lit(float(tn))
+    z = F.try_divide(F.col("r") - F.col("n") * share, F.sqrt(F.col("n") * share * (1 - share) * (1 - (F.col("n") - 1.0) / F.lit(tn - 1.0))))
+    return sets.withColumn("z", z).where((F.col("z") > least_z) & (F.col("r") > more))
+
+
+def coincident(m: DataFrame, pairs: DataFrame, over: float, least_z: float, more: int) -> DataFrame:
+    """(feature, sample, grp, value) and pairs (a, b): the group in which samples with both features over a threshold are most
+    frequent against all groups, where its z is above least_z and it has more than so many; ties to the smaller group."""
+    high = m.where(F.col("value") > over).select("feature", "sample", "grp").distinct()
+    both = pairs.join(high.select(F.col("feature").alias("a"), "sample", "grp"), "a").join(high.select(F.col("feature").alias("b"), "sample"), ["b", "sample"])
+    r = both.groupBy("a", "b", "grp").agg(F.count("*").alias("r"))
+    sizes = m.select("sample", "grp").distinct().groupBy("grp").agg(F.count("*").alias("n"))
+    w = W.partitionBy("a", "b")
+    s = r.join(F.broadcast(sizes), "grp").withColumn("tr", F.sum("r").over(w)).join(F.broadcast(sizes.agg(F.sum("n").alias("tn"))))
+    share = F.col("tr") / F.col("tn")
+    z = F.try_divide(F.col("r") - F.col("n") * share, F.sqrt(F.col("n") * share * (1 - share) * (1 - (F.col("n") - 1.0) / (F.col("tn") - 1.0))))
+    s = s.withColumn("z", z).where((F.col("z") > least_z) & (F.col("r") > more))
+    top = s.groupBy("a", "b").agg(F.min(F.struct((-F.col("z")).alias("d"), "grp", "r")).alias("x"))
+    return top.select("a", "b", F.col("x.grp").alias("grp"), F.col("x.r").alias("r"), (-F.col("x.d")).alias("z"))

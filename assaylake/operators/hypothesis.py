@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import tails
-from assaylake.operators.stats import _two, average_rank, step_up, tie_share
+from assaylake.operators.stats import _two, anova_f, average_rank, mann_whitney_u, pooled_t, step_up, tie_share, welch
 
 
 def paired_t(pairs: DataFrame) -> DataFrame:
@@ -203,17 +203,111 @@ def moderated_t(m: DataFrame, one: str, two: str) -> DataFrame:
     features' log variances, adjusted for their degrees of freedom; the statistic is an expression."""
     s = _two(m, one, two).withColumn("df", (F.col("n1") + F.col("n2") - 2).cast("double"))
     s = s.withColumn("s2", ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / F.col("df"))
-    h = F.col("df") / 2
-    e = F.when(F.col("s2") > 0, F.ln("s2") - tails.digamma(h) + F.ln(h))
-    prior = s.agg(F.avg(e).alias("mean"), F.var_samp(e).alias("var"), F.avg(F.when(F.col("s2") > 0, tails.trigamma(h))).alias("noise")).first()
-    spread = (prior["var"] or 0.0) - (prior["noise"] or 0.0)
+    found = prior(s, "s2", "df")
     log_fold = F.col("m1") - F.col("m2")
-    if prior["mean"] is None or spread <= 0:
-        shrunk, df = F.lit(float(np.exp(prior["mean"] or 0.0))), F.lit(1e10)
+    if found is None:
+        mean = s.agg(F.avg(F.when(F.col("s2") > 0, F.ln("s2") - tails.digamma(F.col("df") / 2) + F.ln(F.col("df") / 2)))).first()[0]
+        shrunk, df = F.lit(float(np.exp(mean or 0.0))), F.lit(1e10)
     else:
-        d0 = 2 * tails.trigamma_inverse(spread)
-        s0 = float(np.exp(prior["mean"] + tails.digamma_of(d0 / 2) - np.log(d0 / 2)))
+        s0, d0 = found
         shrunk, df = (F.lit(d0 * s0) + F.col("df") * F.col("s2")) / (F.lit(d0) + F.col("df")), F.col("df") + F.lit(d0)
     t = F.try_divide(log_fold, F.sqrt(shrunk * (1 / F.col("n1") + 1 / F.col("n2"))))
     out = s.select("feature", log_fold.alias("log_fold"), t.alias("t"), df.alias("df"))
     return out.withColumn("p", tails.t_two_sided(F.col("t"), F.col("df")))
+
+
+#: Tests of two groups by name; each gives a p for a feature.
+TESTS = {
+    "unpaired t-test": lambda m, one, two: pooled_t(m, one, two),
+    "Welch": lambda m, one, two: welch(m, one, two),
+    "moderated t-test": lambda m, one, two: moderated_t(m, one, two),
+    "moderated Welch": lambda m, one, two: moderated_welch(m, one, two),
+    "Mann Whitney": lambda m, one, two: mann_whitney_u(m, one, two),
+    "Rank Sums": lambda m, one, two: rank_sums(m, one, two),
+    "Kolmogorov Smirnov": lambda m, one, two: ks_two_sample(m, one, two),
+}
+
+
+def compare(m: DataFrame, one: str, two: str, test: str) -> DataFrame:
+    """(feature, p) by the named test, for every feature with a value in both groups; p is 1 where a group has a single value or the
+    test gives none."""
+    if test not in TESTS:
+        raise ValueError(f"no such test: {test}")
+    have = lambda g: F.count(F.when(F.col("grp") == g, F.col("value")))
+    sizes = m.groupBy("feature").agg(F.least(have(one), have(two)).alias("_n")).where("_n > 0")
+    p = TESTS[test](m, one, two).select("feature", "p")
+    return sizes.join(p, "feature", "left").select("feature", F.when(F.col("_n") > 1, F.coalesce("p", F.lit(1.0))).otherwise(1.0).alias("p"))
+
+
+def prior(s: DataFrame, variance: str, df: str) -> tuple[float, float] | None:
+    """The common variance and its degrees of freedom that features' variances are shrunk to; None if they show no spread. One
+    aggregation over the features' log variances, adjusted for their degrees of freedom."""
+    h = F.col(df) / 2
+    e = F.when(F.col(variance) > 0, F.ln(variance) - tails.digamma(h) + F.ln(h))
+    row = s.agg(F.avg(e).alias("mean"), F.var_samp(e).alias("var"), F.avg(F.when(F.col(variance) > 0, tails.trigamma(h))).alias("noise")).first()
+    spread = (row["var"] or 0.0) - (row["noise"] or 0.0)
+    if row["mean"] is None or spread <= 0:
+        return None
+    d0 = 2 * tails.trigamma_inverse(spread)
+    return float(np.exp(row["mean"] + tails.digamma_of(d0 / 2) - np.log(d0 / 2))), d0
+
+
+def moderated_welch(m: DataFrame, one: str, two: str) -> DataFrame:
+    """Welch's t with both groups' variances of the mean shrunk to a common prior."""
+    a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
+    df = F.try_divide((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
+    s = _two(m, one, two).withColumns({"a": a, "b": b, "df": F.coalesce(df, F.lit(1.0))}).withColumn("s2", F.col("a") + F.col("b"))
+    found = prior(s, "s2", "df")
+    s0, d0 = found or (0.0, 0.0)
+    shrunk = lambda c: (F.lit(d0 * s0) + F.col("df") * F.col(c)) / (F.lit(d0) + F.col("df"))
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(shrunk("a") + shrunk("b")))
+    return s.select("feature", t.alias("t"), "df").withColumn("p", tails.t_two_sided(F.col("t"), F.col("df")))
+
+
+def pairwise_groups(m: DataFrame, least: float, most_p: float) -> DataFrame:
+    """(feature, driver, hits): features whose groups differ (one-way p below most_p), with the group in most pairs that differ
+    by least in their means and have a t-test's p below most_p; ties to the smaller name."""
+    g = m.groupBy("feature", "grp").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v")).where("n > 1")
+    a, b = (g.select("feature", *[F.col(c).alias(f"{c}{i}") for c in ("grp", "n", "m", "v")]) for i in (1, 2))
+    pairs = a.join(b, "feature").where("grp1 < grp2")  # a feature's groups, not its values
+    df = (F.col("n1") + F.col("n2") - 2).cast("double")
+    se = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / df * (1 / F.col("n1") + 1 / F.col("n2")))
+    t = F.when(se > 0, (F.col("m1") - F.col("m2")) / se)
+    far = pairs.where(F.abs(F.col("m1") - F.col("m2")) > least).withColumn("_p", tails.t_two_sided(t, df)).where(F.col("_p") < most_p)
+    hits = far.select("feature", F.explode(F.array("grp1", "grp2")).alias("grp")).groupBy("feature", "grp").agg(F.count("*").alias("hits"))
+    top = hits.groupBy("feature").agg(F.min(F.struct((-F.col("hits")).alias("d"), "grp")).alias("x"))
+    whole = anova_f(m).where(F.col("p") < most_p).select("feature", "p")
+    return whole.join(top, "feature").select("feature", "p", F.col("x.grp").alias("driver"), (-F.col("x.d")).alias("hits"))
+
+
+def best_part(m: DataFrame, parts: DataFrame, most_p: float) -> DataFrame:
+    """(gene, f, feature): of each gene's parts whose groups differ with a p below most_p, the one of the largest F; ties to the
+    smaller."""
+    f = anova_f(m).where((F.col("p") < most_p) & F.col("f").isNotNull()).join(parts, "feature")
+    return f.groupBy("gene").agg(F.min(F.struct((-F.col("f")).alias("d"), "feature")).alias("x")).select("gene", (-F.col("x.d")).alias("f"), F.col("x.feature").alias("feature"))
+
+
+def bayes_factor(draws: DataFrame, smoothing: float = 0.3, least: float = 0.009, most: float = 1e12) -> DataFrame:
+    """(feature, one, two) posterior draws: the prior density of no difference, 1, over the posterior's at 0, by a Gaussian kernel
+    of smoothing times the standard deviation; 0 where the mean absolute difference is least or less, or all are equal."""
+    d = F.col("one") - F.col("two")
+    x = draws.select("feature", d.alias("d"))
+    s = x.groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.abs("d")).alias("_a"), F.stddev_samp("d").alias("_sd"))
+    h = F.col("_sd") * smoothing
+    k = x.join(s, "feature").groupBy("feature").agg(F.max("_a").alias("_a"), F.max("_sd").alias("_sd"), F.avg(F.when(F.col("_sd") > 0, F.exp(-F.col("d") * F.col("d") / (2 * h * h)) / (h * (2 * np.pi) ** 0.5))).alias("density"))
+    flat = (F.col("_a") <= least) | F.col("_sd").isNull() | (F.col("_sd") == 0)
+    return k.select("feature", F.when(flat, 0.0).otherwise(F.least(F.coalesce(F.try_divide(F.lit(1.0), F.col("density")), F.lit(most)), F.lit(most))).alias("bayes_factor"))
+
+
+def label_permutation(m: DataFrame, one: str, two: str, rounds: int, seed: int = 42) -> DataFrame:
+    """(feature, diff, p): the share of rounds in which as many values drawn at random for the first group give a difference of
+    means as far from 0. A round's draw is the smallest hashes of (seed, round, row); only sums leave a task."""
+    own = m.where(F.col("grp").isin(one, two) & F.col("value").isNotNull()).select("feature", "grp", "value")
+    size = W.partitionBy("feature")
+    rows = own.withColumn("_i", F.row_number().over(size.orderBy("grp", "value"))).withColumn("_n1", F.count_if(F.col("grp") == one).over(size)).withColumn("_n", F.count("*").over(size)).where("_n1 > 0 AND _n > _n1")
+    mean = lambda c: F.avg(F.when(c, F.col("value"))) - F.avg(F.when(~c, F.col("value")))
+    real = rows.groupBy("feature").agg(mean(F.col("grp") == one).alias("diff"))
+    turn = rows.select("feature", "value", "_i", "_n1", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round"))
+    place = F.row_number().over(W.partitionBy("feature", "_round").orderBy(F.xxhash64(F.lit(seed), "_round", "feature", "_i"), "_i"))
+    null = turn.withColumn("_k", place).groupBy("feature", "_round").agg(mean(F.col("_k") <= F.col("_n1")).alias("_d"))
+    return null.join(real, "feature").groupBy("feature", "diff").agg((F.count_if(F.abs("_d") >= F.abs("diff") - 1e-12) / F.lit(float(rounds))).alias("p"))

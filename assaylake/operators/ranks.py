@@ -28,3 +28,13 @@ def least_from_here(ranked: DataFrame, value: str, rank: str, part: str, out: st
     behind = ranked.groupBy(part).agg(F.min(value).alias("_m")).select(part, F.min("_m").over(later).alias("_behind"))
     own = F.min(value).over(W.partitionBy(part).orderBy(F.desc(rank)))
     return ranked.withColumn("_own", own).join(F.broadcast(behind), part).withColumn(out, F.least("_own", "_behind")).drop("_own", "_behind")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of value over a row and all before it in the order of the columns: that within its range, and those of
+    the ranges before."""
+    ranked = global_rank(df, order, "_k", "_n", "_part")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    sums = ranked.groupBy("_part").agg(F.sum(value).alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_ahead"))
+    own = F.sum(value).over(W.partitionBy("_part").orderBy("_k"))
+    return ranked.withColumn("_own", own).join(F.broadcast(sums), "_part").withColumn(out, F.col("_own") + F.col("_ahead")).drop("_k", "_n", "_part", "_own", "_ahead")

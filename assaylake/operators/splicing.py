@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -68,3 +68,30 @@ def predominant(x: DataFrame) -> DataFrame:
     share = F.try_divide("value", F.sum("value").over(w))
     first = F.row_number().over(w.orderBy(F.desc("value"), "isoform")) == 1
     return x.select("gene", "isoform", "sample", share.alias("share"), first.alias("main"))
+
+
+def aspire(before_in: Column, after_in: Column, before_out: Column, after_out: Column) -> Column:
+    """The change of inclusion from two reciprocal junctions' levels before and after: the mean of the change of the share, and
+    of what the two ratios of change solve for; null where they can't be solved."""
+    rise_in, rise_out = F.try_divide(before_in, after_in), F.try_divide(before_out, after_out)
+    solved = F.try_divide((rise_out - 1.0) - (rise_out - 1.0) * rise_in, rise_out - rise_in)
+    share = F.try_divide(after_in, after_in + after_out) - F.try_divide(before_in, before_in + before_out)
+    return (solved + share) / 2.0
+
+
+def event_kind(one: Column, two: Column) -> Column:
+    """The kind of event that two junctions 'E<exon>.<region>-E<exon>.<region>' make."""
+    part = lambda j, i: F.regexp_extract(j, r"E(\d+)\.(\d+)[^-]*-E(\d+)\.(\d+)", i).cast("int")
+    (a, ra, b, _), (c, rc, d, _) = ([part(j, i) for i in (1, 2, 3, 4)] for j in (one, two))
+    first = one.contains("E1.")
+    return (
+        F.when((a == c) & (b == d), F.when(ra == rc, "alt-3'").otherwise("alt-5'")).when(a == c, "cassette-exon")
+        .when(b == d, F.when(first, "altPromoter").otherwise("cassette-exon")).when(first | two.contains("E1.1"), "altPromoter").otherwise("cassette-exon")
+    )
+
+
+def uncover(pairs: DataFrame, one: str, two: str, by: str) -> DataFrame:
+    """Levels less the smallest that a pair's two sides have in common, sample by sample: of sides that overlap, what both
+    count is taken off once."""
+    low = F.min(F.least(one, two)).over(W.partitionBy(by))
+    return pairs.withColumn("_low", low).withColumns({one: F.col(one) - F.col("_low"), two: F.col(two) - F.col("_low")}).drop("_low")

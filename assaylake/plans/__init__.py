@@ -1,3 +1,3 @@
 """Queries by theme. Importing the package registers all of them in bindings.QUERIES and bindings.ORACLE_SQL."""
 
-from assaylake.plans import bindings, graphs, hypothesis, models, profiles, tables  # noqa: F401
+from assaylake.plans import advanced, bindings, graphs, hypothesis, models, profiles, tables  # noqa: F401
