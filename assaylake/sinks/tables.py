@@ -34,3 +34,25 @@ def write_by_comparison(results: DataFrame, path: str, comparison: str = "compar
 
 def write_interactions(edges: DataFrame, path: str) -> None:
     edges.select("a", "kind", "b").write.mode("overwrite").csv(path, sep="\t")
+
+
+def write_lists(calls: DataFrame, path: str, comparison: str = "comparison") -> None:
+    """A folder for each comparison and direction with the ids that are called so, and one with all ids as the denominator."""
+    every = calls.select(F.lit("denominator").alias(comparison), F.lit("all").alias("call"), "feature").distinct()
+    called = calls.where("call <> 'none'").select(comparison, "call", "feature")
+    called.unionByName(every).write.mode("overwrite").partitionBy(comparison, "call").csv(path, sep="\t")
+
+
+def clustered(m: DataFrame, samples: list[tuple[str, int]]) -> DataFrame:
+    """(feature, row_cluster, place, sample, value) as a clustered matrix: a column for each sample in the given order, row
+    clusters first, and the samples' clusters as a row of their own; rows by place."""
+    names = [s for s, _ in samples]
+    body = m.groupBy("feature", "row_cluster", "place").pivot("sample", names).agg(F.first("value"))
+    cells = [F.col(f"`{s}`").cast("string").alias(s) for s in names]
+    body = body.select("place", F.col("feature").alias("UID"), F.col("row_cluster").cast("string").alias("row_clusters-flat"), *cells)
+    top = m.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit("column_clusters-flat").alias("UID"), F.lit("").alias("row_clusters-flat"), *[F.lit(str(c)).alias(s) for s, c in samples])
+    return top.unionByName(body.withColumn("place", F.col("place").cast("long"))).orderBy("place").drop("place")
+
+
+def write_clustered(m: DataFrame, samples: list[tuple[str, int]], path: str) -> None:
+    clustered(m, samples).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="")
