@@ -15,6 +15,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that crosses to Python, where its rows are not larger themselves.
+BATCH = "4m"
 _own_root: dict[str, str] = {}
 
 
@@ -65,6 +67,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session is set to hand Python batches of BATCH bytes at most: whole texts, but few of them at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def apart(names: Sequence[str], own: Sequence[str]) -> list[str]:
     """names, each with underscores behind it until it is no other name's, whatever its case, and none of own's."""
     taken, out = {x.lower() for x in own}, []
@@ -100,7 +108,7 @@ def by_text(df: DataFrame, fn, schema: str, text: str = "text", carry: tuple[str
 
     types, own = dict(df.dtypes), columns_of(schema)
     head = "".join(f"_c{i} {types[c]}, " for i, c in enumerate(carry))
-    put = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)), F.col(f"`{text}`").alias("_t"))
+    put = small_batches(df).select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)), F.col(f"`{text}`").alias("_t"))
     return put.mapInArrow(batches, head + schema).toDF(*apart(carry, own), *own)
 
 

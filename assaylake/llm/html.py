@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _slices, apart, keep, read, trim
+from .common import _slices, apart, keep, read, small_batches, trim
 
 #: Share of a host's distinct pages that a class of template tokens is on at least, the least number of such pages, and the
 #: share of the text in slots that a content element holds at least where no element is marked as the article.
@@ -232,7 +232,7 @@ def page_tokens(pages: DataFrame, by_name: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "token", "text", "path", "n", "page"])
         trim()
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(batches, "host string, token long, text boolean, path long, n int, page long")
+    return small_batches(pages).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(batches, "host string, token long, text boolean, path long, n int, page long")
 
 
 def classes(pages: DataFrame, by_name: bool = True) -> DataFrame:
@@ -413,7 +413,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), by_na
 
     types = dict(pages.dtypes)
     head = "".join(f"_c{i} {types[c]}, " for i, c in enumerate(carry))
-    return joined.mapInArrow(batches, f"{head}text string, n_chars long").toDF(*apart(carry, ["text", "n_chars"]), "text", "n_chars")
+    return small_batches(joined).mapInArrow(batches, f"{head}text string, n_chars long").toDF(*apart(carry, ["text", "n_chars"]), "text", "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ftrl, by_text, char_ngrams, fit_temperature, id_bucket, read
+from .common import Ftrl, by_text, char_ngrams, fit_temperature, id_bucket, read, small_batches
 
 #: Orders of the n-grams, log2 of the buckets they are hashed into, labelled rows that the classifier is fitted on at
 #: most for each language and in all, passes over them, and characters of such a row's text that a step sees at once.
@@ -60,7 +60,7 @@ def document_frequencies(docs: DataFrame, text: str, bits: int = BITS) -> tuple[
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(n[at], texts), pa.int64())})
 
-    rows = docs.select(text).mapInArrow(batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = small_batches(docs).select(text).mapInArrow(batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((1 << bits) + 1, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])

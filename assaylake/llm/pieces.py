@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_text, read
+from .common import by_text, read, small_batches
 
 #: The mark that stands for a space, how far below the lowest score an unknown character scores, segments whose pieces a
 #: worker remembers beside those of the texts at hand (then the memory starts anew), characters of the longest of
@@ -194,8 +194,8 @@ class Lockstep:
         """The bytes of each segment's ids, as 32-bit numbers."""
         out: dict[str, bytes] = {}
         segments = sorted(segments, key=len, reverse=True)
-        for at in range(0, len(segments), 1 << 14):
-            part = segments[at : at + (1 << 14)]
+        for at in range(0, len(segments), 1 << 13):
+            part = segments[at : at + (1 << 13)]
             out.update(zip(part, self._segment(part), strict=True))
         return out
 
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", carry:
             "round_trip": pa.array([None if t is None else c.decode(i) == t for t, i in zip(texts, ids, strict=True)], pa.bool_()),
         }
 
-    return by_text(docs, of, "ids array<int>, n_pieces long, round_trip boolean", text, carry, 2 << 20)
+    return by_text(docs, of, "ids array<int>, n_pieces long, round_trip boolean", text, carry, 1 << 19)
 
 
 def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -288,7 +288,7 @@ def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", carry:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), texts], [*carry, "text"])
 
     types = dict(coded.dtypes)
-    return coded.select(*carry, ids).mapInArrow(batches, ", ".join([*(f"`{c}` {types[c]}" for c in carry), "text string"]))
+    return small_batches(coded).select(*carry, ids).mapInArrow(batches, ", ".join([*(f"`{c}` {types[c]}" for c in carry), "text string"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop_kept, keep, read, trim
+from .common import drop_kept, keep, read, small_batches, trim
 
 #: Vectors in a bucket and in a range of lengths, vectors of the greatest length that give the first thresholds, bytes of
 #: queries in a block, the local cosine threshold from which on coordinates prune a bucket for a query (below, lengths
@@ -43,7 +43,7 @@ def scaled(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame
                 ["id", "dim", "norm2", "v"],
             )
 
-    return vectors.select(F.col(f"`{key}`").cast("long"), F.col(f"`{vector}`")).mapInArrow(batches, "id long, dim int, norm2 double, v binary")
+    return small_batches(vectors).select(F.col(f"`{key}`").cast("long"), F.col(f"`{vector}`")).mapInArrow(batches, "id long, dim int, norm2 double, v binary")
 
 
 class Block:

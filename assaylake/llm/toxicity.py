@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ftrl, apart, by_text, char_ngrams, id_bucket, keep, read, trim
+from .common import Ftrl, apart, by_text, char_ngrams, id_bucket, keep, read, small_batches, trim
 
 #: Orders of the n-grams, log2 of the buckets they are hashed into, n-grams that the classifier keeps, labelled rows
 #: of each class that the ratios and that the weights are fitted on at most, and passes over the latter.
@@ -73,7 +73,7 @@ def class_counts(rows: DataFrame, text: str, label: str) -> tuple[DataFrame, tup
         trim()
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1), pa.int32()), "n0": pa.array(np.append(n[0, at], rows[0]), pa.int64()), "n1": pa.array(np.append(n[1, at], rows[1]), pa.int64())})
 
-    found = keep(rows.select(text, label).mapInArrow(batches, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    found = keep(small_batches(rows).select(text, label).mapInArrow(batches, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     n = found.where("bucket = -1").first()
     return found.where("bucket >= 0"), (n["n0"], n["n1"]) if n else (0, 0)
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
             yield pa.array([m.score(t.as_py()) for t in batch], pa.float64())
         trim()
 
-    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, apart(carry, ["toxicity"]), strict=True)), of(F.col(f"`{text}`")).alias("toxicity"))
+    return small_batches(docs).select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, apart(carry, ["toxicity"]), strict=True)), of(F.col(f"`{text}`")).alias("toxicity"))
 
 
 def trained(spark, sf_dir: str) -> Model:

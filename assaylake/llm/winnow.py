@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _slices, apart, drop_kept, keep, mix, read, trim
+from .common import _slices, apart, drop_kept, keep, mix, read, small_batches, trim
 
 #: Words of a window, and of a k-gram. The smallest of WINDOW - GRAM + 1 neighbouring k-grams is kept, so that
 #: every shared run of WINDOW words shares a kept k-gram.
@@ -27,6 +27,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Powers that are kept, and bytes of a piece that words' hashes are made of at once; a longer word is a piece of its own.
+USUAL, PIECE = 1 << 19, 1 << 18
 _made: dict[int, np.ndarray] = {}
 
 
@@ -34,13 +36,13 @@ def _powers(n: int, base: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64; the longest made for usual pieces is kept."""
     if len(_made.get(base, ())) >= n:
         return _made[base][:n]
-    out = np.ones(max(n, 1 << 21), np.uint64)
+    out = np.ones(max(n, USUAL), np.uint64)
     done, step = 1, np.uint64(base)
     with np.errstate(over="ignore"):
         while done < len(out):
             out[done : 2 * done] = out[: min(done, len(out) - done)] * step
             step, done = step * step, 2 * done
-    if len(out) == 1 << 21:
+    if len(out) == USUAL:
         _made[base] = out
     return out[:n]
 
@@ -50,7 +52,7 @@ class Words:
     places in the bytes, and 64-bit hashes that equal words share. Bytes of 128 and more are word characters all.
     Hashes are made piece by piece, so a very long text needs no more memory at once than its bytes and words."""
 
-    def __init__(self, data: np.ndarray, piece: int = 1 << 20):
+    def __init__(self, data: np.ndarray, piece: int = PIECE):
         self.data = LOWER[data]
         inside = IS_WORD[self.data]
         edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
@@ -116,7 +118,7 @@ def identity(w: Words, at: int, k: int) -> tuple[int, int]:
     return int(h[0]), int(h[1])
 
 
-def pieces(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, Words, np.ndarray]]:
     """(first row, rows, their words, the row of each word) of runs of texts."""
     for a, n in _slices(column, most):
         texts = [x.encode("utf-8", "surrogatepass") if x else b"" for x in column.slice(a, n).to_pylist()]
@@ -153,7 +155,7 @@ def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     names, kinds = ["item", "k", "h1", "h2", "g"], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return items.mapInArrow(batches, "item string, k int, h1 long, h2 long, g long")
+    return small_batches(items).mapInArrow(batches, "item string, k int, h1 long, h2 long, g long")
 
 
 def filter_of(prints: DataFrame, n: int) -> np.ndarray:
@@ -213,7 +215,7 @@ def scanned(docs: DataFrame, filt: np.ndarray, lengths: list[int], window: int,
         trim()
 
     kind = dict(docs.dtypes)["key"]
-    return docs.select(F.monotonically_increasing_id().alias("row"), "key", "text").mapInArrow(batches, f"row long, key {kind}, n_words long, prints array<struct<g:long,ws:array<struct<at:int,k:int,h1:long,h2:long>>>>")
+    return small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "key", "text").mapInArrow(batches, f"row long, key {kind}, n_words long, prints array<struct<g:long,ws:array<struct<at:int,k:int,h1:long,h2:long>>>>")
 
 
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -154,6 +154,27 @@ def test_coder_steps_together_as_alone(spark, folder):
     assert clash.columns == ["ids_", "text", "ids", "n_pieces", "round_trip"]
 
 
+def test_coder_equals_library():
+    """The library's unigram mode adds in single precision and rounds at the size of the two pieces that score -10**9, so those are
+    lifted here, for both."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(pieces.default_model(), "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for p in m.pieces:
+        p.score = max(p.score, -40000.0)
+    library = sentencepiece.SentencePieceProcessor()
+    library.LoadFromSerializedProto(m.SerializeToString())
+    c = pieces.Coder(pieces.Vocabulary([(p.piece, p.score, p.type) for p in m.pieces], m.normalizer_spec.add_dummy_prefix))
+    r = random.Random(6)
+    some = "the of with internationalisation straightforward things Größe élève 東京 naïve x1 3.14 e-mail ☃ don't a  b".split(" ")
+    lines = [" ".join(r.choice([*some, words(1), r.choice("abcdefghij") * r.randrange(1, 9)]) for _ in range(r.randrange(1, 40))) for _ in range(400)]
+    assert all(library.EncodeAsIds(x) == c.encode(x).tolist() for x in lines)
+
+
 WRAPPED = """Some title
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
