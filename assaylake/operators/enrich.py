@@ -133,3 +133,10 @@ def coincident(m: DataFrame, pairs: DataFrame, over: float, least_z: float, more
     s = s.withColumn("z", z).where((F.col("z") > least_z) & (F.col("r") > more))
     top = s.groupBy("a", "b").agg(F.min(F.struct((-F.col("z")).alias("d"), "grp", "r")).alias("x"))
     return top.select("a", "b", F.col("x.grp").alias("grp"), F.col("x.r").alias("r"), (-F.col("x.d")).alias("z"))
+
+
+def best_terms(tests: DataFrame, group: str, term: str, p: str, within: float) -> DataFrame:
+    """Each group's terms whose -log10 p is less than `within` below its best, and their places; ties by name."""
+    score = -F.log10(F.greatest(F.col(p), F.lit(1e-300)))
+    s = tests.withColumn("_s", score).withColumn("_top", F.max("_s").over(W.partitionBy(group))).where(F.col("_top") - F.col("_s") < within)
+    return s.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(p, term))).drop("_s", "_top")

@@ -26,3 +26,33 @@ def points_in(points: DataFrame, bands: DataFrame, by: list[str], at: str) -> Da
 def neighbours(x: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:
     w = W.partitionBy(*by).orderBy(*order)
     return x.select(key, F.lag(key).over(w).alias("before"), F.lead(key).over(w).alias("after"))
+
+
+def overlaps(one: DataFrame, two: DataFrame, by: list[str], width: int) -> DataFrame:
+    """(i, j) of two tables of intervals [start, end], both ends in, that share a point and the keys: bins of the width meet, and a
+    pair counts in the bin of its common part's start."""
+    binned = lambda t, n: t.select(*by, F.col("key").alias(n), F.col("start").alias(f"_s{n}"), F.col("end").alias(f"_e{n}"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
+    met = binned(one, "i").join(binned(two, "j"), [*by, "_bin"]).where((F.col("_si") <= F.col("_ej")) & (F.col("_sj") <= F.col("_ei")))
+    return met.where(F.col("_bin") == F.floor(F.greatest("_si", "_sj") / width)).select("i", "j")
+
+
+def matched(one: DataFrame, two: DataFrame, by: list[str], width: int) -> DataFrame:
+    """(key, n, least): for every interval of one how many of two overlap it, none included, and the smallest key of those."""
+    found = overlaps(one, two, by, width).groupBy(F.col("i").alias("key")).agg(F.count("*").alias("n"), F.min("j").alias("least"))
+    return one.select("key").join(found, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), "least")
+
+
+def genes_of(segments: DataFrame, genes: DataFrame, width: int) -> DataFrame:
+    """(key, gene, other): segments (key, chr, start, end) by the first gene (by its start, then its name) that both ends are in;
+    where there is none, the first genes of either end, if they differ: a segment from one gene to another. Both null: in no
+    gene. Positions meet genes by stretches of the width."""
+    g = genes.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))).select("chr", "_bin", "gene", F.col("start").alias("_gs"), F.col("end").alias("_ge"))
+    at = segments.select("key", "chr", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at")))).alias("x"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    met = at.withColumn("_bin", F.floor(F.col("x.at") / width)).join(g, ["chr", "_bin"]).where((F.col("_gs") <= F.col("x.at")) & (F.col("_ge") >= F.col("x.at")))
+    order = F.struct("_gs", "gene")
+    both = F.when((F.col("_gs") <= F.col("_s")) & (F.col("_ge") >= F.col("_e")), order)
+    s = met.groupBy("key").agg(F.min(both).alias("_b"), F.min(F.when(F.col("x.side") == 0, order)).alias("_l"), F.min(F.when(F.col("x.side") == 1, order)).alias("_r"))
+    one, two = F.col("_l.gene"), F.col("_r.gene")
+    first = F.coalesce(F.col("_b.gene"), one, two)
+    s = s.select("key", first.alias("gene"), F.when(F.col("_b").isNull() & one.isNotNull() & two.isNotNull() & (one != two), two).alias("other"))
+    return segments.select("key").join(s, "key", "left")

@@ -155,3 +155,12 @@ def nmf(cells: DataFrame, rank: int, rounds: int = 20, seed: int = 42) -> DataFr
         h = update(h, "sample", w, "feature")
         w = update(w, "feature", h, "sample")
     return h.select("sample", F.posexplode("f").alias("k", "weight"))
+
+
+def expand_labels(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(key, label) of the vectors without a label, by linear support vector machines of each label against the others."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    x = vectors.select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features"))
+    fit = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01)).fit(x.where("label IS NOT NULL"))
+    return fit.transform(x.where("label IS NULL")).select(key, F.col("prediction").cast("int").alias(label))

@@ -95,3 +95,35 @@ def uncover(pairs: DataFrame, one: str, two: str, by: str) -> DataFrame:
     count is taken off once."""
     low = F.min(F.least(one, two)).over(W.partitionBy(by))
     return pairs.withColumn("_low", low).withColumns({one: F.col(one) - F.col("_low"), two: F.col(two) - F.col("_low")}).drop("_low")
+
+
+def reciprocal(junctions: DataFrame) -> DataFrame:
+    """(gene, outer, inner, side): pairs of a gene's junctions (junction, left, right) that share one end, the longer one being
+    what leaves out. Only junctions of one end meet."""
+    out = None
+    for side, far in (("left", "right"), ("right", "left")):
+        a, b = (junctions.select("gene", side, F.col("junction").alias(n), F.col(far).alias(f"_{n}")) for n in ("outer", "inner"))
+        longer = F.col("_outer") > F.col("_inner") if side == "left" else F.col("_outer") < F.col("_inner")
+        met = a.join(b, ["gene", side]).where(longer).select("gene", "outer", "inner", F.lit(side).alias("side"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def isoform_junctions(exons: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gene, left, right, reads): counts of isoforms summed over the junctions between their exons that follow each other."""
+    after = F.lead("start").over(W.partitionBy("isoform").orderBy("start", "end"))
+    j = exons.withColumn("right", after).where("right IS NOT NULL").select("gene", "isoform", F.col("end").alias("left"), "right")
+    return j.join(counts, "isoform").groupBy("gene", "left", "right").agg(F.sum("reads").alias("reads"))
+
+
+def novel_ranked(m: DataFrame, over: float, samples: int) -> DataFrame:
+    """(gene, feature, top, place): features above a level in more than so many samples, by their largest value within their
+    gene; ties by feature."""
+    s = m.groupBy("gene", "feature").agg(F.max("value").alias("top"), F.count_if(F.col("value") > over).alias("_n")).where(F.col("_n") > samples).drop("_n")
+    return s.withColumn("place", F.row_number().over(W.partitionBy("gene").orderBy(F.desc("top"), "feature")))
+
+
+def counted_kinds(events: DataFrame, least: dict[str, int]) -> DataFrame:
+    """Events (event, kind, one, two) whose two counts together reach the least of their kind; kinds without one stay."""
+    bound = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in least.items()], F.lit(0))
+    return events.where(F.col("one") + F.col("two") >= bound)
