@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, read
+from .common import apart, keep, read
 
 #: Sites that a line must be on to count as boilerplate, registers of a sketch (2**LG_K), and how far from the threshold
 #: an estimate may lie, as a share of it, to be counted anew (twelve standard errors of such a sketch).
@@ -45,9 +45,12 @@ def drop_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     A line (without spaces at its ends) on min_sites distinct sites or more is boilerplate; its first occurrence, in the
     order of key and place, stays, so that no content leaves the corpus. Lines of spaces alone always stay. A null site is
     no site. A null text stays null with no lines, an empty text is one line. Rows that are repeated with key and text
-    count as one place and lose the same lines. Other columns pass through; the names n_lines, n_removed and those that
-    begin with _ are this operator's own.
+    count as one place and lose the same lines. Texts are taken whole, however long; an empty table gives no row. Other columns
+    pass through; one named as a result or as one of the operator's own (_text, _gid, _gtext, _gone) gets an underscore behind its name.
     """
+    names = apart(docs.columns, ["n_lines", "n_removed", "_text", "_gid", "_gtext", "_gone"])
+    now = dict(zip(docs.columns, names, strict=True))
+    docs, key, text, site = docs.toDF(*names), now[key], now[text], now[site]
     rows = line_rows(docs, key, text, site)
     spread = keep(spread_lines(rows, min_sites))
     hits = keep(rows.join(spread, ["_h1", "_h2"]).select("_h1", "_h2", F.struct("_id", "_pos", "_text").alias("_place")))
