@@ -83,3 +83,20 @@ def page_rank(spark, d):
 def expanded_labels(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("label"))
     return models.expand_labels(x, "vec_id", "embedding", "label")
+
+
+@bound("")
+def first_kept(spark, d):
+    """Suppliers whose mean quantities by line and flag correlate above 0.4 with none kept before them."""
+    from assaylake.operators import stats
+
+    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("feature"), F.concat(F.col("l_linenumber").cast("string"), "l_returnflag").alias("sample")).agg(F.avg(F.col("l_quantity").cast("double")).alias("value"))
+    return network.first_kept(m.select(F.col("feature").alias("node")), stats.correlate_pairs(m, 3).where("r > 0.4").select("a", "b"))
+
+
+@bound("")
+def linkage(spark, d):
+    """Labels' centroids, clustered."""
+    from assaylake.operators import profiles
+
+    return models.linkage(profiles.centroids(table(spark, d, "embeddings"), "label", "embedding"), "label", "centroid")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from assaylake.sources.kept import kept
+from assaylake.operators.ranks import global_rank
 
 
 def wide(m: DataFrame, samples: list[str]) -> DataFrame:
@@ -20,10 +19,9 @@ def write_matrix(m: DataFrame, samples: list[str], path: str) -> None:
 
 def triplets(m: DataFrame) -> DataFrame:
     """(row, column, count) of the cells that aren't zero, numbered from 1 in the order of names; counts are 2^x - 1, cut to
-    whole numbers. Names get their numbers from a window over the distinct names, a row each."""
-    f = kept(m.select("feature").distinct().withColumn("row", F.row_number().over(W.orderBy("feature"))))
-    s = kept(m.select("sample").distinct().withColumn("column", F.row_number().over(W.orderBy("sample"))))
-    x = m.where("value != 0").join(f, "feature").join(s, "sample")
+    whole numbers. Names are numbered by ranges, so that no task holds them all."""
+    numbered = lambda c, n: global_rank(m.select(c).distinct(), [c], n, "_n", "_part").select(c, n)
+    x = m.where("value != 0").join(numbered("feature", "row"), "feature").join(numbered("sample", "column"), "sample")
     return x.select("row", "column", (F.pow(F.lit(2.0), "value") - 1).cast("long").alias("count"))
 
 

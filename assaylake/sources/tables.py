@@ -19,7 +19,8 @@ def matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
         return spark.createDataFrame([], "feature string, sample string, value double")
     names = head[0].replace('"', "").rstrip("\r").split(sep)
     cells = F.split(F.regexp_replace("value", '["\r]', ""), sep, -1)
-    rows = lines.where(F.col("value") != head[0]).select(cells.alias("c"), F.array(*[F.lit(n) for n in names]).alias("n"))
+    header = spark.createDataFrame([(names,)], "n array<string>")  # one row, whatever the samples
+    rows = lines.where(F.col("value") != head[0]).select(cells.alias("c")).join(F.broadcast(header))
     pairs = rows.select(F.regexp_replace(F.col("c")[0], r"^(ENSG\d+)\.\d+$", "$1").alias("feature"), F.explode(F.slice(F.arrays_zip("n", "c"), 2, max(len(names) - 1, 0))).alias("p"))
     return pairs.select("feature", F.col("p.n").alias("sample"), F.col("p.c").try_cast("double").alias("value"))
 
