@@ -37,7 +37,8 @@ def overlaps(one: DataFrame, two: DataFrame, by: list[str], width: int) -> DataF
 
 
 def matched(one: DataFrame, two: DataFrame, by: list[str], width: int) -> DataFrame:
-    """(key, n, least): for every interval of one how many of two overlap it, none included, and the smallest key of those."""
+    """(key, n, least): for every interval of one how many of two overlap it, none included, and the smallest key of those. Keys of
+    one are unique."""
     found = overlaps(one, two, by, width).groupBy(F.col("i").alias("key")).agg(F.count("*").alias("n"), F.min("j").alias("least"))
     return one.select("key").join(found, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), "least")
 

@@ -28,9 +28,10 @@ def genes_of_segments(spark, d):
     return intervals.genes_of(_segments(spark, d), _genes(spark, d), 64)
 
 
-@bound(f"WITH g AS ({_GENES}), s AS ({_SEGMENTS}) SELECT CAST(s.key AS BIGINT) AS key, count(gene) AS n, CAST(min(gene) AS BIGINT) AS least FROM s LEFT JOIN g ON g.chr = s.chr AND g.s <= s.e AND s.s <= g.e GROUP BY 1")
+@bound(f"WITH g AS ({_GENES}), s AS (SELECT DISTINCT key || chr AS key, chr, s, e FROM ({_SEGMENTS})) SELECT s.key, count(gene) AS n, CAST(min(gene) AS BIGINT) AS least FROM s LEFT JOIN g ON g.chr = s.chr AND g.s <= s.e AND s.s <= g.e GROUP BY 1")
 def matched_intervals(spark, d):
-    return intervals.matched(_segments(spark, d), _genes(spark, d), ["chr"], 64)
+    one = _segments(spark, d).withColumn("key", F.concat(F.col("key").cast("string"), "chr")).distinct()
+    return intervals.matched(one, _genes(spark, d), ["chr"], 64)
 
 
 _J = "SELECT DISTINCT l_partkey AS gene, l_linenumber AS s, l_linenumber + 1 + l_suppkey % 5 AS e, l_linenumber || '-' || (l_linenumber + 1 + l_suppkey % 5) AS j FROM lineitem"
