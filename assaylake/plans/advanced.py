@@ -176,7 +176,7 @@ _CO = "SELECT event_type AS feature, CAST(user_id AS BIGINT) AS sample, 'g' || C
 
 
 @bound(f"""WITH m AS ({_CO}), h AS (SELECT * FROM m WHERE value > 60), p AS (SELECT DISTINCT x.feature a, y.feature b FROM m x JOIN m y ON x.feature < y.feature), r AS (SELECT a, b, x.grp, count(*) r FROM p JOIN h x ON x.feature = a JOIN h y ON y.feature = b AND y.sample = x.sample GROUP BY 1, 2, 3),
-  n AS (SELECT grp, count(DISTINCT sample) n FROM m GROUP BY 1), s AS (SELECT *, sum(r) OVER (PARTITION BY a, b) tr, (SELECT sum(n) FROM n) tn FROM r JOIN n USING (grp)), z AS (SELECT a, b, grp, r, (r - n * tr / tn) / sqrt(n * (tr / tn) * (1 - tr / tn) * (1 - (n - 1.0) / (tn - 1.0))) AS z FROM s)
+  n AS (SELECT grp, count(DISTINCT sample) n FROM m GROUP BY 1), s AS (SELECT *, sum(r) OVER (PARTITION BY a, b) tr, (SELECT sum(n) FROM n) tn FROM r JOIN n USING (grp)), z AS (SELECT a, b, grp, r, (r - n * tr / tn) / nullif(sqrt(greatest(n * (tr / tn) * (1 - tr / tn) * (1 - (n - 1.0) / nullif(tn - 1.0, 0)), 0)), 0) AS z FROM s)
   SELECT a, b, grp, r, round(z, 6) + 0.0 AS z FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY z DESC, grp) k FROM z WHERE z > 0.2 AND r > 1) WHERE k = 1""")
 def coincident(spark, d):
     e = table(spark, d, "events")

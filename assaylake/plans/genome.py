@@ -101,3 +101,44 @@ def linkage(spark, d):
     from assaylake.operators import profiles
 
     return models.linkage(profiles.centroids(table(spark, d, "embeddings"), "label", "embedding"), "label", "centroid")
+
+
+_RHO = """SELECT feature, grp, c, s, n, t, q FROM (SELECT *, sum(c) OVER w n, sum(s) OVER w t, sum(q0) OVER w q FROM (SELECT feature, grp, count(*) c, sum(value) s, sum(value * value) q0 FROM (SELECT CAST(l_partkey AS BIGINT) feature, {0} AS grp, CAST(l_quantity AS DOUBLE) AS value FROM lineitem) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)) WHERE c < n"""
+_RHOS = "SELECT '{0}' AS grouping, feature, grp, CASE WHEN sqrt(greatest(q / n - (t / n) ** 2, 0)) > 1e-9 THEN (s / c - t / n) / sqrt(greatest(q / n - (t / n) ** 2, 0)) * sqrt((c * 1.0 / n) / (1 - c * 1.0 / n)) END AS rho FROM ({1})"
+
+
+@bound("SELECT grouping, grp, feature, rho + 0.0 AS rho, place FROM (SELECT grouping, grp, feature, rho, row_number() OVER (PARTITION BY grouping, grp ORDER BY rho DESC, feature) AS place FROM (SELECT grouping, feature, grp, round(rho, 6) AS rho FROM (" + " UNION ALL ".join(_RHOS.format(g, _RHO.format(g)) for g in ("l_returnflag", "l_linestatus")) + ") ) WHERE rho > 0.2) WHERE place <= 20")
+def markers_by_grouping(spark, d):
+    """The best markers of each group, for one grouping of the samples after the other."""
+    from assaylake.operators import profiles, tables
+
+    x = table(spark, d, "lineitem")
+    one = lambda g: profiles.template_rho(x.select(F.col("l_partkey").alias("feature"), F.col(g).alias("grp"), F.col("l_quantity").cast("double").alias("value"))).withColumn("rho", F.round("rho", 6))
+    found = tables.appended({g: profiles.top_markers(one(g), 20, 0.2) for g in ("l_returnflag", "l_linestatus")}, "grouping")
+    return found.select("grouping", "grp", "feature", "rho", "place")
+
+
+_COV = "SELECT '{0}' AS covariate, feature, m1 - m2 AS log_fold FROM (SELECT CAST(l_partkey AS BIGINT) feature, avg(CAST(l_quantity AS DOUBLE)) FILTER ({1}) m1, avg(CAST(l_quantity AS DOUBLE)) FILTER ({2}) m2, count(*) FILTER ({1}) n1, count(*) FILTER ({2}) n2 FROM lineitem GROUP BY 1) WHERE n1 > 1 AND n2 > 1"
+_COVARIATES = {"flag": ("l_returnflag = 'R'", "l_returnflag = 'A'"), "status": ("l_linestatus = 'O'", "l_linestatus = 'F'")}
+
+
+@bound("SELECT covariate, feature, round(log_fold, 6) + 0.0 AS log_fold FROM (" + " UNION ALL ".join(_COV.format(n, *c) for n, c in _COVARIATES.items()) + ")")
+def covariate_folds(spark, d):
+    """The comparison of two groups for each covariate, one after the other."""
+    from assaylake.operators import stats, tables
+
+    x = table(spark, d, "lineitem")
+    one = lambda c: stats.pooled_t(x.select(F.col("l_partkey").alias("feature"), F.when(F.expr(c[0]), "one").when(F.expr(c[1]), "two").alias("grp"), F.col("l_quantity").cast("double").alias("value")), "one", "two").select("feature", "log_fold")
+    return tables.appended({n: one(c) for n, c in _COVARIATES.items()}, "covariate").select("covariate", "feature", "log_fold")
+
+
+@bound("""WITH d AS (SELECT l_partkey p, l_returnflag g, avg(CASE WHEN l_discount < 0.05 THEN 1.0 ELSE 0.0 END) s, avg(CAST(l_quantity AS DOUBLE)) m FROM lineitem GROUP BY 1, 2), k AS (SELECT p FROM d WHERE s >= 0.5 AND m >= 25 GROUP BY 1)
+  SELECT p_brand AS gene, CAST(p AS BIGINT) AS feature FROM k JOIN part ON p_partkey = p WHERE p IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)""")
+def marker_parts(spark, d):
+    """Parts that are detected and expressed in some group and are among the results of another analysis, with their gene."""
+    from assaylake.operators import tables
+
+    x = table(spark, d, "lineitem")
+    m = x.select(F.col("l_partkey").alias("feature"), F.col("l_returnflag").alias("grp"), F.col("l_quantity").cast("double").alias("value"), F.col("l_discount").alias("p"))
+    found = tables.detected(m, 0.05, 0.5, 25.0).join(x.where("l_quantity = 50").select(F.col("l_partkey").alias("feature")), "feature", "left_semi")
+    return found.join(table(spark, d, "part"), F.col("feature") == F.col("p_partkey")).select(F.col("p_brand").alias("gene"), "feature")

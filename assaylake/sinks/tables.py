@@ -13,6 +13,17 @@ def wide(m: DataFrame, samples: list[str]) -> DataFrame:
     return m.groupBy("feature").pivot("sample", samples).agg(F.first("value")).select("feature", *[F.col(f"`{s}`") for s in samples])
 
 
+def chosen(m: DataFrame, samples: list[str], missing: str = "drop") -> DataFrame:
+    """wide() of the samples on a list, in its order. One that the matrix lacks is left out ('drop'), a column of nulls ('include')
+    or an error ('error'). What comes to the driver are the names of those that it has."""
+    if missing not in ("drop", "include", "error"):
+        raise ValueError(f"no such mode: {missing}")
+    have = {r["sample"] for r in m.where(F.col("sample").isin(*samples)).select("sample").distinct().collect()}
+    if missing == "error" and (lack := [s for s in samples if s not in have]):
+        raise ValueError(f"no samples named {', '.join(lack)}")
+    return wide(m, samples if missing == "include" else [s for s in samples if s in have])
+
+
 def write_matrix(m: DataFrame, samples: list[str], path: str) -> None:
     wide(m, samples).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="")
 

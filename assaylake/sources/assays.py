@@ -23,10 +23,18 @@ def junctions(spark: SparkSession, path: str, dialect: str, least: float = 0.0)
 
     'bed12': block sizes give the overhangs. 'star': nine columns with the gap's own first and last base; unique and multiple
     reads count. 'tcga': "chr:pos:strand,chr:pos:strand" and a count. 'coverage': ten columns of an exon's coverage, whose ends
-    stand for left and right."""
-    if dialect == "bed12":
+    stand for left and right. 'hmm' and 'splicemap' are bed12 with the reads in the name, behind "|junc=" or in brackets before it;
+    names without them are left out. 'bioscope_exon': nine columns, of which rows of kind exon count, with left and right one base
+    inside. 'bioscope_junction': 22 columns; paired and single reads count."""
+    if dialect in ("bed12", "hmm", "splicemap"):
         sizes = F.split(F.col("c")[10], ",")
-        t = _fields(spark, path, 12).select(F.col("c")[0].alias("chrom"), (_n(1) + sizes[0].try_cast("long")).alias("left"), (_n(2) - F.get(sizes, F.lit(1)).try_cast("long") + 1).alias("right"), F.col("c")[5].alias("strand"), F.col("c")[4].try_cast("double").alias("reads"), "file")
+        counted = {"bed12": F.col("c")[4], "hmm": F.regexp_extract(F.col("c")[3], r"\|junc=([0-9.]+)$", 1), "splicemap": F.regexp_extract(F.col("c")[3], r"^\(([0-9.]+)\)", 1)}[dialect]
+        t = _fields(spark, path, 12).select(F.col("c")[0].alias("chrom"), (_n(1) + sizes[0].try_cast("long")).alias("left"), (_n(2) - F.get(sizes, F.lit(1)).try_cast("long") + 1).alias("right"), F.col("c")[5].alias("strand"), counted.try_cast("double").alias("reads"), "file")
+    elif dialect == "bioscope_exon":
+        t = _fields(spark, path, 9).where(F.col("c")[2] == "exon").select(F.col("c")[0].alias("chrom"), (_n(3) + 1).alias("left"), (_n(4) - 1).alias("right"), F.col("c")[6].alias("strand"), F.col("c")[5].try_cast("double").alias("reads"), "file")
+    elif dialect == "bioscope_junction":
+        whole = lambda i: F.floor(F.col("c")[i].try_cast("double"))
+        t = _fields(spark, path, 22).select(F.col("c")[1].alias("chrom"), _n(4).alias("left"), _n(8).alias("right"), F.col("c")[2].alias("strand"), (whole(17) + whole(19)).cast("double").alias("reads"), "file")
     elif dialect == "star":
         strand = F.when(F.col("c")[3] == "1", "+").when(F.col("c")[3] == "2", "-").otherwise(".")
         t = _fields(spark, path, 9).select(F.col("c")[0].alias("chrom"), (_n(1) - 1).alias("left"), (_n(2) + 1).alias("right"), strand.alias("strand"), (_n(6) + _n(7)).cast("double").alias("reads"), "file")

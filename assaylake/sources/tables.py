@@ -39,6 +39,13 @@ def clustered_matrix(spark: SparkSession, path: str) -> DataFrame:
     return values.join(rows, "feature", "left").join(labels, "sample", "left").select("feature", "sample", "row_cluster", F.col("column_cluster").try_cast("long").alias("column_cluster"), "value")
 
 
+def clustered_tree_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """A .cdt file: (feature, sample, value) without the columns of ids, names and weights that come before the samples, nor the
+    rows of array ids and weights."""
+    m = matrix(spark, path)
+    return m.where(~F.col("sample").isin("CLID", "GID", "NAME", "GWEIGHT", "UNIQID") & ~F.col("feature").isin("AID", "EWEIGHT", "GID"))
+
+
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """Lines of an interval file: chrom, start, end, and name, score and strand where present. Headers are left out."""
     cols = F.split("value", "\t")

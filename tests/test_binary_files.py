@@ -5,6 +5,8 @@ import sqlite3
 import struct
 import zipfile
 
+import pytest
+
 from assaylake.operators import tables
 from assaylake.sinks import tables as sinks
 from assaylake.sources import files
@@ -82,3 +84,31 @@ def test_lists_and_clustered_matrix(spark, tmp_path):
     m = spark.createDataFrame([("g1", 2, 2, "s1", 1.0), ("g1", 2, 2, "s2", 2.0), ("g2", 1, 1, "s2", 3.0)], "feature string, row_cluster int, place int, sample string, value double")
     got = [tuple(r) for r in sinks.clustered(m, [("s2", 1), ("s1", 2)]).collect()]
     assert got == [("column_clusters-flat", "", "1", "2"), ("g2", "1", "3.0", None), ("g1", "2", "2.0", "1.0")]
+
+
+def test_junction_dialects_with_reads_in_names(spark, tmp_path):
+    from assaylake.sources import assays
+
+    bed = "chr1\t100\t300\t{}\t9\t+\t100\t300\t0\t2\t20,30\t0,170\n"
+    (tmp_path / "h.bed").write_text('track name="x"\n' + bed.format("j|junc=7") + bed.format("none"))
+    (tmp_path / "s.bed").write_text(bed.format("(5)[2_1]") + bed.format("x"))
+    for name, dialect, reads in (("h.bed", "hmm", 7.0), ("s.bed", "splicemap", 5.0)):
+        got = assays.junctions(spark, str(tmp_path / name), dialect).collect()
+        assert [(r.chrom, r.left, r.right, r.strand, r.reads) for r in got] == [("chr1", 120, 271, "+", reads)]
+    (tmp_path / "e.tab").write_text("chr2\ts\texon\t10\t90\t12\t-\t.\tg\nchr2\ts\tCDS\t10\t90\t12\t-\t.\tg\n")
+    assert [(r.left, r.right, r.reads) for r in assays.junctions(spark, str(tmp_path / "e.tab"), "bioscope_exon").collect()] == [(11, 89, 12.0)]
+    c = ["x"] * 22
+    c[1], c[2], c[4], c[8], c[17], c[19] = "chr3", "-", "50", "80", "3.0", "2.9"
+    (tmp_path / "j.tab").write_text("\t".join(c) + "\n")
+    assert [(r.chrom, r.left, r.right, r.strand, r.reads) for r in assays.junctions(spark, str(tmp_path / "j.tab"), "bioscope_junction").collect()] == [("chr3", 50, 80, "-", 5.0)]
+
+
+def test_cdt_and_chosen_samples(spark, tmp_path):
+    from assaylake.sources import tables as sources
+
+    (tmp_path / "x.cdt").write_text("GID\tUNIQID\tNAME\tGWEIGHT\ts1\ts2\nAID\t\t\t\tARRY0X\tARRY1X\nEWEIGHT\t\t\t\t1\t1\nGENE0X\tg1\tg1\t1\t2.5\t\n")
+    got = sources.clustered_tree_matrix(spark, str(tmp_path / "x.cdt"))
+    assert sorted((r.feature, r["sample"], r.value) for r in got.fillna(-1.0).collect()) == [("GENE0X", "s1", 2.5), ("GENE0X", "s2", -1.0)]
+    assert sinks.chosen(got, ["s2", "no", "s1"]).columns == ["feature", "s2", "s1"] and sinks.chosen(got, ["no", "s1"], "include").columns == ["feature", "no", "s1"]
+    with pytest.raises(ValueError, match="no samples named no"):
+        sinks.chosen(got, ["no", "s1"], "error")
