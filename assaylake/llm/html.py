@@ -168,6 +168,7 @@ class Page:
             elif not attributes.endswith("/") or inline or tag in CLOSES_P:
                 stack.append((tag, me, link or tag == "a"))
                 opened[tag] = opened.get(tag, 0) + 1
+        self._keys: list[int | None] | None = None
         self._sizes()
         whole = self.size[0]
         around = self.art.copy()
@@ -193,18 +194,24 @@ class Page:
             self.size[self.up[i]] += self.size[i]
             self.linked[self.up[i]] += self.linked[i]
 
+    def keys(self) -> list[int | None]:
+        """For each item of flow the token of its text, by path and words; None for block ends and outside of what counts."""
+        if self._keys is None:
+            self._keys = [hashed(self.path[x[0]], text) if x and not self.off[x[0]] and (text := " ".join(x[2].split())) else None for x in self.flow]
+        return self._keys
+
     def tokens(self) -> list[tuple[int, bool, int]]:
         """(token, whether it is text, element's path) in the order of the page: its elements by their paths, and its runs of
         text outside boilerplate by path and words."""
         out, seen = [], 0
-        for x in self.flow:
+        for x, key in zip(self.flow, self.keys(), strict=True):
             if x is None:
                 continue
             while seen <= x[0]:
                 out.append((self.path[seen], False, self.path[seen]))
                 seen += 1
-            if not self.off[x[0]] and (text := " ".join(x[2].split())):
-                out.append((hashed(self.path[x[0]], text), True, self.path[x[0]]))
+            if key is not None:
+                out.append((key, True, self.path[x[0]]))
         out += [(p, False, p) for p in self.path[seen:]]
         return out
 
@@ -276,8 +283,8 @@ def page_classes(page: Page, known: dict[int, int], root: int) -> tuple[dict[int
         low, high = slots.get(c, (slot, slot))
         slots[c] = min(low, slot), max(high, slot)
     size, linked = [0] * len(page.up), [0] * len(page.up)
-    for x in page.flow:
-        if x and not page.off[x[0]] and hashed(page.path[x[0]], " ".join(x[2].split())) not in known:
+    for x, key in zip(page.flow, page.keys(), strict=True):
+        if x and not page.off[x[0]] and key not in known:
             k = len(x[2].strip())
             size[x[0]] += k
             linked[x[0]] += k * x[1]
@@ -372,13 +379,18 @@ def extract_page(html: str | None, fixed: list[int] | None, roots: list[int] | N
     for i in range(len(page.up)):
         above = page.up[i]
         inside[i] = (page.path[i] in wanted or above >= 0 and inside[above]) and (page.path[i] not in unwanted or page.path[i] in wanted)
+    live = [x is not None and inside[x[0]] and not page.off[x[0]] for x in page.flow]
+    gone = [y and key in constant for y, key in zip(live, page.keys(), strict=True)] if constant else [False] * len(live)
+    # where most of the content would go, the host's pages repeat one article: that is no template
+    if 2 * sum(len(x[2].strip()) for x, y in zip(page.flow, gone, strict=True) if y) > sum(len(x[2].strip()) for x, y in zip(page.flow, live, strict=True) if y):
+        gone = [False] * len(gone)
     blocks, block = [], []
-    for x in page.flow:
+    for x, y, z in zip(page.flow, live, gone, strict=True):
         if x is None:
             if block:
                 blocks.append(block)
                 block = []
-        elif inside[x[0]] and not page.off[x[0]] and not (constant and hashed(page.path[x[0]], " ".join(x[2].split())) in constant):
+        elif y and not z:
             block.append(x[2])
     blocks.append(block)
     lines = (" ".join(unescape("".join(b)).split()) for b in blocks)
@@ -389,7 +401,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), by_na
     """The columns in carry, text and n_chars of every page (columns url and html).
 
     Kept is the text in the content slots of the host's template, see templates and content: not the texts of valid classes, on
-    which all such pages agree, and not what names of elements or roles, or as a last resort classes and ids, mark as menus,
+    which all such pages agree (unless they are most of a page's content: then the host repeats one article), and not what names of elements or roles, or as a last resort classes and ids, mark as menus,
     headers, footers, side bars, notices, adverts, forms and comments. Hosts of fewer than MIN_PAGES distinct pages have
     no template, and their pages go by their own elements. Character references are decoded, white space in a block is one
     space, blocks are joined by an empty line. Null and empty html give an empty text; pages with a null or broken url share the
