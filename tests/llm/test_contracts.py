@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assaylake.llm import html, langid, licences, pieces, shards, simhash, toxicity, winnow
+from assaylake.llm import html, langid, licences, lines, pieces, shards, simhash, toxicity, winnow
 
 RNG = random.Random(13)
 LONG = "the long dog " * 40000
@@ -241,6 +241,14 @@ def test_notice_inside_articles(spark):
     assert all(got[i] == "\n\n".join(t) for i, t in texts.items()) and got[9] == f"{texts[0][0]}\n\nOwn part\n\n{texts[0][1]}"
 
 
+def test_host_of_one_article(spark):
+    """Pages that differ around one and the same article keep it."""
+    text = [words(20), words(30)]
+    data = [(i, "http://one.example/a", f"<nav><a href=x>{words(2)}</a></nav><article><h1>{text[0]}</h1><p>{text[1]}</p><p>{words(3)}</p></article>") for i in range(6)]
+    got = [r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()]
+    assert all(x.startswith("\n\n".join(text)) for x in got)
+
+
 def test_classes_equal_plain(spark):
     data = []
     for h, n in (("a.example", 9), ("b.example", 5), ("c.example", 2)):
@@ -283,3 +291,25 @@ def test_page_cases():
         assert one(f"<div class={c}><article><p>text</p></article></div>") == "text"
     assert one("<main><p>text</p><div class=comments><p>me too</p></div><div id=comment-list>x</div><div class='post-comments'>y</div></main>") == "text"
     assert one(None) == one("") == "" and one("<" * 5000) != ""
+
+
+def test_lines_clash_and_length(spark):
+    long = "\n".join(f"own {i}" for i in range(20000))
+    rows = [(i, f"a {i}\nshared", f"s{i}", "x", i) for i in range(11)] + [(20, long + "\nshared", "s1", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines string, _text long")
+    out = lines.drop_boilerplate(df)
+    assert out.columns == ["doc_id", "text", "source", "n_lines_", "_text_", "n_lines", "n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[20].text == long and got[20].n_lines == 20001 and got[20].n_removed == 1 and got[3]._text_ == 3 and got[3].n_lines_ == "x"
+
+
+def test_names_and_repeats_of_pages_and_languages(spark, folder):
+    pages = spark.createDataFrame([(1, "u", "<article>a</article>")] * 2, "text long, n_chars string, html string").withColumn("url", F.lit("http://x/"))
+    out = html.extract(pages, carry=("text", "n_chars"))
+    assert out.columns == ["text_", "n_chars_", "text", "n_chars"] and [tuple(r) for r in out.collect()] == [(1, "u", "a", 1)] * 2
+    m = langid.train(spark.read.parquet(f"{folder}/documents.parquet"))
+    got = langid.predict(spark.createDataFrame([("k", "the cat and the dog")] * 2, "score string, text string"), m, carry=("score",))
+    rows = got.collect()
+    assert got.columns == ["score_", "lang_pred", "score"] and len(rows) == 2 and rows[0] == rows[1] and rows[0][1] == "en"
+    long = langid.predict(spark.createDataFrame([(1, LONG * 4)], "doc_id long, text string"), m).first()
+    assert long.lang_pred == "en"
