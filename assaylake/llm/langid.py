@@ -15,15 +15,23 @@ from .common import Ftrl, by_text, char_ngrams, fit_temperature, id_bucket, read
 #: most for each language and in all, passes over them, and characters of such a row's text that a step sees at once.
 ORDERS, BITS, PER_CLASS, MOST_ROWS, EPOCHS = (1, 2, 3), 15, 600, 6000, 2
 UNKNOWN = "und"
+_OTHER = re.compile(r"[\W\d_]+")
 #: Numerals that \d doesn't hold, such as fractions: no letters either.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_OTHER = re.compile(rf"[\W\d_{_NUMERALS}]+")
-_LETTER = re.compile(rf"[^\W\d_{_NUMERALS}]")
+_NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_BLANK = dict.fromkeys(map(ord, _NUMERALS), " ")
+
+
+def has_letter(text: str) -> bool:
+    return next(filter(str.isalpha, text), None) is not None
 
 
 def letters(text: str | None) -> str:
     """Lower-case words of letters with one space around each."""
-    return f" {_OTHER.sub(' ', text.lower()).strip()} " if text else ""
+    if not text:
+        return ""
+    if not text.isascii() and not _NUMERALS.isdisjoint(text):
+        text = text.translate(_BLANK)
+    return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
 def counts(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +85,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its calibrated probability; ('und', 0) without a letter or a language learned."""
-        if not self.langs or not text or not _LETTER.search(text):
+        if not self.langs or not text or not has_letter(text):
             return UNKNOWN, 0.0
         z = self.logits(*counts(text)) / self.temperature
         p = np.exp(z - z.max())
