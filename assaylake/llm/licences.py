@@ -195,11 +195,14 @@ class Model:
 
 def drawn_paragraphs(docs: DataFrame, text: str, key: str, most: int) -> list[str]:
     """A line of each of at most `most` documents: those of the smallest hashes of key and text, and of each the line that the hash
-    names. So the draw is the same however the rows lie in files."""
+    names. So the draw is the same however the rows lie in files. Hashes that can't be among the smallest, by twice the share
+    that is wanted, don't leave their task."""
     h = F.xxhash64(F.lit("licences"), key, text)
+    share = min(1.0, 2 * most / max(1, docs.count()))
+    below = int((1 << 64) * share) - (1 << 63) - 1
     lines = F.split(F.col(f"`{text}`"), "\n")
     line = F.element_at(lines, (F.pmod(F.shiftright(h, 8), F.size(lines)) + 1).cast("int"))
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(h.alias("h"), line.alias("p")).orderBy("h", "p").limit(most)
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(h.alias("h"), line.alias("p")).where(F.col("h") <= F.lit(below)).orderBy("h", "p").limit(most)
     return [r["p"] for r in rows.collect()]
 
 
