@@ -92,9 +92,9 @@ def columns_of(schema: str) -> list[str]:
     return [x.split()[0].strip("`") for x in flat.split(",")]
 
 
-def by_text(df: DataFrame, fn, schema: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), most_bytes: int = 8 << 20) -> DataFrame:
+def by_text(df: DataFrame, fn, schema: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), most_bytes: int = 8 << 20, after=None) -> DataFrame:
     """Applies fn(list of texts or None) -> dict of columns to df, batch by batch, and keeps the columns in carry. fn gets
-    texts of about most_bytes together, or a longer one alone.
+    texts of about most_bytes together, or a longer one alone; after is called where a task's texts end.
 
     A carried column that is named as one of the results gets an underscore behind its name."""
 
@@ -104,6 +104,8 @@ def by_text(df: DataFrame, fn, schema: str, text: str = "text", carry: tuple[str
                 part = batch.slice(a, n)
                 out = fn(part.column(len(carry)).to_pylist())
                 yield pa.RecordBatch.from_pydict({f"_c{i}": part.column(i) for i in range(len(carry))} | out)
+        if after is not None:
+            after()
         trim()
 
     types, own = dict(df.dtypes), columns_of(schema)

@@ -17,7 +17,7 @@ from .common import by_text, read, small_batches
 #: The mark that stands for a space, how far below the lowest score an unknown character scores, segments whose pieces a
 #: worker remembers beside those of the texts at hand (then the memory starts anew), characters of the longest of
 #: these, and characters that the automaton of many segments at once knows.
-SPACE, UNKNOWN_PENALTY, REMEMBERED, LONGEST, COMMON = "▁", 10.0, 300_000, 64, 160
+SPACE, UNKNOWN_PENALTY, REMEMBERED, LONGEST, COMMON = "▁", 10.0, 150_000, 64, 160
 #: Piece types of the model format.
 NORMAL, CONTROL, USER_DEFINED, BYTE = 1, 3, 4, 6
 
@@ -256,6 +256,12 @@ def coder(vocabulary: Vocabulary) -> Coder:
     return _coders[vocabulary.digest]
 
 
+def forget() -> None:
+    """Empties the memory of this process's coder."""
+    for c in _coders.values():
+        c.memory.clear()
+
+
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in carry, ids, n_pieces, and round_trip: whether the ids decode to the text.
 
@@ -273,7 +279,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", carry:
             "round_trip": pa.array([None if t is None else c.decode(i) == t for t, i in zip(texts, ids, strict=True)], pa.bool_()),
         }
 
-    return by_text(docs, of, "ids array<int>, n_pieces long, round_trip boolean", text, carry, 1 << 19)
+    return by_text(docs, of, "ids array<int>, n_pieces long, round_trip boolean", text, carry, 1 << 19, forget)
 
 
 def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
