@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, licences, lines, pieces, shards, simhash, topk, toxicity, winnow
+from . import html, langid, licences, lines, merkle, pieces, shards, simhash, topk, toxicity, winnow
 
 QUERIES = {
     "op1_license_scan": licences.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_exact_top_k": topk.query,
     "op10_sharding": shards.query,
+    "op11_merkle_manifest": merkle.query,
 }
 
 ORACLE_SQL = {
