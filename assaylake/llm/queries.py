@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, licences, lines, merkle, pieces, shards, simhash, topk, toxicity, winnow
+from . import html, langid, licences, lines, merkle, pieces, setsketch, shards, simhash, topk, toxicity, turns, winnow
 
 QUERIES = {
     "op1_license_scan": licences.query,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_exact_top_k": topk.query,
     "op10_sharding": shards.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_minhash_near_dedup": setsketch.query,
+    "op13_turn_reassembly": turns.query,
 }
 
 ORACLE_SQL = {
     "op4_benchmark_decontamination": winnow.ORACLE_SQL,
     "op7_line_dedup": lines.ORACLE_SQL,
     "op9_exact_top_k": topk.ORACLE_SQL,
+    "op13_turn_reassembly": turns.ORACLE_SQL,
 }
