@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Levels of bins, and how many times wider a level's are than those of the level below. The last level is one bin.
+LEVELS, WIDER = 11, 8
+
+
+def _spread(t: DataFrame, side: str, by: list[str], width: float) -> DataFrame:
+    """(by, side, _level, _bin, _own): t's rows, as a struct, under the bins of the level whose bins are as wide as the interval
+    (_own), and under those of all levels above: two bins of a level at most, however long an interval is."""
+    length = F.greatest((F.col("end") - F.col("start")) / F.lit(float(width)), F.lit(1.0))
+    own = F.least(F.ceil(F.ln(length) / F.lit(math.log(WIDER))), F.lit(LEVELS - 1)).cast("int")
+    # WIDER ** LEVELS is beyond all numbers of bins that are looked up: one bin holds the last level
+    at = lambda c: F.when(F.col("_level") == LEVELS - 1, F.lit(0)).otherwise(F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(float(WIDER)), F.col("_level")))))
+    levelled = t.select(*by, F.struct(*t.columns).alias(side), "start", "end", own.alias("_at"), F.explode(F.sequence(own, F.lit(LEVELS - 1))).alias("_level"))
+    return levelled.select(*by, side, "_level", (F.col("_at") == F.col("_level")).alias("_own"), F.explode(F.sequence(at("start").cast("long"), at("end").cast("long"))).alias("_bin"))
+
+
+def meet(one: DataFrame, two: DataFrame, by: list[str], width: float, touch: bool = True) -> DataFrame:
+    """(by, a, b): the rows of one and two, as structs, whose intervals (start, end) share a point and the keys. touch: both ends
+    belong to an interval; else its end doesn't.
+
+    Of two intervals the longer one is under its own level's bins and the shorter one is there too, so each pair meets; it counts
+    in the bin of its common part's start. An interval makes at most 2 * LEVELS rows, whatever its length, and intervals only
+    meet where one of them is as long as the bin."""
+    a, b = _spread(one, "a", by, width), _spread(two, "b", by, width)
+    over = (lambda x, y: x <= y) if touch else (lambda x, y: x < y)
+    start = F.greatest("a.start", "b.start")
+    first = F.when(F.col("_level") == LEVELS - 1, F.lit(0)).otherwise(F.floor(start / (F.lit(float(width)) * F.pow(F.lit(float(WIDER)), F.col("_level")))))
+    key = [*by, "_level", "_bin"]
+    met = a.where("_own").drop("_own").join(b.drop("_own"), key).unionByName(a.where("not _own").drop("_own").join(b.where("_own").drop("_own"), key))
+    return met.where(over(F.col("a.start"), F.col("b.end")) & over(F.col("b.start"), F.col("a.end")) & (F.col("_bin") == first)).select(*by, "a", "b")
+
+
 def self_overlaps(x: DataFrame, by: list[str], key: str, width: float) -> DataFrame:
-    """Pairs i < j of intervals [start, end) with a common point: equal bins of width meet, and a pair counts in the bin of
-    its common part's start."""
-    binned = x.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    names = [c for c in x.columns if c not in by]
-    other = binned.select(*by, "_bin", *[F.col(c).alias(f"_{c}") for c in names])
-    met = binned.join(other, [*by, "_bin"]).where((F.col(key) < F.col(f"_{key}")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")))
-    met = met.where(F.col("_bin") == F.floor(F.greatest("start", "_start") / width))
-    return met.select(*by, F.col(key).alias("i"), F.col(f"_{key}").alias("j"))
+    """Pairs i < j of intervals [start, end) with a common point."""
+    own = x.select(*by, "start", "end", F.col(key).alias("_key"))
+    return meet(own, own, by, width, touch=False).where("a._key < b._key").select(*by, F.col("a._key").alias("i"), F.col("b._key").alias("j"))
 
 
 def points_in(points: DataFrame, bands: DataFrame, by: list[str], at: str) -> DataFrame:
@@ -29,11 +57,8 @@ def neighbours(x: DataFrame, by: list[str], order: list[str], key: str) -> DataF
 
 
 def overlaps(one: DataFrame, two: DataFrame, by: list[str], width: int) -> DataFrame:
-    """(i, j) of two tables of intervals [start, end], both ends in, that share a point and the keys: bins of the width meet, and a
-    pair counts in the bin of its common part's start."""
-    binned = lambda t, n: t.select(*by, F.col("key").alias(n), F.col("start").alias(f"_s{n}"), F.col("end").alias(f"_e{n}"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
-    met = binned(one, "i").join(binned(two, "j"), [*by, "_bin"]).where((F.col("_si") <= F.col("_ej")) & (F.col("_sj") <= F.col("_ei")))
-    return met.where(F.col("_bin") == F.floor(F.greatest("_si", "_sj") / width)).select("i", "j")
+    """(i, j): the keys of two tables of intervals [start, end], both ends in, that share a point and the columns in by."""
+    return meet(one, two, by, width).select(F.col("a.key").alias("i"), F.col("b.key").alias("j"))
 
 
 def matched(one: DataFrame, two: DataFrame, by: list[str], width: int) -> DataFrame:
@@ -46,10 +71,10 @@ def matched(one: DataFrame, two: DataFrame, by: list[str], width: int) -> DataFr
 def genes_of(segments: DataFrame, genes: DataFrame, width: int) -> DataFrame:
     """(key, gene, other): segments (key, chr, start, end) by the first gene (by its start, then its name) that both ends are in;
     where there is none, the first genes of either end, if they differ: a segment from one gene to another. Both null: in no
-    gene. Positions meet genes by stretches of the width."""
-    g = genes.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))).select("chr", "_bin", "gene", F.col("start").alias("_gs"), F.col("end").alias("_ge"))
-    at = segments.select("key", "chr", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at")))).alias("x"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = at.withColumn("_bin", F.floor(F.col("x.at") / width)).join(g, ["chr", "_bin"]).where((F.col("_gs") <= F.col("x.at")) & (F.col("_ge") >= F.col("x.at")))
+    gene."""
+    at = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"))))
+    ends = segments.select("key", "chr", F.col("start").alias("_s"), F.col("end").alias("_e"), at.alias("x")).withColumns({"start": F.col("x.at"), "end": F.col("x.at")})
+    met = meet(ends, genes.select("chr", "gene", "start", "end"), ["chr"], width).select("a.key", "a.x", "a._s", "a._e", "b.gene", F.col("b.start").alias("_gs"), F.col("b.end").alias("_ge"))
     order = F.struct("_gs", "gene")
     both = F.when((F.col("_gs") <= F.col("_s")) & (F.col("_ge") >= F.col("_e")), order)
     s = met.groupBy("key").agg(F.min(both).alias("_b"), F.min(F.when(F.col("x.side") == 0, order)).alias("_l"), F.min(F.when(F.col("x.side") == 1, order)).alias("_r"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from assaylake.operators import intervals
+
 
 def delta_psi(x: DataFrame, one: str, two: str, reads: float = 9.0, least: float = 0.15) -> DataFrame:
     """(feature, grp, included, reads): psi of both groups and their difference, of features with that many reads in both
@@ -17,12 +19,10 @@ def delta_psi(x: DataFrame, one: str, two: str, reads: float = 9.0, least: float
 
 def overlap_psi(j: DataFrame, width: float) -> DataFrame:
     """(gene, junction, start, end, reads): each junction's reads over its own and those of all junctions of its gene that
-    share a point with it, ends included. Junctions meet in bins of the width; a pair counts in the bin where its common
-    part starts."""
-    binned = j.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    other = binned.select("gene", "_bin", F.col("junction").alias("_j"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("reads").alias("_r"))
-    met = binned.join(other, ["gene", "_bin"]).where((F.col("junction") != F.col("_j")) & (F.col("start") <= F.col("_e")) & (F.col("_s") <= F.col("end")))
-    against = met.where(F.col("_bin") == F.floor(F.greatest("start", "_s") / width)).groupBy("gene", "junction").agg(F.sum("_r").alias("_r"))
+    share a point with it, ends included."""
+    own = j.select("gene", "start", "end", "junction", "reads")
+    met = intervals.meet(own, own, ["gene"], width).where(F.col("a.junction") != F.col("b.junction"))
+    against = met.groupBy("gene", F.col("a.junction").alias("junction")).agg(F.sum("b.reads").alias("_r"))
     total = F.col("reads") + F.coalesce("_r", F.lit(0.0))
     return j.join(against, ["gene", "junction"], "left").select("gene", "junction", F.when(total > 0, F.try_divide("reads", total)).alias("psi"))
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import sqlite3
-import struct
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ALIGNMENTS = "file string, name string, flag int, chrom string, pos long, cigar string, seq string, tags map<string,string>"
-# fixed values: letters of the packed formats
-OPERATIONS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+from assaylake.sources.alignments import bam as bam
+
+#: Rows of a database that are handed on at once.
 ROWS = 20_000
 
 
@@ -26,70 +24,6 @@ def _bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
 
-def _tags(raw: bytes) -> dict[str, str]:
-    out, at = {}, 0
-    sizes = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-    while at + 3 <= len(raw):
-        key, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-        at += 3
-        if kind == "A":
-            out[key], at = chr(raw[at]), at + 1
-        elif kind in sizes:
-            n = struct.calcsize(sizes[kind])
-            out[key], at = str(struct.unpack(sizes[kind], raw[at : at + n])[0]), at + n
-        elif kind in "ZH":
-            end = raw.index(b"\0", at)
-            out[key], at = raw[at:end].decode("utf-8", "replace"), end + 1
-        elif kind == "B":
-            sub, n = chr(raw[at]), struct.unpack("<i", raw[at + 1 : at + 5])[0]
-            at += 5 + n * struct.calcsize(sizes[sub])
-        else:
-            return out
-    return out
-
-
-def records(stream) -> Iterator[tuple]:
-    """(name, flag, chrom, pos, cigar, seq, tags) of each record of a BAM stream; pos counts from 1, 0 where unplaced."""
-    if stream.read(4) != b"BAM\1":
-        raise ValueError("no BAM file")
-    stream.read(struct.unpack("<i", stream.read(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", stream.read(4))[0]):
-        n = struct.unpack("<i", stream.read(4))[0]
-        names.append(stream.read(n)[:-1].decode())
-        stream.read(4)
-    while len(head := stream.read(4)) == 4:
-        raw = stream.read(struct.unpack("<i", head)[0])
-        ref, pos, n_name, _, _, n_cigar, flag, n_seq = struct.unpack("<iiBBHHHi", raw[:20])
-        at = 32
-        name = raw[at : at + n_name - 1].decode()
-        at += n_name
-        cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in struct.unpack(f"<{n_cigar}I", raw[at : at + 4 * n_cigar]))
-        at += 4 * n_cigar
-        packed = raw[at : at + (n_seq + 1) // 2]
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
-        at += (n_seq + 1) // 2 + n_seq
-        yield name, flag, names[ref] if ref >= 0 else None, pos + 1, cigar or "*", seq, _tags(raw[at:])
-
-
-def bam(spark: SparkSession, path: str) -> DataFrame:
-    """The records of BAM files. A file is read by one task, some rows at once."""
-
-    def read(frames):
-        for frame in frames:
-            for file, content in zip(frame["file"], frame["content"], strict=True):
-                rows = []
-                with gzip.open(io.BytesIO(content)) as stream:
-                    for r in records(stream):
-                        rows.append((file, *r))
-                        if len(rows) == ROWS:
-                            yield pd.DataFrame(rows, columns=["file", "name", "flag", "chrom", "pos", "cigar", "seq", "tags"])
-                            rows = []
-                yield pd.DataFrame(rows, columns=["file", "name", "flag", "chrom", "pos", "cigar", "seq", "tags"])
-
-    return _bytes(spark, path).repartition("file").mapInPandas(read, ALIGNMENTS)
-
-
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """The records of SAM text, read in parallel."""
     c = F.split("value", "\t")

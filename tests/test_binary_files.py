@@ -9,12 +9,12 @@ import pytest
 
 from assaylake.operators import tables
 from assaylake.sinks import tables as sinks
-from assaylake.sources import files
+from assaylake.sources import alignments, files
 
 
 def record(name, ref, pos, cigar, seq, tags):
-    ops = [(int(n), files.OPERATIONS.index(o)) for n, o in cigar]
-    codes = [files.BASES.index(b) for b in seq] + [0] * (len(seq) % 2)
+    ops = [(int(n), alignments.OPERATIONS.index(o)) for n, o in cigar]
+    codes = [alignments.BASES.index(b) for b in seq] + [0] * (len(seq) % 2)
     packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
     raw = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, len(ops), 0, len(seq), -1, -1, 0) + name.encode() + b"\0"
     raw += b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed + b"\xff" * len(seq) + tags
