@@ -9,7 +9,7 @@ from assaylake.operators import isoforms, reads
 from assaylake.plans.bindings import bound
 from assaylake.sources.tables import table
 
-_READS = """SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS gene, (l_partkey % 3) AS chrom, l_partkey * 100 + 100 + CAST(l_quantity AS BIGINT) % 20 AS pos, 20 - CAST(l_quantity AS BIGINT) % 20 AS n,
+_READS = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS id, l_partkey AS gene, (l_partkey % 3) AS chrom, l_partkey * 100 + 100 + CAST(l_quantity AS BIGINT) % 20 AS pos, 20 - CAST(l_quantity AS BIGINT) % 20 AS n,
   l_orderkey % 4 AS kind, 5 + l_linenumber AS m FROM lineitem"""
 _ALIGNED = f"""SELECT id, gene, chrom, CASE WHEN kind = 0 THEN [[pos, pos + m - 1]] WHEN kind = 1 THEN [[pos, pos + n - 1], [pos + n + 20, pos + n + 19 + m]]
   WHEN kind = 2 THEN [[pos, pos + n - 1], [pos + n + 60, pos + n + 59 + m]] ELSE [[pos, pos + n + m - 1]] END AS b FROM ({_READS})"""
@@ -28,7 +28,7 @@ def _reads(spark, d):
     cigar = F.when(key == 0, F.concat(m, F.lit("M"))).when(key == 1, F.concat(n, F.lit("M20N"), m, F.lit("M"))).when(key == 2, F.concat(n, F.lit("M60N"), m, F.lit("M"))).otherwise(F.concat(whole, F.lit("M")))
     x = table(spark, d, "lineitem")
     tags = F.lit(None).cast("map<string,string>").alias("tags")
-    return x.select(F.lit("lines").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("name"), F.lit(0).alias("flag"), (F.col("l_partkey") % 3).cast("string").alias("chrom"), (F.col("l_partkey") * 100 + 100 + q).alias("pos"), cigar.alias("cigar"), F.lit("").alias("seq"), tags)
+    return x.select(F.lit("lines").alias("file"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("string"), F.col("l_quantity").cast("string")).alias("name"), F.lit(0).alias("flag"), (F.col("l_partkey") % 3).cast("string").alias("chrom"), (F.col("l_partkey") * 100 + 100 + q).alias("pos"), cigar.alias("cigar"), F.lit("").alias("seq"), tags)
 
 
 def _forms(spark, d):
