@@ -26,3 +26,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{root}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what kept() wrote for df, which no later plan may read."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
