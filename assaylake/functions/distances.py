@@ -21,7 +21,7 @@ def minkowski(x: Column, y: Column, p: float) -> Column:
 
 
 def weighted_minkowski(x: Column, y: Column, w: Sequence[float], p: float) -> Column:
-    away = F.zip_with(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.array(*map(F.lit, map(float, w))), lambda d, c: F.pow(d * c, F.lit(p)))
+    away = F.zip_with(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(list(map(float, w))), lambda d, c: F.pow(d * c, F.lit(p)))
     return F.pow(F.aggregate(away, F.lit(0.0), lambda a, v: a + v), F.lit(1.0 / p))
 
 
@@ -30,14 +30,14 @@ def euclidean(x: Column, y: Column) -> Column:
 
 
 def standardised_euclidean(x: Column, y: Column, variances: Sequence[float]) -> Column:
-    square = F.zip_with(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.array(*map(F.lit, map(float, variances))), lambda d, v: d / v)
+    square = F.zip_with(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(list(map(float, variances))), lambda d, v: d / v)
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda a, v: a + v))
 
 
 def mahalanobis(x: Column, y: Column, inverse: Sequence[Sequence[float]]) -> Column:
     away = F.zip_with(x, y, lambda a, b: a - b)
-    rows = [F.aggregate(F.zip_with(away, F.array(*map(F.lit, map(float, r))), lambda d, c: d * c), F.lit(0.0), lambda a, v: a + v) for r in inverse]
-    return F.sqrt(F.aggregate(F.zip_with(away, F.array(*rows), lambda d, c: d * c), F.lit(0.0), lambda a, v: a + v))
+    rows = F.transform(F.lit([list(map(float, r)) for r in inverse]), lambda r: F.aggregate(F.zip_with(away, r, lambda d, c: d * c), F.lit(0.0), lambda a, v: a + v))
+    return F.sqrt(F.aggregate(F.zip_with(away, rows, lambda d, c: d * c), F.lit(0.0), lambda a, v: a + v))
 
 
 def manhattan(x: Column, y: Column) -> Column:

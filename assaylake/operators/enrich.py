@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from assaylake.operators import draws
+
 
 def over_representation(every: DataFrame, hit: DataFrame, members: DataFrame) -> DataFrame:
     """gene_set, n, r, z: a set's measured and selected elements and the hypergeometric z score."""
@@ -40,14 +42,11 @@ def raise_zeros(t: DataFrame, value: str) -> DataFrame:
 def permuted(every: DataFrame, hit: DataFrame, members: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
     """gene_set, n, r, z, p: the share of rounds in which a random list exactly as long as hit gives a set a z as far from 0.
 
-    A round's list is the elements of the smallest hashes of (seed, round, element). Rows are an element's in a round; only
-    drawn ones meet the members, and a set that no list meets in a round has r = 0 there."""
+    A round's list is the elements of the smallest hashes of (seed, round, element); only drawn ones meet the members, and a set
+    that no list meets in a round has r = 0 there. Elements are unique."""
     own = over_representation(every, hit, members)
     sizes = set_counts(every, hit, members).select("gene_set", "n", "r", "tn", "tr")
-    k = hit.agg(F.count("*").alias("_tr"))
-    turn = every.select("element", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round"))
-    order = W.partitionBy("_round").orderBy(F.xxhash64(F.lit(seed), "_round", "element"), "element")
-    drawn = turn.withColumn("_k", F.row_number().over(order)).join(F.broadcast(k)).where("_k <= _tr").select("element", "_round")
+    drawn = draws.drawn(every.select("element"), [], F.col("element"), hit.agg(F.count("*").alias("_tr")), "_tr", rounds, seed)
     met = drawn.join(members, "element").groupBy("gene_set", "_round").agg(F.count("*").alias("_x"))
     tally = met.groupBy("gene_set", "_x").agg(F.count("*").alias("_rounds"))
     seen = tally.groupBy("gene_set").agg(F.sum("_rounds").alias("_seen"))

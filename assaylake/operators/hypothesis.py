@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import tails
+from assaylake.operators import draws
 from assaylake.operators.stats import _two, anova_f, average_rank, mann_whitney_u, pooled_t, step_up, tie_share, welch
+from assaylake.sources.kept import kept
 
 
 def paired_t(pairs: DataFrame) -> DataFrame:
@@ -301,13 +303,14 @@ def bayes_factor(draws: DataFrame, smoothing: float = 0.3, least: float = 0.009,
 
 def label_permutation(m: DataFrame, one: str, two: str, rounds: int, seed: int = 42) -> DataFrame:
     """(feature, diff, p): the share of rounds in which as many values drawn at random for the first group give a difference of
-    means as far from 0. A round's draw is the smallest hashes of (seed, round, row); only sums leave a task."""
-    own = m.where(F.col("grp").isin(one, two) & F.col("value").isNotNull()).select("feature", "grp", "value")
-    size = W.partitionBy("feature")
-    rows = own.withColumn("_i", F.row_number().over(size.orderBy("grp", "value"))).withColumn("_n1", F.count_if(F.col("grp") == one).over(size)).withColumn("_n", F.count("*").over(size)).where("_n1 > 0 AND _n > _n1")
-    mean = lambda c: F.avg(F.when(c, F.col("value"))) - F.avg(F.when(~c, F.col("value")))
-    real = rows.groupBy("feature").agg(mean(F.col("grp") == one).alias("diff"))
-    turn = rows.select("feature", "value", "_i", "_n1", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round"))
-    place = F.row_number().over(W.partitionBy("feature", "_round").orderBy(F.xxhash64(F.lit(seed), "_round", "feature", "_i"), "_i"))
-    null = turn.withColumn("_k", place).groupBy("feature", "_round").agg(mean(F.col("_k") <= F.col("_n1")).alias("_d"))
-    return null.join(real, "feature").groupBy("feature", "diff").agg((F.count_if(F.abs("_d") >= F.abs("diff") - 1e-12) / F.lit(float(rounds))).alias("p"))
+    means as far from 0. A round's draw is the smallest hashes of (seed, round, feature, row); only sums leave a task, so a feature may
+    have any number of values."""
+    own = kept(m.where(F.col("grp").isin(one, two) & F.col("value").isNotNull()).select("feature", "grp", F.col("value").cast("double").alias("value")).withColumn("_i", F.monotonically_increasing_id()))
+    first = F.col("grp") == one
+    size = own.groupBy("feature").agg(F.count_if(first).alias("_n1"), F.count("*").alias("_n"), F.sum("value").alias("_all"), F.sum(F.when(first, F.col("value"))).alias("_one")).where("_n1 > 0 AND _n > _n1")
+    size = kept(size)
+    away = lambda s: s / F.col("_n1") - (F.col("_all") - s) / (F.col("_n") - F.col("_n1"))
+    rows = own.join(size.select("feature"), "feature")
+    null = draws.sums(rows, ["feature"], F.col("_i"), size, "_n1", "value", rounds, seed).join(size, "feature")
+    s = null.select("feature", away(F.col("_one")).alias("diff"), away(F.col("_sum")).alias("_d"))
+    return s.groupBy("feature", "diff").agg((F.count_if(F.abs("_d") >= F.abs("diff") - 1e-12) / F.lit(float(rounds))).alias("p"))

@@ -164,39 +164,3 @@ def expand_labels(vectors: DataFrame, key: str, vector: str, label: str) -> Data
     x = vectors.select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features"))
     fit = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01)).fit(x.where("label IS NOT NULL"))
     return fit.transform(x.where("label IS NULL")).select(key, F.col("prediction").cast("int").alias(label))
-
-
-def linkage(vectors: DataFrame, key: str, vector: str, method: str = "average", most: int = 7000) -> DataFrame:
-    """(step, a, b, height, size): the merges of hierarchical clustering by Euclidean distance, in order of height; a cluster is
-    named by its smallest key. method is 'average', 'complete' or 'single'. The square of distances is the driver's, so more than
-    `most` vectors are an error. Merges come from chains of nearest neighbours."""
-    rows = vectors.select(key, F.transform(vector, lambda v: v.cast("double")).alias("v")).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} vectors")
-    mix = {"average": lambda x, y, n, m: (n * x + m * y) / (n + m), "complete": lambda x, y, n, m: np.maximum(x, y), "single": lambda x, y, n, m: np.minimum(x, y)}[method]
-    names, n = [r[key] for r in rows], len(rows)
-    a = np.array([r["v"] for r in rows], float).reshape(n, -1)
-    square = (a * a).sum(axis=1)
-    d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * a @ a.T, 0))
-    np.fill_diagonal(d, np.inf)
-    size, live, merges, chain = np.ones(n), np.ones(n, bool), [], []
-    while live.sum() > 1:
-        if not chain:
-            chain = [int(np.flatnonzero(live)[0])]
-        i = chain[-1]
-        j = int(np.argmin(np.where(live, d[i], np.inf)))
-        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
-            j = chain[-2]
-            del chain[-2:]
-            low, high = min(i, j), max(i, j)
-            merges.append((float(d[i, j]), low, high, int(size[i] + size[j])))
-            new = mix(d[low], d[high], size[low], size[high])
-            d[low], d[:, low] = new, new
-            d[low, low], live[high] = np.inf, False
-            size[low] += size[high]
-        else:
-            chain.append(j)
-    merges.sort(key=lambda x: x[0])
-    out = [(step, names[low], names[high], height, count) for step, (height, low, high, count) in enumerate(merges, 1)]
-    kind = dict(vectors.dtypes)[key]
-    return vectors.sparkSession.createDataFrame(out, f"step int, a {kind}, b {kind}, height double, size int")

@@ -12,27 +12,27 @@ from assaylake.plans.bindings import _T, _TP, _W, _prices, _tree, bound
 from assaylake.plans.hypothesis import _FISHER, _LC, _RS, _quantities, _sets
 from assaylake.sources.tables import table
 
-_DIM = 16
-_VECTORS = "SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings WHERE len(embedding) >= 16"
-_NEXT = f"SELECT a.vec_id, a.v AS x, b.v AS y FROM ({_VECTORS}) a JOIN ({_VECTORS}) b ON a.vec_id + 1 = b.vec_id"
+_VECTORS = "SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings)"
+_NEXT = f"SELECT a.vec_id, a.v AS x, b.v AS y, len(a.v) AS n FROM ({_VECTORS}) a JOIN ({_VECTORS}) b ON a.vec_id + 1 = b.vec_id"
 
 
 def _over(term: str) -> str:
-    return f"list_sum(list_transform(range(1, 17), lambda i: {term}))"
+    return f"list_sum(list_transform(range(1, len(x) + 1), lambda i: {term}))"
 
 
 def _neighbours(spark, d):
-    """Each vector, by its first 16 numbers, beside the next one."""
-    x = table(spark, d, "embeddings").where(F.size("embedding") >= _DIM).select("vec_id", F.transform(F.slice("embedding", 1, _DIM), lambda v: v.cast("double")).alias("x"))
-    return x.join(x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    """Each whole vector beside the next one, of those as long as the table's longest; and that length."""
+    t = table(spark, d, "embeddings")
+    n = t.agg(F.max(F.size("embedding"))).first()[0] or 0
+    x = t.where(F.size("embedding") == n).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return x.join(x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id"), n
 
 
-_WEIGHTS = [1.0 + i / 10 for i in range(_DIM)]
-_WT = "([" + ", ".join(map(str, _WEIGHTS)) + "])[i]"
+_WT = "(0.9 + i / 10.0)"
 _REAL = {
     "euclidean": f"sqrt({_over('(x[i] - y[i]) ** 2')})",
     "manhattan": _over("abs(x[i] - y[i])"),
-    "chebyshev": "list_max(list_transform(range(1, 17), lambda i: abs(x[i] - y[i])))",
+    "chebyshev": "list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i])))",
     "minkowski": f"{_over('abs(x[i] - y[i]) ** 3')} ** (1 / 3.0)",
     "weighted": f"{_over(f'(abs(x[i] - y[i]) * {_WT}) ** 3')} ** (1 / 3.0)",
     "standardised": f"sqrt({_over(f'(x[i] - y[i]) ** 2 / {_WT}')})",
@@ -41,7 +41,7 @@ _REAL = {
     "bray_curtis": f"{_over('abs(x[i] - y[i])')} / {_over('abs(x[i] + y[i])')}",
     "cosine": f"1 - {_over('x[i] * y[i]')} / sqrt({_over('x[i] * x[i]')} * {_over('y[i] * y[i]')})",
     "correlation": f"1 - {_over('(x[i] - list_avg(x)) * (y[i] - list_avg(y))')} / sqrt({_over('(x[i] - list_avg(x)) ** 2')} * {_over('(y[i] - list_avg(y)) ** 2')})",
-    "hamming": _over("CASE WHEN x[i] <> y[i] THEN 1 ELSE 0 END") + " / 16.0",
+    "hamming": _over("CASE WHEN x[i] <> y[i] THEN 1 ELSE 0 END") + " / len(x)",
     "haversine": "2 * asin(sqrt(sin((x[1] - y[1]) / 2) ** 2 + cos(x[1]) * cos(y[1]) * sin((x[2] - y[2]) / 2) ** 2))",
 }
 
@@ -49,27 +49,29 @@ _REAL = {
 @bound("SELECT CAST(vec_id AS BIGINT) AS vec_id, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in _REAL.items()) + f" FROM ({_NEXT})")
 def vector_distances(spark, d):
     x, y = F.col("x"), F.col("y")
-    diagonal = [[w if i == j else 0.0 for j in range(_DIM)] for i, w in enumerate(_WEIGHTS)]
+    pairs, n = _neighbours(spark, d)
+    weights = [1.0 + i / 10 for i in range(n)]
+    diagonal = [[w if i == j else 0.0 for j in range(n)] for i, w in enumerate(weights)]
     own = {
-        "euclidean": distances.euclidean(x, y), "manhattan": distances.manhattan(x, y), "chebyshev": distances.chebyshev(x, y), "minkowski": distances.minkowski(x, y, 3.0), "weighted": distances.weighted_minkowski(x, y, _WEIGHTS, 3.0),
-        "standardised": distances.standardised_euclidean(x, y, _WEIGHTS), "mahalanobis": distances.mahalanobis(x, y, diagonal), "canberra": distances.canberra(x, y), "bray_curtis": distances.bray_curtis(x, y),
+        "euclidean": distances.euclidean(x, y), "manhattan": distances.manhattan(x, y), "chebyshev": distances.chebyshev(x, y), "minkowski": distances.minkowski(x, y, 3.0), "weighted": distances.weighted_minkowski(x, y, weights, 3.0),
+        "standardised": distances.standardised_euclidean(x, y, weights), "mahalanobis": distances.mahalanobis(x, y, diagonal), "canberra": distances.canberra(x, y), "bray_curtis": distances.bray_curtis(x, y),
         "cosine": distances.cosine(x, y), "correlation": distances.correlation(x, y), "hamming": distances.hamming(x, y), "haversine": distances.haversine(x, y),
     }
-    return _neighbours(spark, d).select("vec_id", *[c.alias(n) for n, c in own.items()])
+    return pairs.select("vec_id", *[c.alias(name) for name, c in own.items()])
 
 
-_BIN = f"SELECT vec_id, {_over('CASE WHEN x[i] > 0 AND y[i] > 0 THEN 1 ELSE 0 END')} AS tt, {_over('CASE WHEN x[i] > 0 AND NOT y[i] > 0 THEN 1 ELSE 0 END')} AS tf, {_over('CASE WHEN NOT x[i] > 0 AND y[i] > 0 THEN 1 ELSE 0 END')} AS ft FROM ({_NEXT})"
+_BIN = f"SELECT vec_id, {_over('CASE WHEN x[i] > 0 AND y[i] > 0 THEN 1 ELSE 0 END')} AS tt, {_over('CASE WHEN x[i] > 0 AND NOT y[i] > 0 THEN 1 ELSE 0 END')} AS tf, {_over('CASE WHEN NOT x[i] > 0 AND y[i] > 0 THEN 1 ELSE 0 END')} AS ft, n FROM ({_NEXT})"
 _SETS_BY = {
-    "jaccard": "CASE WHEN ne = 0 THEN 0 ELSE ne * 1.0 / (tt + ne) END", "matching": "ne / 16.0", "dice": "CASE WHEN ne = 0 THEN 0 ELSE ne / (2.0 * tt + ne) END", "kulsinski": "CASE WHEN ne = 0 THEN 0 ELSE (ne - tt + 16.0) / (ne + 16) END",
-    "rogers_tanimoto": "2.0 * ne / (16 + ne)", "russellrao": "CASE WHEN ne = 0 THEN 0 ELSE (16.0 - tt) / 16 END", "sokal_michener": "2.0 * ne / (16 + ne)", "sokal_sneath": "CASE WHEN ne = 0 THEN 0 ELSE ne / (0.5 * tt + ne) END",
-    "yule": "CASE WHEN tf = 0 OR ft = 0 THEN 0 ELSE 2.0 * tf * ft / (tt * (16 - tt - ne) + tf * ft) END",
+    "jaccard": "CASE WHEN ne = 0 THEN 0 ELSE ne * 1.0 / (tt + ne) END", "matching": "ne * 1.0 / n", "dice": "CASE WHEN ne = 0 THEN 0 ELSE ne / (2.0 * tt + ne) END", "kulsinski": "CASE WHEN ne = 0 THEN 0 ELSE (ne - tt + n * 1.0) / (ne + n) END",
+    "rogers_tanimoto": "2.0 * ne / (n + ne)", "russellrao": "CASE WHEN ne = 0 THEN 0 ELSE (n - tt) * 1.0 / n END", "sokal_michener": "2.0 * ne / (n + ne)", "sokal_sneath": "CASE WHEN ne = 0 THEN 0 ELSE ne / (0.5 * tt + ne) END",
+    "yule": "CASE WHEN tf = 0 OR ft = 0 THEN 0 ELSE 2.0 * tf * ft / (tt * (n - tt - ne) + tf * ft) END",
 }
 
 
 @bound("SELECT CAST(vec_id AS BIGINT) AS vec_id, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in _SETS_BY.items()) + f" FROM (SELECT *, tf + ft AS ne FROM ({_BIN}))")
 def binary_distances(spark, d):
     sign = lambda c: F.transform(c, lambda v: F.when(v > 0, 1.0).otherwise(0.0))
-    return _neighbours(spark, d).select("vec_id", *[c.alias(n) for n, c in distances.binary(sign(F.col("x")), sign(F.col("y"))).items()])
+    return _neighbours(spark, d)[0].select("vec_id", *[c.alias(n) for n, c in distances.binary(sign(F.col("x")), sign(F.col("y"))).items()])
 
 
 _DISPATCH = {"unpaired t-test": f"SELECT feature, {sql.t('t', '(n1 + n2 - 2)')} AS p FROM ({_T})", "Welch": f"SELECT feature, {sql.t('t', 'df')} AS p FROM ({_W})", "Rank Sums": f"SELECT feature, {sql.z('z')} AS p FROM ({_RS})"}

@@ -95,14 +95,6 @@ def first_kept(spark, d):
     return network.first_kept(m.select(F.col("feature").alias("node")), stats.correlate_pairs(m, 3).where("r > 0.4").select("a", "b"))
 
 
-@bound("")
-def linkage(spark, d):
-    """Labels' centroids, clustered."""
-    from assaylake.operators import profiles
-
-    return models.linkage(profiles.centroids(table(spark, d, "embeddings"), "label", "embedding"), "label", "centroid")
-
-
 _RHO = """SELECT feature, grp, c, s, n, t, q FROM (SELECT *, sum(c) OVER w n, sum(s) OVER w t, sum(q0) OVER w q FROM (SELECT feature, grp, count(*) c, sum(value) s, sum(value * value) q0 FROM (SELECT CAST(l_partkey AS BIGINT) feature, {0} AS grp, CAST(l_quantity AS DOUBLE) AS value FROM lineitem) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)) WHERE c < n"""
 _RHOS = "SELECT '{0}' AS grouping, feature, grp, CASE WHEN sqrt(greatest(q / n - (t / n) ** 2, 0)) > 1e-9 THEN (s / c - t / n) / sqrt(greatest(q / n - (t / n) ** 2, 0)) * sqrt((c * 1.0 / n) / (1 - c * 1.0 / n)) END AS rho FROM ({1})"
 

@@ -81,9 +81,17 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         parts = z.namelist()
         shared = ["".join(t.text or "" for t in s.iter(f"{ns}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in parts else []
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
-        files = sorted((p for p in parts if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", p)), key=lambda p: int(re.search(r"\d+", p).group()))
-        for name, part in zip(names, files, strict=False):
+        rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+        sheets = [(s.get("name"), s.get(rel)) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
+        # a sheet's file is what its relation names: files keep their numbers when sheets are moved or deleted
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in parts else {}
+        for i, (name, own) in enumerate(sheets, 1):
+            target = targets.get(own, f"worksheets/sheet{i}.xml")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part not in parts:
+                raise ValueError(f"the workbook has no file for its sheet {name}")
+            if not part.startswith("xl/worksheets/"):
+                continue  # a chart on a sheet of its own has no rows
             for row in ElementTree.fromstring(z.read(part)).iter(f"{ns}row"):
                 cells: list[str | None] = []
                 for c in row.iter(f"{ns}c"):

@@ -122,20 +122,3 @@ def test_first_kept(spark):
     nodes = spark.createDataFrame([(x,) for x in range(80)], "node long")
     got = network.first_kept(nodes, spark.createDataFrame(edges, "a long, b long"))
     assert sorted(r.node for r in got.collect()) == stay
-
-
-@pytest.mark.parametrize("method", ["average", "complete", "single"])
-def test_linkage(spark, method):
-    rng = np.random.default_rng(7)
-    data = {i: rng.normal(size=3) for i in range(25)}
-    groups, want = [[i] for i in data], []
-    far = lambda x, y: [float(np.linalg.norm(data[i] - data[j])) for i in x for j in y]
-    reach = {"average": lambda v: sum(v) / len(v), "complete": max, "single": min}[method]
-    while len(groups) > 1:
-        h, i, j = min((reach(far(x, y)), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
-        want.append((h, len(groups[i]) + len(groups[j])))
-        groups[i] += groups.pop(j)
-    got = models.linkage(spark.createDataFrame([(i, list(map(float, v))) for i, v in data.items()], "key long, v array<double>"), "key", "v", method)
-    assert [(r.height, r["size"]) for r in got.orderBy("step").collect()] == [(pytest.approx(h), n) for h, n in want]
-    with pytest.raises(ValueError, match="more than 5"):
-        models.linkage(got.select("step", F.array("height").alias("v")), "step", "v", method, 5)

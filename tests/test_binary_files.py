@@ -54,6 +54,18 @@ def test_worksheets(spark, tmp_path):
     assert got == [("one", 1, ["gene", None, "ab"]), ("one", 2, ["1.5", "x"])]
 
 
+def test_moved_and_deleted_sheets(spark, tmp_path):
+    ns, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda v: f'<worksheet xmlns="{ns}"><sheetData><row r="1"><c r="A1"><v>{v}</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{r}"><sheets><sheet name="last" sheetId="4" r:id="r9"/><sheet name="chart" sheetId="7" r:id="r3"/><sheet name="first" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r3" Target="chartsheets/sheet1.xml"/><Relationship Id="r9" Target="/xl/worksheets/sheet4.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet(1))
+        z.writestr("xl/worksheets/sheet4.xml", sheet(4))
+        z.writestr("xl/chartsheets/sheet1.xml", "<chartsheet/>")
+    assert sorted((x.sheet, x.cells) for x in files.worksheets(spark, str(tmp_path / "w.xlsx")).collect()) == [("first", ["1"]), ("last", ["4"])]
+
+
 def test_databases_and_dumps(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "a.db")
     db.execute("CREATE TABLE t (k TEXT, v REAL)")
