@@ -27,6 +27,26 @@ def top_markers(rhos: DataFrame, n: int, least: float) -> DataFrame:
     return rhos.where(F.col("rho") > least).withColumn("place", k).where(F.col("place") <= n)
 
 
+def consolidated_markers(cells: DataFrame, groupings: DataFrame, n: int, least: float) -> DataFrame:
+    """(grouping, direction, grp, feature, rho, place, kept): the n best markers, up and down, of each group of every grouping.
+
+    cells are (feature, sample, value), groupings (grouping, sample, grp): all groupings are one aggregation, a feature's
+    sums by group. rho is the correlation with the group's 0/1 template, its sign turned for down, and over least, to six places; ties by
+    feature. A feature that marks several groups is kept where its rho is largest (ties: by grouping, direction, group)."""
+    v = F.col("value").cast("double")
+    g = cells.where("value is not null").join(groupings, "sample").groupBy("grouping", "feature", "grp").agg(F.count("*").alias("c"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    w = W.partitionBy("grouping", "feature")
+    g = g.select("grouping", "feature", "grp", "c", "s", F.sum("c").over(w).alias("n"), F.sum("s").over(w).alias("t"), F.sum("q").over(w).alias("q"))
+    mean, p = F.col("t") / F.col("n"), F.col("c") / F.col("n")
+    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    rho = F.round((F.col("s") / F.col("c") - mean) / sd * F.sqrt(p / (1 - p)), 6)
+    both = F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.col("r").alias("rho")), F.struct(F.lit("down").alias("direction"), (-F.col("r")).alias("rho"))))
+    x = g.where("c < n").where(sd > 1e-9).select("grouping", "feature", "grp", rho.alias("r")).select("grouping", "grp", "feature", both.alias("x")).select("grouping", "x.direction", "grp", "feature", "x.rho").where(F.col("rho") > least)
+    place = F.row_number().over(W.partitionBy("grouping", "direction", "grp").orderBy(F.desc("rho"), "feature"))
+    first = F.row_number().over(W.partitionBy("feature").orderBy(F.desc("rho"), "grouping", "direction", "grp"))
+    return x.withColumn("place", place).where(F.col("place") <= n).withColumn("kept", first == 1)
+
+
 def _pearson(x: Column, y: Column) -> Column:
     n = F.size(x).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)

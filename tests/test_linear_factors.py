@@ -129,7 +129,7 @@ def test_sparse_factors(spark):
     for j in range(25):
         h[j % 3, j] = rng.uniform(1, 3)
     data = w @ h + rng.uniform(0, 0.2, (40, 25))
-    ws, hs, seen = factors.sparse_nmf(cells(spark, data), 3, rounds=6)
+    ws, hs, seen = factors.sparse_nmf(cells(spark, data), 3, rounds=3)
     assert all(b <= a + 1e-7 * a for a, b in zip(seen, seen[1:], strict=False))
     got_w = np.array([r.f for r in ws.orderBy("feature").collect()])
     got_h = np.array([r.f for r in hs.orderBy("sample").collect()]).T
@@ -139,7 +139,7 @@ def test_sparse_factors(spark):
     # the same halves of a round, plainly
     g = got_w.T @ got_w + 0.01 * np.ones((3, 3))
     again = factors.non_negative(g, data.T @ got_w)
-    _, _, more = factors.sparse_nmf(cells(spark, data), 3, rounds=7)
+    _, _, more = factors.sparse_nmf(cells(spark, data), 3, rounds=4)
     g2 = again.T @ again + eta * np.eye(3)
     w2 = factors.non_negative(g2, data @ again)
     assert more[-1] == pytest.approx(0.5 * ((data - w2 @ again.T) ** 2).sum() + eta / 2 * (w2**2).sum() + 0.01 / 2 * (again.sum(axis=1) ** 2).sum(), rel=1e-7)
