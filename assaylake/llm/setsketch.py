@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from . import near
 from .common import apart, by_text, drop_kept, keep, mix, read, small_batches
+from .shingles import components
 
 #: Words in a shingle, and the least similarity of a link in percent.
 SHINGLE, PERCENT = 2, 80
 #: Registers and how many make a band; the base of the scale, the rate of the values and the largest register.
 REGISTERS, ROWS, BASE, RATE, TOP = 128, 4, 1.001, 20.0, (1 << 16) - 1
+#: Bands of the first turn.
+EARLY = 8
 #: A pair goes on unless its registers are exp(UNLIKELY) times likelier at some lower similarity than at the least one.
 UNLIKELY = 20.0
 _DRAWS = np.random.default_rng(12).integers(0, 1 << 63, (2, REGISTERS, 1), np.uint64)
@@ -148,7 +151,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     own = keep(sketches(named.select(F.struct("_key", "_at").alias("_row"), "_text"), "_row", "_text", size).select("_row._key", "_row._at", "s1", "s2", "n", "registers"))
     whose = keep(own.where("n > 0").groupBy("s1", "s2").agg(F.min("_key").alias("low"), F.min("_at").alias("_at")).withColumn("node", F.monotonically_increasing_id()))
     nodes = keep(whose.join(own.select("s1", "s2", "_at", "n", "registers").dropDuplicates(["s1", "s2", "_at"]), ["s1", "s2", "_at"]))
-    table = nodes.select("node", F.explode(F.pandas_udf(band_values, "array<long>")("registers")).alias("band")).withColumn("turn", F.xxhash64("node", "band"))
+    table = nodes.select("node", F.posexplode(F.pandas_udf(band_values, "array<long>")("registers")).alias("place", "band")).withColumn("turn", F.xxhash64("node", "band"))
     first = table.groupBy("band").agg(F.min("turn").alias("least"), F.max("turn").alias("_z")).where(F.col("least") < F.col("_z")).select("band", "least")
     members = keep(table.join(first, "band"))
     roots = whose.select("s1", "s2", "low", F.col("node").alias("root"))
@@ -163,20 +166,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return linked.unionByName(own.where("n = 0").select(F.col("_key").alias(name), "n", F.col("_key").alias("component")))
 
 
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (node, root) after edges (a, b) between nodes, which join components as wholes: only edges between different ones
+    count, each pair of components once."""
+    ends = edges
+    for c in "ab":
+        ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c)
+    ends = keep(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if ends.isEmpty():
+        return roots
+    moved = components(ends).select(F.col("fp").alias("root"), F.col("root").alias("into"))
+    return keep(roots.join(moved, "root", "left").select("node", F.coalesce("into", "root").alias("root")))
+
+
 def _linked(named: DataFrame, nodes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of the nodes that share a band with others."""
+    """(node, root) of the nodes that share a band with others. The bands come in two turns: what the first ones have joined
+    needs no further pair."""
     wanted = keep(members.select("node").distinct())
     of = nodes.join(wanted, "node").select(F.col("_at.k1").alias("k1"), F.col("_at.k2").alias("k2"), F.col("node").alias("_n"))
     texts = named.select(F.col("_at.k1").alias("k1"), F.col("_at.k2").alias("k2"), "_text").join(of, ["k1", "k2"])
     sets = keep(near.whole_sets(texts, "_n", "_text", size).withColumnRenamed("_n", "node").dropDuplicates(["node"]))
-    pivots = members.where(F.col("turn") == F.col("least")).select("band", F.col("node").alias("a"))
-    stars = members.join(pivots, "band").where(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    edges = keep(verified(likely(stars, nodes, percent), sets, percent))
-    roots = near._roots(edges, wanted)
+    roots = wanted.select("node", F.col("node").alias("root"))
+    for some in (F.col("place") < EARLY, F.col("place") >= EARLY):
+        own = members.where(some).join(roots, "node")
+        pivots = own.where(F.col("turn") == F.col("least")).select("band", F.col("node").alias("a"), F.col("root").alias("_root"))
+        stars = own.join(pivots, "band").where(F.col("root") != F.col("_root")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        roots = _joined(roots, keep(verified(likely(stars, nodes, percent), sets, percent)))
     place = keep(near.prefixes(sets, percent / 100).join(roots, "node"))
-    more = keep(verified(likely(near.across(place, sets, percent / 100), nodes, percent), sets, percent))
-    if not more.isEmpty():
-        roots = near._roots(keep(edges.unionByName(more)), wanted)
+    roots = _joined(roots, keep(verified(likely(near.across(place, sets, percent / 100), nodes, percent), sets, percent)))
     for x in (sets, place):
         drop_kept(x)
     return roots
