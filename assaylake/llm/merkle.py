@@ -192,3 +192,40 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = manifest(leaves, "lang", "doc_id", "digest", ("doc_id", "other"))
     root = folded(F.coalesce("other", "leaf"), F.col("path"))
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1)))"
+    bits = "list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _beside(frame: str) -> str:
+    return f"coalesce(string_agg(digest, '') OVER (PARTITION BY g, level, pos // {FAN} ORDER BY pos ROWS BETWEEN {frame}), '')"
+
+
+_UP = f"level + 1, pos // {FAN}, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + {FAN - 1}) // {FAN})"
+_SIDES = f"{_beside('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {_beside('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r"
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS id FROM (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE 'x' || lang END AS g, {_leaf('text')} AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf(f"translate(text, '{_ASCII}', '{_ASCII.lower()}')")} END AS other FROM documents)),
+low AS (SELECT g, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM d UNION ALL SELECT g, {_UP} FROM low WHERE n > 1 GROUP BY g, level, pos // {FAN}),
+sub AS (SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS place FROM low WHERE n = 1),
+high AS (SELECT '' AS g, 0 AS level, place AS pos, digest, count(*) OVER () AS n FROM sub UNION ALL SELECT '', {_UP} FROM high WHERE n > 1 GROUP BY level, pos // {FAN}),
+steps AS (SELECT d.id, x.level, l, r FROM d JOIN (SELECT *, {_SIDES} FROM low WHERE n > 1) x ON x.g = d.g AND x.pos = d.pos // CAST(pow({FAN}, x.level) AS BIGINT)
+  UNION ALL SELECT d.id, 100 + x.level, l, r FROM d JOIN sub ON sub.g = d.g JOIN (SELECT *, {_SIDES} FROM high WHERE n > 1) x ON x.pos = sub.place // CAST(pow({FAN}, x.level) AS BIGINT)),
+path AS (SELECT id, string_agg(l || r, '' ORDER BY level) AS proof, list({{'l': l, 'r': r, 'd': ''}} ORDER BY level) AS x FROM steps GROUP BY id),
+done AS (SELECT d.*, sub.digest AS subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+  list_reduce(list_concat([{{'l': '', 'r': '', 'd': coalesce(other, leaf)}}], coalesce(x, [])), lambda a, s: {{'l': '', 'r': '', 'd': sha256(s.l || a.d || s.r)}}).d AS folded_root
+  FROM d JOIN sub ON sub.g = d.g LEFT JOIN path ON path.id = d.id)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done"""

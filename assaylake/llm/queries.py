@@ -24,5 +24,7 @@ ORACLE_SQL = {
     "op4_benchmark_decontamination": winnow.ORACLE_SQL,
     "op7_line_dedup": lines.ORACLE_SQL,
     "op9_exact_top_k": topk.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_minhash_near_dedup": setsketch.ORACLE_SQL,
     "op13_turn_reassembly": turns.ORACLE_SQL,
 }
