@@ -13,15 +13,21 @@ from pyspark.sql import Window as W
 LEVELS, WIDER = 11, 8
 
 
-def _spread(t: DataFrame, side: str, by: list[str], width: float) -> DataFrame:
-    """(by, side, _level, _bin, _own): t's rows, as a struct, under the bins of the level whose bins are as wide as the interval
-    (_own), and under those of all levels above: two bins of a level at most, however long an interval is."""
+def _own_level(width: float):
+    """The level whose bins are as wide as an interval, the lowest if it is shorter than those."""
     length = F.greatest((F.col("end") - F.col("start")) / F.lit(float(width)), F.lit(1.0))
-    own = F.least(F.ceil(F.ln(length) / F.lit(math.log(WIDER))), F.lit(LEVELS - 1)).cast("int")
-    # WIDER ** LEVELS is beyond all numbers of bins that are looked up: one bin holds the last level
+    return F.least(F.ceil(F.ln(length) / F.lit(math.log(WIDER))), F.lit(LEVELS - 1)).cast("int")
+
+
+def _spread(t: DataFrame, side: str, by: list[str], width: float, present: DataFrame) -> DataFrame:
+    """(by, side, _level, _bin, _own): t's rows, as a struct, under the bins of their own level (_own), and under those of the levels
+    above that are present: two bins of a level at most, however long an interval is."""
+    # one bin holds the last level
     at = lambda c: F.when(F.col("_level") == LEVELS - 1, F.lit(0)).otherwise(F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(float(WIDER)), F.col("_level")))))
-    levelled = t.select(*by, F.struct(*t.columns).alias(side), "start", "end", own.alias("_at"), F.explode(F.sequence(own, F.lit(LEVELS - 1))).alias("_level"))
-    return levelled.select(*by, side, "_level", (F.col("_at") == F.col("_level")).alias("_own"), F.explode(F.sequence(at("start").cast("long"), at("end").cast("long"))).alias("_bin"))
+    names = t.columns
+    levelled = t.withColumn("_at", _own_level(width)).join(F.broadcast(present)).withColumn("_level", F.explode(F.filter("_levels", lambda v: v >= F.col("_at"))))
+    binned = levelled.withColumn("_bin", F.explode(F.sequence(at("start").cast("long"), at("end").cast("long"))))
+    return binned.select(*by, F.struct(*names).alias(side), "_level", (F.col("_at") == F.col("_level")).alias("_own"), "_bin")
 
 
 def meet(one: DataFrame, two: DataFrame, by: list[str], width: float, touch: bool = True) -> DataFrame:
@@ -29,9 +35,11 @@ def meet(one: DataFrame, two: DataFrame, by: list[str], width: float, touch: boo
     belong to an interval; else its end doesn't.
 
     Of two intervals the longer one is under its own level's bins and the shorter one is there too, so each pair meets; it counts
-    in the bin of its common part's start. An interval makes at most 2 * LEVELS rows, whatever its length, and intervals only
-    meet where one of them is as long as the bin."""
-    a, b = _spread(one, "a", by, width), _spread(two, "b", by, width)
+    in the bin of its common part's start. An interval makes at most two rows for each level that some interval has as its own,
+    of LEVELS at most, whatever its length; and intervals only meet where one of them is as long as the bin."""
+    own = one.select(_own_level(width).alias("l")).unionByName(two.select(_own_level(width).alias("l")))
+    present = own.agg(F.collect_set("l").alias("_levels"))  # one row of LEVELS numbers at most
+    a, b = _spread(one, "a", by, width, present), _spread(two, "b", by, width, present)
     over = (lambda x, y: x <= y) if touch else (lambda x, y: x < y)
     start = F.greatest("a.start", "b.start")
     first = F.when(F.col("_level") == LEVELS - 1, F.lit(0)).otherwise(F.floor(start / (F.lit(float(width)) * F.pow(F.lit(float(WIDER)), F.col("_level")))))

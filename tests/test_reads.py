@@ -150,7 +150,8 @@ def test_meetings(spark):
         got = sorted((r.i, r.j) for r in intervals.meet(one, two, ["g"], 16, touch).select(F.col("a.key").alias("i"), F.col("b.key").alias("j")).collect())
         over = (lambda x, y: x <= y) if touch else (lambda x, y: x < y)
         assert got == sorted((a[3], b[3]) for a in sides[0] for b in sides[1] if a[0] == b[0] and over(a[1], b[2]) and over(b[1], a[2]))
-    assert intervals._spread(one, "a", ["g"], 16).groupBy("a.key").count().agg(F.max("count")).first()[0] <= 2 * intervals.LEVELS
+    every = spark.range(1).select(F.sequence(F.lit(0), F.lit(intervals.LEVELS - 1)).alias("_levels"))
+    assert intervals._spread(one, "a", ["g"], 16, every).groupBy("a.key").count().agg(F.max("count")).first()[0] <= 2 * intervals.LEVELS
 
 
 def test_isoforms(spark):
