@@ -18,7 +18,7 @@ def _spans(spark, d):
 
 
 _SPANS = "SELECT CAST(l_orderkey AS BIGINT) o, CAST(l_linenumber AS BIGINT) i, CAST(min(l_quantity) AS BIGINT) s, CAST(min(l_quantity) AS BIGINT) + 3 AS e, sum(l_extendedprice) AS r FROM lineitem GROUP BY 1, 2"
-_CLUSTERS = f"SELECT o, i, s, e, CAST(sum(new) OVER (PARTITION BY o ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY o ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS new FROM ({_SPANS}))"
+_CLUSTERS = f"SELECT o, i, s, e, CAST(sum(new) OVER (PARTITION BY o ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY o ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS new FROM ({_SPANS}))"
 
 
 @bound(f'SELECT o, s AS start, e AS "end", cluster FROM ({_CLUSTERS})')

@@ -26,3 +26,14 @@ def test_t_tail_closed_forms(spark):
     for r in rows.collect():
         assert r.p1 == pytest.approx(1 - 2 / math.pi * math.atan(abs(r.t)), abs=1e-9)
         assert r.p2 == pytest.approx(1 - abs(r.t) / math.sqrt(2 + r.t * r.t), abs=1e-9)
+
+
+def test_sql_of_clusters_leaves_no_tie_to_chance():
+    """Many equal intervals in many orders: clusters count from 1, and one of two equal intervals opens none."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE lineitem AS SELECT i % 150000 AS l_orderkey, i // 150000 + 1 AS l_linenumber, CAST(hash(i) % 4 * 10 AS DOUBLE) AS l_quantity, 1.0 AS l_extendedprice FROM range(1050000) t(i)")
+    for name in ("overlap_clusters", "components"):
+        con.sql(f"CREATE TABLE {name} AS {bindings.ORACLE_SQL[name]}")
+    assert con.sql("SELECT count(*) FROM (SELECT o, min(cluster) AS a, max(cluster) AS b, count(DISTINCT start) AS n FROM overlap_clusters GROUP BY 1) WHERE a <> 1 OR b <> n").fetchall() == [(0,)]
+    wrong = "SELECT count(*) FROM components c JOIN lineitem x ON c.o = l_orderkey AND c.i = l_linenumber JOIN (SELECT l_orderkey AS p, l_quantity AS q, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) ON p = c.o AND q = x.l_quantity WHERE first <> component"
+    assert con.sql(wrong).fetchall() == [(0,)]
