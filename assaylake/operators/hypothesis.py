@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from assaylake.functions import tails
 from assaylake.operators import draws
-from assaylake.operators.stats import _two, anova_f, average_rank, mann_whitney_u, pooled_t, step_up, tie_share, welch
+from assaylake.operators.stats import _two, anova_f, average_rank, correlation, mann_whitney_u, pooled_t, step_up, tie_share, welch
 from assaylake.sources.kept import kept
 
 
@@ -69,12 +69,12 @@ def r_probability(r: Column, n: Column) -> Column:
     """The two-sided p of a correlation of n pairs; 0 for one of 1 or -1."""
     df = (n - 2).cast("double")
     rest = 1 - r * r
-    return F.when(rest <= 0, 0.0).otherwise(tails.t_two_sided(r * F.sqrt(df / rest), df))
+    return F.when(rest <= 0, 0.0).otherwise(tails.t_two_sided(r * F.sqrt(F.try_divide(df, rest)), df))
 
 
 def pearson(xy: DataFrame) -> DataFrame:
     """(feature, x, y): Pearson's r and its two-sided p; both null where x or y doesn't vary."""
-    s = xy.where("x IS NOT NULL AND y IS NOT NULL").groupBy("feature").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).where("n > 2")
+    s = xy.where("x IS NOT NULL AND y IS NOT NULL").groupBy("feature").agg(F.count("*").alias("n"), correlation("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).where("n > 2")
     s = s.withColumn("r", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))))
     return s.select("feature", "r", r_probability(F.col("r"), F.col("n")).alias("p"))
 
@@ -123,8 +123,8 @@ def one_sample_t(m: DataFrame, mean: float) -> DataFrame:
 def spearman(xy: DataFrame) -> DataFrame:
     """(feature, x, y): Pearson's r of the average ranks, and its two-sided p."""
     r = average_rank(average_rank(xy, ["feature"], "x", "rx"), ["feature"], "y", "ry")
-    r = r.groupBy("feature").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).where("n > 2").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
-    return r.select("feature", "rho", r_probability(F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0)), F.col("n")).alias("p"))
+    r = r.groupBy("feature").agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho")).where("n > 2").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
+    return r.select("feature", "rho", r_probability(F.when(F.col("rho").isNotNull(), F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0))), F.col("n")).alias("p"))
 
 
 def kendall_tau(xy: DataFrame) -> DataFrame:

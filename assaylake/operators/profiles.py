@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.operators.ranks import running_total
+from assaylake.operators.stats import correlation
 
 
 def template_rho(m: DataFrame) -> DataFrame:
@@ -136,21 +137,21 @@ def profile_rhos(vectors: DataFrame, profiles: DataFrame, key: str, vector: str,
     profiles' coordinates; sums of products are what is shuffled."""
     x = vectors.select(key, F.size(vector).alias("_n"), F.posexplode(vector).alias("_i", "_x"))
     y = profiles.select(label, F.size("centroid").alias("_n"), F.posexplode("centroid").alias("_i", "_y"))
-    return x.join(F.broadcast(y) if profiles.count() <= 4096 else y, ["_n", "_i"]).groupBy(key, label).agg(F.corr(F.col("_x").cast("double"), F.col("_y").cast("double")).alias("r"))
+    return x.join(F.broadcast(y) if profiles.count() <= 4096 else y, ["_n", "_i"]).groupBy(key, label).agg(correlation(F.col("_x").cast("double"), F.col("_y").cast("double")).alias("r"))
 
 
 def like_profiles(profiles: DataFrame, label: str, over: float) -> DataFrame:
     """(a, b, r), a < b: pairs of profiles that correlate above a bound. Profiles are few: one for each cluster."""
     y = profiles.select(label, F.posexplode("centroid").alias("_i", "_y"))
     a, b = y.select(F.col(label).alias("a"), "_i", F.col("_y").alias("_a")), y.select(F.col(label).alias("b"), "_i", F.col("_y").alias("_b"))
-    return a.join(b, "_i").where("a < b").groupBy("a", "b").agg(F.corr("_a", "_b").alias("r")).where(F.col("r") > over)
+    return a.join(b, "_i").where("a < b").groupBy("a", "b").agg(correlation("_a", "_b").alias("r")).where(F.col("r") > over)
 
 
 def row_blocks(m: DataFrame, order: str, rho: float, same: float) -> DataFrame:
     """(order, sample, value): blocks of rows that follow each other: a row that correlates with the one before it above rho is
     in its block, any other begins one; a row above `same` is dropped. Rows are numbered from 1 without gaps."""
     before = m.select((F.col(order) + 1).alias(order), "sample", F.col("value").alias("_v"))
-    r = m.join(before, [order, "sample"]).groupBy(order).agg(F.corr("value", "_v").alias("_r"))
+    r = m.join(before, [order, "sample"]).groupBy(order).agg(correlation("value", "_v").alias("_r"))
     rows = m.select(order).distinct().join(r, order, "left").withColumn("_r", F.coalesce(F.nanvl("_r", F.lit(0.0)), F.lit(0.0)))
     rows = rows.withColumn("_new", F.when(F.col("_r") > rho, 0).otherwise(1))
     return running_total(rows, [order], "_new", "block").where(F.col("_r") <= same).select(order, "block", F.col("_r").alias("r"))
@@ -160,7 +161,7 @@ def depleted(m: DataFrame, signatures: DataFrame, most: float) -> DataFrame:
     """Features of (feature, sample, value) whose |r| with the mean profile of every signature (name, feature) is below most; one
     without an r counts as 0. Mean profiles are few; features meet them by sample."""
     means = m.join(signatures, "feature").groupBy("name", "sample").agg(F.avg("value").alias("_y"))
-    r = m.join(means, "sample").groupBy("feature", "name").agg(F.corr("value", "_y").alias("r"))
+    r = m.join(means, "sample").groupBy("feature", "name").agg(correlation("value", "_y").alias("r"))
     return r.groupBy("feature").agg(F.max(F.abs(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))).alias("closest")).where(F.col("closest") < most)
 
 
@@ -168,7 +169,7 @@ def best_regulator(events: DataFrame, regulators: DataFrame, over: float, more:
     """(feature, regulator, r): of the regulators (few) the one of the largest |r| with an event over the samples that both have,
     0 where these are not more than so many, if |r| is over a bound; ties to the smaller. The r is rounded, so that ties are ties."""
     y = regulators.select(F.col("feature").alias("regulator"), "sample", F.col("value").alias("_y"))
-    r = events.where("value IS NOT NULL").join(y.where("_y IS NOT NULL"), "sample").groupBy("feature", "regulator").agg(F.count("*").alias("_n"), F.corr("value", "_y").alias("_r"))
+    r = events.where("value IS NOT NULL").join(y.where("_y IS NOT NULL"), "sample").groupBy("feature", "regulator").agg(F.count("*").alias("_n"), correlation("value", "_y").alias("_r"))
     r = r.withColumn("r", F.round(F.when(F.col("_n") > more, F.coalesce(F.nanvl("_r", F.lit(0.0)), F.lit(0.0))).otherwise(0.0), 6)).where(F.abs("r") > over)
     top = r.groupBy("feature").agg(F.min(F.struct((-F.abs("r")).alias("d"), "regulator", "r")).alias("x"))
     return top.select("feature", F.col("x.regulator").alias("regulator"), F.col("x.r").alias("r"))

@@ -102,6 +102,13 @@ def bonferroni(p: DataFrame, value: str) -> DataFrame:
     return p.join(F.broadcast(n)).withColumn("adjusted", F.least(F.col(value) * F.col("_n"), F.lit(1.0))).drop("_n")
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's r of the rows that have both, as F.corr; null where x or y doesn't vary, which F.corr takes for an error."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def describe(m: DataFrame) -> DataFrame:
     return m.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
 
@@ -110,4 +117,4 @@ def correlate_pairs(m: DataFrame, least: int) -> DataFrame:
     """Pearson's r of every two features that share at least that many samples, met in a join by sample."""
     b = m.select(F.col("feature").alias("b"), "sample", F.col("value").alias("y"))
     pairs = m.join(b, "sample").where(F.col("feature") < F.col("b"))
-    return pairs.groupBy(F.col("feature").alias("a"), "b").agg(F.corr("value", "y").alias("r"), F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return pairs.groupBy(F.col("feature").alias("a"), "b").agg(correlation("value", "y").alias("r"), F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")

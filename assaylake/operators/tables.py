@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from assaylake.operators.stats import correlation
+
 
 def transpose(m: DataFrame) -> DataFrame:
     """(feature, sample, value) with samples as features: in long form the two change names."""
@@ -92,7 +94,7 @@ def paired_correlation(one: DataFrame, two: DataFrame, gene: str, most: float) -
     """(gene, uid, sample, value) of two kinds: pairs of ids of one gene whose values over shared samples correlate below most."""
     a = one.select(gene, F.col("uid").alias("a"), "sample", F.col("value").alias("x"))
     b = two.select(gene, F.col("uid").alias("b"), "sample", F.col("value").alias("y"))
-    r = a.join(b, [gene, "sample"]).groupBy(gene, "a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.var_pop("x").alias("_x"), F.var_pop("y").alias("_y"))
+    r = a.join(b, [gene, "sample"]).groupBy(gene, "a", "b").agg(F.count("*").alias("n"), correlation("x", "y").alias("r"), F.var_pop("x").alias("_x"), F.var_pop("y").alias("_y"))
     return r.where((F.col("_x") > 0) & (F.col("_y") > 0) & (F.col("n") > 2) & (F.col("r") < most)).drop("_x", "_y")
 
 

@@ -122,3 +122,16 @@ def test_first_kept(spark):
     nodes = spark.createDataFrame([(x,) for x in range(80)], "node long")
     got = network.first_kept(nodes, spark.createDataFrame(edges, "a long, b long"))
     assert sorted(r.node for r in got.collect()) == stay
+
+
+def test_correlations_of_what_does_not_vary(spark):
+    """A feature in one group only, one value only, two pairs only, or a perfect one: null or 0, and no error."""
+    rows = [("one", "R", 1.0), ("one", "R", 2.0), ("one", "R", 3.0)] + [("flat", g, 0.1) for g in "RARA"] + [("few", "R", 1.0), ("few", "R", 2.0)] + [("whole", g, v) for g, v in zip("RARA", (1.0, 2.0, 1.0, 2.0))]
+    m = spark.createDataFrame(rows, "feature string, grp string, value double")
+    got = {r.feature: (r.r, r.p) for r in hypothesis.point_biserial(m, "R", "A").collect()}
+    assert got["one"] == got["flat"] == (None, None) and "few" not in got and got["whole"] == (pytest.approx(1.0), pytest.approx(0.0, abs=1e-6))
+    xy = spark.createDataFrame([("x", 1.0, float(i)) for i in range(4)] + [("y", float(i), 2.0) for i in range(4)], "feature string, x double, y double")
+    for test in (hypothesis.pearson, hypothesis.spearman):
+        assert {tuple(r)[1:] for r in test(xy).collect()} == {(None, None)}
+    long = spark.createDataFrame([(f, s, v) for f, x in (("a", [1.0, 1.0, 1.0]), ("b", [1.0, 2.0, 3.0]), ("c", [3.0, 2.0, 1.0])) for s, v in enumerate(x)], "feature string, sample int, value double")
+    assert {(r.a, r.b): r.r for r in stats.correlate_pairs(long, 3).collect()} == {("a", "b"): None, ("a", "c"): None, ("b", "c"): pytest.approx(-1.0)}
