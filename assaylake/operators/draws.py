@@ -28,15 +28,32 @@ def _borders(turn: DataFrame, by: list[str], sizes: DataFrame, n: str) -> DataFr
     return own.select(*by, "_round", F.col("_part").alias("_border"), (F.col(n) - F.col("_upto") + F.col("_c")).alias("_open"))
 
 
+def limits(rows: DataFrame, key: Column, sizes: DataFrame, n: str, rounds: int, seed: int) -> DataFrame:
+    """(_round, _most, _last): the last hash that each round draws, and its key; a row for each round, none where n is beyond the rows or
+    0. One row in PARTS is ordered."""
+    turn = _turned(rows, [], key, rounds, seed)
+    border = turn.join(F.broadcast(_borders(turn, [], sizes, n)), "_round").where(F.col("_part") == F.col("_border"))
+    place = F.row_number().over(W.partitionBy("_round").orderBy("_h", "_key"))
+    return border.withColumn("_k", place).where(F.col("_k") == F.col("_open")).select("_round", F.col("_h").alias("_most"), F.col("_key").alias("_last"))
+
+
+def within(key: Column, seed: int) -> Column:
+    """Whether the round of limits that a row has met draws the key: that takes no table of what is drawn."""
+    h = F.xxhash64(F.lit(seed), "_round", key)
+    return (h <= F.col("_most")) & ((h < F.col("_most")) | (key <= F.col("_last")))
+
+
 def drawn(rows: DataFrame, by: list[str], key: Column, sizes: DataFrame, n: str, rounds: int, seed: int) -> DataFrame:
     """rows with _round, once for each round that draws them: of the rows of a group (by; none: all are one) the n, a column of
     sizes (a row for each group), of the smallest hashes of (seed, round, group, key). Keys are unique in a group; where n is
     beyond a group's rows or 0, nothing is drawn.
 
     Rows are counted by parts of the hashes' range first. Those below the part in which a round's draw ends are drawn as they are;
-    only that part's rows, one in PARTS, are ordered."""
+    only that part's rows, one in PARTS, are ordered. No side of a join by round is broadcast on an estimate, which doesn't know of rounds."""
+    if not by:
+        return rows.join(F.broadcast(limits(rows, key, sizes, n, rounds, seed)), within(key, seed)).select(*rows.columns, "_round")
     turn = _turned(rows, by, key, rounds, seed)
-    met = turn.join(_borders(turn, by, sizes, n), [*by, "_round"]).where(F.col("_part") <= F.col("_border"))
+    met = turn.hint("merge").join(_borders(turn, by, sizes, n), [*by, "_round"]).where(F.col("_part") <= F.col("_border"))
     names = [*rows.columns, "_round"]
     inside = met.where(F.col("_part") < F.col("_border")).select(*names)
     place = F.row_number().over(W.partitionBy(*by, "_round", "_part").orderBy("_h", "_key"))
@@ -49,7 +66,7 @@ def sums(rows: DataFrame, by: list[str], key: Column, sizes: DataFrame, n: str,
     turn = _turned(rows, by, key, rounds, seed)
     border = _borders(turn, by, sizes, n)
     parts = turn.groupBy(*by, "_round", "_part").agg(F.sum(value).alias("_s"))
-    below = parts.join(border, [*by, "_round"]).where(F.col("_part") < F.col("_border")).select(*by, "_round", "_s")
+    below = parts.hint("merge").join(border, [*by, "_round"]).where(F.col("_part") < F.col("_border")).select(*by, "_round", "_s")
     place = F.row_number().over(W.partitionBy(*by, "_round", "_part").orderBy("_h", "_key"))
-    last = turn.join(border, [*by, "_round"]).where(F.col("_part") == F.col("_border")).withColumn("_k", place).where(F.col("_k") <= F.col("_open")).select(*by, "_round", F.col(value).alias("_s"))
+    last = turn.hint("merge").join(border, [*by, "_round"]).where(F.col("_part") == F.col("_border")).withColumn("_k", place).where(F.col("_k") <= F.col("_open")).select(*by, "_round", F.col(value).alias("_s"))
     return below.unionByName(last).groupBy(*by, "_round").agg(F.sum("_s").alias("_sum"))
