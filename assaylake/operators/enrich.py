@@ -42,12 +42,12 @@ def raise_zeros(t: DataFrame, value: str) -> DataFrame:
 def permuted(every: DataFrame, hit: DataFrame, members: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
     """gene_set, n, r, z, p: the share of rounds in which a random list exactly as long as hit gives a set a z as far from 0.
 
-    A round's list is the elements of the smallest hashes of (seed, round, element); only drawn ones meet the members, and a set
-    that no list meets in a round has r = 0 there. Elements are unique."""
+    A round's list is the elements of the smallest hashes of (seed, round, element); members meet the last hash of each round's list, and
+    a set that no list meets in a round has r = 0 there. Elements are unique."""
     own = over_representation(every, hit, members)
     sizes = set_counts(every, hit, members).select("gene_set", "n", "r", "tn", "tr")
-    drawn = draws.drawn(every.select("element"), [], F.col("element"), hit.agg(F.count("*").alias("_tr")), "_tr", rounds, seed)
-    met = drawn.join(members, "element").groupBy("gene_set", "_round").agg(F.count("*").alias("_x"))
+    last = draws.limits(every.select("element"), F.col("element"), hit.agg(F.count("*").alias("_tr")), "_tr", rounds, seed)
+    met = members.join(every.select("element"), "element").join(F.broadcast(last), draws.within(F.col("element"), seed)).groupBy("gene_set", "_round").agg(F.count("*").alias("_x"))
     tally = met.groupBy("gene_set", "_x").agg(F.count("*").alias("_rounds"))
     seen = tally.groupBy("gene_set").agg(F.sum("_rounds").alias("_seen"))
     zero = sizes.join(seen, "gene_set", "left").select("gene_set", F.lit(0).cast("long").alias("_x"), (F.lit(rounds) - F.coalesce("_seen", F.lit(0))).alias("_rounds"))

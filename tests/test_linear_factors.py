@@ -257,3 +257,17 @@ def test_first_kept_of_a_long_chain(spark):
     nodes = spark.range(401).withColumnRenamed("id", "node").unionByName(spark.range(1000, 1003).withColumnRenamed("id", "node"))
     got = sorted(r.node for r in network.first_kept(nodes, edges).collect())
     assert got == [*range(0, 401, 2), 1000, 1002]
+
+
+def test_no_drawn_table_is_broadcast(spark):
+    """What the rounds draw is many times its rows, which an estimate doesn't know: only limits, a row for each round, are broadcast."""
+    every = spark.range(20000).select(F.col("id").alias("element"))
+    members = every.select("element", (F.col("element") % 5).cast("string").alias("gene_set"))
+    plan = enrich.permuted(every, every.where("element % 40 = 0"), members, 50)._jdf.queryExecution().optimizedPlan().toString()
+    edges = every.select(F.col("element").alias("a"), (F.col("element") * 7 % 20000).alias("b"))
+    nodes = every.withColumnRenamed("element", "node")
+    for text in (plan, network.edge_permutation(edges, nodes, nodes.where("node % 9 = 0"), 50)._jdf.queryExecution().optimizedPlan().toString()):
+        joins = [x for x in text.splitlines() if "Join Inner" in x and "_most" in x]
+        assert joins and all("rightHint=(strategy=broadcast)" in x for x in joins)
+    own = {r["_round"]: r.n for r in draws.drawn(every, [], F.col("element"), spark.createDataFrame([(77,)], "n long"), "n", 30, 1).groupBy("_round").agg(F.count("*").alias("n")).collect()}
+    assert own == {i: 77 for i in range(1, 31)}
