@@ -135,3 +135,18 @@ def test_correlations_of_what_does_not_vary(spark):
         assert {tuple(r)[1:] for r in test(xy).collect()} == {(None, None)}
     long = spark.createDataFrame([(f, s, v) for f, x in (("a", [1.0, 1.0, 1.0]), ("b", [1.0, 2.0, 3.0]), ("c", [3.0, 2.0, 1.0])) for s, v in enumerate(x)], "feature string, sample int, value double")
     assert {(r.a, r.b): r.r for r in stats.correlate_pairs(long, 3).collect()} == {("a", "b"): None, ("a", "c"): None, ("b", "c"): pytest.approx(-1.0)}
+
+
+def test_fisher_of_any_counts(spark):
+    """Against plain sums over all counts, and with counts for which a list of all wouldn't do."""
+    rng = random.Random(3)
+    rows = [(a, b, c, d) for d in (1, 7, 40, 300) for _ in range(40) for c in [rng.randint(0, d)] for b in [rng.randint(0, d)] for a in [rng.randint(max(0, b + c - d), min(b, c))]]
+    ln = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    for r in hypothesis.fisher_two_sided(spark.createDataFrame(rows, "r long, n long, tr long, tn long")).collect():
+        every = [ln(r.tr, k) + ln(r.tn - r.tr, r.n - k) - ln(r.tn, r.n) for k in range(max(0, r.n + r.tr - r.tn), min(r.n, r.tr) + 1)]
+        at = ln(r.tr, r.r) + ln(r.tn - r.tr, r.n - r.r) - ln(r.tn, r.n)
+        assert r.p == pytest.approx(min(sum(math.exp(x) for x in every if x <= at + 1e-7), 1.0), abs=1e-9)
+    large = [(1_000_000_000, 2_000_000_000, 2_000_000_000, 4_000_000_000), (1_000_020_000, 2_000_000_000, 2_000_000_000, 4_000_000_000)]
+    whole, far = (r.p for r in hypothesis.fisher_two_sided(spark.createDataFrame(large, "r long, n long, tr long, tn long")).orderBy("r").collect())
+    deviation = math.sqrt(2e9 * 0.25 * 0.5)
+    assert whole == 1.0 and far == pytest.approx(math.erfc(19_999.5 / deviation / math.sqrt(2)), rel=0.01)
