@@ -150,3 +150,22 @@ def test_fisher_of_any_counts(spark):
     whole, far = (r.p for r in hypothesis.fisher_two_sided(spark.createDataFrame(large, "r long, n long, tr long, tn long")).orderBy("r").collect())
     deviation = math.sqrt(2e9 * 0.25 * 0.5)
     assert whole == 1.0 and far == pytest.approx(math.erfc(19_999.5 / deviation / math.sqrt(2)), rel=0.01)
+
+
+def test_correlations_by_blocks(spark, monkeypatch):
+    """Blocks of few features against plain pairs: missing samples, nulls, values far from 0, no variance in what is shared."""
+    rng = random.Random(2)
+    rows = [(f"f{i}", f"s{j}", None if rng.random() < 0.1 else 1e6 + (1.0 if i % 5 == 0 and j < 6 else rng.gauss(0, 1))) for i in range(40) for j in range(12) if rng.random() < 0.7]
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    m = spark.createDataFrame(rows, "feature string, sample string, value double")
+    got = {(r.a, r.b): r.r for r in stats.correlate_pairs(m, 3).collect()}
+    values: dict = {}
+    for f, s, v in rows:
+        values.setdefault(f, {})[s] = v
+    want = {}
+    for a, b in ((a, b) for a in values for b in values if a < b and len(values[a].keys() & values[b].keys()) >= 3):
+        xy = np.array([(values[a][s] - 1e6, values[b][s] - 1e6) for s in values[a].keys() & values[b].keys() if values[a][s] is not None and values[b][s] is not None]).reshape(-1, 2)
+        want[a, b] = np.corrcoef(xy.T)[0, 1] if len(xy) > 1 and (np.ptp(xy, axis=0) > 0).all() else None
+    assert set(got) == set(want) and len(want) > 600
+    for k, r in want.items():
+        assert got[k] is None if r is None else got[k] == pytest.approx(r, abs=1e-7), k
