@@ -159,17 +159,19 @@ def row_blocks(m: DataFrame, order: str, rho: float, same: float) -> DataFrame:
 
 def depleted(m: DataFrame, signatures: DataFrame, most: float) -> DataFrame:
     """Features of (feature, sample, value) whose |r| with the mean profile of every signature (name, feature) is below most; one
-    without an r counts as 0. Mean profiles are few; features meet them by sample."""
+    without an r counts as 0. Mean profiles are few and go
+    to the features, which are dealt out once, so that no row of feature, signature and sample is."""
     means = m.join(signatures, "feature").groupBy("name", "sample").agg(F.avg("value").alias("_y"))
-    r = m.join(means, "sample").groupBy("feature", "name").agg(correlation("value", "_y").alias("r"))
+    r = m.repartition("feature").join(F.broadcast(means), "sample").groupBy("feature", "name").agg(correlation("value", "_y").alias("r"))
     return r.groupBy("feature").agg(F.max(F.abs(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))).alias("closest")).where(F.col("closest") < most)
 
 
 def best_regulator(events: DataFrame, regulators: DataFrame, over: float, more: int) -> DataFrame:
     """(feature, regulator, r): of the regulators (few) the one of the largest |r| with an event over the samples that both have,
-    0 where these are not more than so many, if |r| is over a bound; ties to the smaller. The r is rounded, so that ties are ties."""
+    0 where these are not more than so many, if |r| is over a bound; ties to the smaller. The r is rounded, so that ties are ties.
+    Regulators go to the events, which are dealt out once."""
     y = regulators.select(F.col("feature").alias("regulator"), "sample", F.col("value").alias("_y"))
-    r = events.where("value IS NOT NULL").join(y.where("_y IS NOT NULL"), "sample").groupBy("feature", "regulator").agg(F.count("*").alias("_n"), correlation("value", "_y").alias("_r"))
+    r = events.where("value IS NOT NULL").repartition("feature").join(F.broadcast(y.where("_y IS NOT NULL")), "sample").groupBy("feature", "regulator").agg(F.count("*").alias("_n"), correlation("value", "_y").alias("_r"))
     r = r.withColumn("r", F.round(F.when(F.col("_n") > more, F.coalesce(F.nanvl("_r", F.lit(0.0)), F.lit(0.0))).otherwise(0.0), 6)).where(F.abs("r") > over)
     top = r.groupBy("feature").agg(F.min(F.struct((-F.abs("r")).alias("d"), "regulator", "r")).alias("x"))
     return top.select("feature", F.col("x.regulator").alias("regulator"), F.col("x.r").alias("r"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.functions import tails
-from assaylake.operators import hypothesis, models, network, stats
+from assaylake.operators import hypothesis, models, network, profiles, stats
 
 
 def test_tails_at_known_points(spark):
@@ -169,3 +169,13 @@ def test_correlations_by_blocks(spark, monkeypatch):
     assert set(got) == set(want) and len(want) > 600
     for k, r in want.items():
         assert got[k] is None if r is None else got[k] == pytest.approx(r, abs=1e-7), k
+
+
+def test_profiles_are_sent_to_the_features(spark):
+    """Rows of feature, profile and sample are summed where they are made: no exchange lies above the join with the profiles."""
+    m = spark.range(20000).select((F.col("id") % 500).alias("feature"), (F.col("id") % 7).alias("sample"), F.rand(1).alias("value"))
+    names = spark.range(500).select(F.col("id").alias("feature"), (F.col("id") % 5).alias("name"))
+    few = m.groupBy((F.col("feature") % 5).alias("feature"), "sample").agg(F.avg("value").alias("value"))
+    for found in (profiles.depleted(m, names, 0.4), profiles.best_regulator(m, few, 0.1, 3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("BroadcastHashJoin [sample")]
