@@ -1,22 +1,28 @@
 """Near copies by the share of word shingles two texts have in common, verified exactly.
 
-The same multi-index search as for SimHash fingerprints, with other fingerprints: 64 SimHash bits can't tell a similarity of
-0.8 from chance (such texts lie up to 14 bits apart), so the segments are bands of min-hashes, looked up as they are."""
+SimHash fingerprints and their multi-index search (simhash.links) find what lies within two bits. At a similarity of 0.8 texts
+lie up to 14 bits apart, which 64 bits can't tell from chance; what the fingerprints leave apart is then looked up by bands
+of min-hashes."""
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import by_text, drop_kept, keep, mix, trim
 from .shingles import components, shingle_hashes, words
 
 #: Words in a shingle, least share of shingles (Jaccard) of a link, bands of min-hashes, min-hashes in a band, and 64-bit
 #: numbers that hold the parities of a set.
 SHINGLE, LEAST, BANDS, ROWS, PARITIES = 5, 0.8, 32, 4, 8
+#: Min-hashes of which a bit is a mark, and the probability with which marks may rule out a link.
+MARKS, LOST = BANDS * ROWS, 1e-10
 _DRAWS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _BLOCK = 1 << 9
 
@@ -26,15 +32,22 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(words(text), size))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One value for each band, mixed from its min-hashes and its place; none without shingles.
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS min-hashes of a set; none without shingles."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    turn, add = _DRAWS[0] | np.uint64(1), _DRAWS[1]
+    return np.min([mix(hashes[a : a + _BLOCK] * turn + add).min(axis=1) for a in range(0, len(hashes), _BLOCK)], axis=0)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One value for each band, mixed from its min-hashes and its place; none without any.
 
     Texts that share s of their shingles share a band with probability 1 - (1 - s**ROWS)**BANDS: at s = 0.8 all but 5 in
     10**8 do."""
-    if not len(hashes):
+    if not len(least):
         return np.zeros(0, np.int64)
-    turn, add = _DRAWS[0] | np.uint64(1), _DRAWS[1]
-    least = np.min([mix(hashes[a : a + _BLOCK] * turn + add).min(axis=1) for a in range(0, len(hashes), _BLOCK)], axis=0).reshape(BANDS, ROWS)
+    least = least.reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(ROWS):
         out = mix(out ^ least[:, r]) + least[:, r]
@@ -49,21 +62,42 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def marks(least: np.ndarray) -> np.ndarray:
+    """The lowest bit of each of MARKS min-hashes (or registers), as longs; none without any."""
+    return np.packbits((least & least.dtype.type(1)).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def most_marks(least: float) -> int:
+    """How many marks of two sets of similarity least or more can differ: more do with a probability below LOST. A min-hash differs with a
+    probability of 1 - least, and its mark then every other time."""
+    p = (1 - least) / 2
+    for t in range(MARKS):
+        if sum(comb(MARKS, i) * p**i * (1 - p) ** (MARKS - i) for i in range(t + 1, MARKS + 1)) < LOST:
+            return t
+    return MARKS
+
+
 def signatures(docs: DataFrame, key: str, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(key, s1, s2, n, bands): 128 bits of hash of the set of shingles, its size and its band keys."""
+    """(key, s1, s2, n, fp, bands, marks): 128 bits of hash of the set of shingles, its size, the text's SimHash fingerprint, the set's band
+    keys and marks."""
 
     def of(texts: list[str | None]) -> dict:
-        s1, s2, n, bands = [], [], [], []
+        s1, s2, n, fp, bands, bits = [], [], [], [], [], []
         for t in texts:
-            s = shingle_set(t, size)
+            every = shingle_hashes(words(t), size)
+            fp.append(simhash.of_hashes(every))
+            s = np.unique(every)
             both = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), 42), "<i8")
             s1.append(int(both[0]))
             s2.append(int(both[1]))
             n.append(len(s))
-            bands.append(band_keys(s))
-        return {"s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+            least = min_hashes(s)
+            bands.append(band_keys(least))
+            bits.append(marks(least))
+        numbers = {"s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "n": pa.array(n, pa.int64()), "fp": np.array(fp, np.uint64).view(np.int64)}
+        return numbers | {"bands": pa.array(bands, pa.list_(pa.int64())), "marks": pa.array(bits, pa.list_(pa.int64()))}
 
-    return by_text(docs, of, "s1 long, s2 long, n long, bands array<long>", text, (key,))
+    return by_text(docs, of, "s1 long, s2 long, n long, fp long, bands array<long>, marks array<long>", text, (key,))
 
 
 def whole_sets(docs: DataFrame, key: str, text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -119,19 +153,21 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     )
 
 
-def across(place: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def across(place: DataFrame, bits: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of nodes of different roots that share a shingle of their prefixes and that no bound rules out.
 
-    place has prefixes' columns and root. Shingles whose nodes have one root between them make no pair. The bounds are
-    part of the join, so a pair that they rule out is never a row."""
+    place has prefixes' columns and root, bits the nodes' parities (odd) and marks. Shingles whose nodes have one root between them make no
+    pair. The bounds are part of the join, so a pair that they rule out is never a row. Sizes, places and parities lose nothing, but say
+    little of sets of over a thousand shingles, of which any two share some by chance; marks tell those apart whatever their sizes."""
     mixed = place.groupBy("h").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where(F.col("_r") < F.col("_s")).select("h")
-    open_ = keep(place.join(mixed, "h").join(sets.select("node", "odd"), "node"))
-    left, right = (open_.select("h", F.col("node").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in ("root", "n", "before", "after", "odd")]) for c in "ab")
+    open_ = keep(place.join(mixed, "h").join(bits.select("node", "odd", "marks"), "node"))
+    left, right = (open_.select("h", F.col("node").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in ("root", "n", "before", "after", "odd", "marks")]) for c in "ab")
     # the shingle itself, and at most so many before and after it, can be in both
     n, m = F.col("_n_a"), F.col("_n_b")
     most = F.least("_before_a", "_before_b") + F.least("_after_a", "_after_b") + 1
     enough = most >= (n + m - most) * F.lit(least) - F.lit(1e-9)
-    bounds = (F.col("a") < F.col("b")) & (F.col("_root_a") != F.col("_root_b")) & enough & not_apart("_odd_a", "_odd_b", n, m, least)
+    differ = sum((F.bit_count(F.col("_marks_a")[i].bitwiseXOR(F.col("_marks_b")[i])) for i in range(MARKS // 64)), F.lit(0))
+    bounds = (F.col("a") < F.col("b")) & (F.col("_root_a") != F.col("_root_b")) & enough & (differ <= most_marks(least)) & not_apart("_odd_a", "_odd_b", n, m, least)
     return left.join(right, "h").where(bounds).select("a", "b").distinct()
 
 
@@ -139,34 +175,53 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", size: int = SHING
     """(key, component): component is the smallest key that links of Jaccard similarity least or more reach.
 
     key must be unique, not null, and of a type that orders. Texts with equal sets of shingles are one node from the first
-    aggregation on; those without words are copies of each other. Nodes that share a band with another are looked at
-    further. Of each band's group all are held against one pivot, the node that a hash of node and band puts first, so that a
-    group of copies of one text makes no pairs, and its nodes meet other pivots in other bands. Then nodes that are in
-    different components still are held against each other if they share one of their rarest shingles, which loses no
-    link (see prefixes). Every link is verified on the whole sets."""
+    aggregation on; those without words are copies of each other. First nodes meet by SimHash: all of one fingerprint are held
+    against one of them, and those ones of fingerprints that lie within two bits (simhash.links) against each other. Then nodes that
+    share a band of min-hashes and are in different components still: of each band's group all are held against one pivot, the
+    node that a hash of node and band puts first, so that a group of copies of one text makes no pairs, and its nodes meet other pivots
+    in other bands. Last, nodes that are in different components still are held against each other if they share one of their
+    rarest shingles, which loses no link (see prefixes), marks apart (see most_marks). Every link is verified on the whole sets."""
     own = keep(signatures(docs, key, text, size))
-    nodes = keep(own.groupBy("s1", "s2").agg(F.min(F.struct(F.col(key).alias("node"), "bands")).alias("x")).select("s1", "s2", "x.*"))
+    nodes = keep(own.groupBy("s1", "s2").agg(F.min(F.struct(F.col(key).alias("node"), "fp", "bands", "marks")).alias("x")).select("s1", "s2", "x.*"))
+    by_print = keep(fingerprint_pairs(nodes))
     table = nodes.select("node", F.explode("bands").alias("band")).withColumn("turn", F.xxhash64("node", "band"))
     first = table.groupBy("band").agg(F.min("turn").alias("least"), F.max("turn").alias("_z")).where(F.col("least") < F.col("_z")).select("band", "least")
     members = keep(table.join(first, "band"))
+    ends = members.select("node").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = keep(ends.distinct())
     whole = nodes.select("s1", "s2", F.col("node").alias("component"))
-    if not members.isEmpty():
-        wanted = keep(members.select(F.col("node").alias(key)).distinct())
-        sets = keep(whole_sets(docs.join(wanted, key, "left_semi"), key, text, size))
-        pivots = members.where(F.col("turn") == F.col("least")).select("band", F.col("node").alias("a"))
-        stars = members.join(pivots, "band").where(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        edges = keep(verified(possible(stars, sets, least), sets, least))
-        roots = _roots(edges, wanted.withColumnRenamed(key, "node"))
+    if not wanted.isEmpty():
+        sets = keep(whole_sets(docs.join(wanted.withColumnRenamed("node", key), key, "left_semi"), key, text, size))
+        edges = keep(verified(possible(by_print, sets, least), sets, least))
+        roots = _roots(edges, wanted)
+        apart = members.join(roots, "node")
+        pivots = apart.where(F.col("turn") == F.col("least")).select("band", F.col("node").alias("a"), F.col("root").alias("_root"))
+        stars = apart.join(pivots, "band").where(F.col("root") != F.col("_root")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        banded = keep(verified(possible(stars, sets, least), sets, least))
+        if not banded.isEmpty():
+            edges = keep(edges.unionByName(banded))
+            roots = _roots(edges, wanted)
         place = keep(prefixes(sets, least).join(roots, "node"))
-        more = keep(verified(across(place, sets, least), sets, least))
+        more = keep(verified(across(place, sets.join(nodes.select("node", "marks"), "node"), least), sets, least))
         if not more.isEmpty():
-            roots = _roots(keep(edges.unionByName(more)), wanted.withColumnRenamed(key, "node"))
+            roots = _roots(keep(edges.unionByName(more)), wanted)
         whole = keep(nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component")))
         for x in (sets, place, wanted, members):
             drop_kept(x)
     return own.join(whole, ["s1", "s2"]).select(key, "component")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, fp): each node and the first of its fingerprint, and the firsts of any two fingerprints that differ
+    in two bits or fewer."""
+    prints = keep(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(prints, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    met = simhash.links(prints)
+    for c in "ab":
+        met = met.join(prints.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")), c)
+    return same.unionByName(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def _roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of every node: itself where no edge touches it."""
     if edges.isEmpty():

@@ -84,20 +84,23 @@ def estimate(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray) -
 
 
 def sketches(docs: DataFrame, key: str, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(key, s1, s2, n, registers): 128 bits of hash of the set of shingles, its size, and its registers as bytes."""
+    """(key, s1, s2, n, registers, marks): 128 bits of hash of the set of shingles, its size, its registers as bytes, and the lowest bit of
+    each of them."""
 
     def of(texts: list[str | None]) -> dict:
-        s1, s2, n, registers = [], [], [], []
+        s1, s2, n, registers, marks = [], [], [], [], []
         for t in texts:
             s = near.shingle_set(t, size)
             both = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), 42), "<i8")
             s1.append(int(both[0]))
             s2.append(int(both[1]))
             n.append(len(s))
-            registers.append(sketch(s).tobytes() if len(s) else None)
-        return {"s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "n": pa.array(n, pa.int64()), "registers": pa.array(registers, pa.binary())}
+            own = sketch(s)
+            registers.append(own.tobytes() if len(s) else None)
+            marks.append(near.marks(own))
+        return {"s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "n": pa.array(n, pa.int64()), "registers": pa.array(registers, pa.binary()), "marks": pa.array(marks, pa.list_(pa.int64()))}
 
-    return by_text(docs, of, "s1 long, s2 long, n long, registers binary", text, (key,))
+    return by_text(docs, of, "s1 long, s2 long, n long, registers binary, marks array<long>", text, (key,))
 
 
 def band_values(registers: pd.Series) -> pd.Series:
@@ -138,7 +141,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     same band all are held against the one that a hash of node and band puts first; the likelihood of both sketches says
     which pairs are worth verifying on whole sets. So a group makes no more pairs than it has nodes, and its nodes meet other
     firsts in other bands. Then nodes of different components that share one of their rarest shingles are held
-    against each other (near.across; it loses no link between banded nodes), by the same likelihood and verification.
+    against each other (near.across; it loses no link between banded nodes, marks of registers apart), by the same likelihood and verification.
 
     Texts without words, null or empty, have no shingles and link with nothing: their own key is their component, as that of
     every row alone. Fewer words than size are one shingle. Rows that repeat a key each give a row; null keys are never the
@@ -148,9 +151,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     # 128 bits of a row's key and text name the row in both passes over the texts
     named = rows.withColumn("_at", F.struct(F.xxhash64("_key", "_text").alias("k1"), F.xxhash64(F.lit("again"), "_text", "_key").alias("k2")))
-    own = keep(sketches(named.select(F.struct("_key", "_at").alias("_row"), "_text"), "_row", "_text", size).select("_row._key", "_row._at", "s1", "s2", "n", "registers"))
+    own = keep(sketches(named.select(F.struct("_key", "_at").alias("_row"), "_text"), "_row", "_text", size).select("_row._key", "_row._at", "s1", "s2", "n", "registers", "marks"))
     whose = keep(own.where("n > 0").groupBy("s1", "s2").agg(F.min("_key").alias("low"), F.min("_at").alias("_at")).withColumn("node", F.monotonically_increasing_id()))
-    nodes = keep(whose.join(own.select("s1", "s2", "_at", "n", "registers").dropDuplicates(["s1", "s2", "_at"]), ["s1", "s2", "_at"]))
+    nodes = keep(whose.join(own.select("s1", "s2", "_at", "n", "registers", "marks").dropDuplicates(["s1", "s2", "_at"]), ["s1", "s2", "_at"]))
     table = nodes.select("node", F.posexplode(F.pandas_udf(band_values, "array<long>")("registers")).alias("place", "band")).withColumn("turn", F.xxhash64("node", "band"))
     first = table.groupBy("band").agg(F.min("turn").alias("least"), F.max("turn").alias("_z")).where(F.col("least") < F.col("_z")).select("band", "least")
     members = keep(table.join(first, "band"))
@@ -193,7 +196,7 @@ def _linked(named: DataFrame, nodes: DataFrame, members: DataFrame, size: int, p
         stars = own.join(pivots, "band").where(F.col("root") != F.col("_root")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         roots = _joined(roots, keep(verified(likely(stars, nodes, percent), sets, percent)))
     place = keep(near.prefixes(sets, percent / 100).join(roots, "node"))
-    roots = _joined(roots, keep(verified(likely(near.across(place, sets, percent / 100), nodes, percent), sets, percent)))
+    roots = _joined(roots, keep(verified(likely(near.across(place, sets.join(nodes.select("node", "marks"), "node"), percent / 100), nodes, percent), sets, percent)))
     for x in (sets, place):
         drop_kept(x)
     return roots

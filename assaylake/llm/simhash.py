@@ -17,7 +17,11 @@ WIDTH, BALL = 64 // SEGMENTS, RADIUS // SEGMENTS
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """64 bits, each set if it is set in over half of the shingle hashes; 0 without words."""
-    hashes = shingle_hashes(words(text), size)
+    return of_hashes(shingle_hashes(words(text), size))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, repeats included."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
