@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +38,23 @@ def limits(rows: DataFrame, key: Column, sizes: DataFrame, n: str, rounds: int,
     return border.withColumn("_k", place).where(F.col("_k") == F.col("_open")).select("_round", F.col("_h").alias("_most"), F.col("_key").alias("_last"))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rolled(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def hashes(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """(seeds, keys): what Spark's xxhash64 goes on to from each seed, the hash of the columns before, with a long key. Different keys have
+    different hashes."""
+    h = seeds.view(np.uint64)[:, None] + (_P5 + np.uint64(8)) ^ _rolled(keys.view(np.uint64) * _P2, 31) * _P1
+    h = _rolled(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def within(key: Column, seed: int) -> Column:
     """Whether the round of limits that a row has met draws the key: that takes no table of what is drawn."""
     h = F.xxhash64(F.lit(seed), "_round", key)

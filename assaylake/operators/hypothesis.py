@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -339,16 +340,51 @@ def bayes_factor(draws: DataFrame, smoothing: float = 0.3, least: float = 0.009,
     return k.select("feature", F.when(flat, 0.0).otherwise(F.least(F.coalesce(F.try_divide(F.lit(1.0), F.col("density")), F.lit(most)), F.lit(most))).alias("bayes_factor"))
 
 
-def label_permutation(m: DataFrame, one: str, two: str, rounds: int, seed: int = 42) -> DataFrame:
+#: Values of a feature up to which one row holds them, and numbers that its rounds make at once.
+WHOLE, AT_ONCE = 4096, 1 << 20
+
+
+def label_permutation(m: DataFrame, one: str, two: str, rounds: int, seed: int = 42, whole: int = WHOLE) -> DataFrame:
     """(feature, diff, p): the share of rounds in which as many values drawn at random for the first group give a difference of
-    means as far from 0. A round's draw is the smallest hashes of (seed, round, feature, row); only sums leave a task, so a feature may
-    have any number of values."""
+    means as far from 0. A round's draw is the smallest hashes of (seed, round, feature, row).
+
+    A feature of whole values or fewer is one row, and its rounds are gone through where it is, so that nothing is shuffled for a round.
+    Larger ones are counted and summed by parts of the hashes' range (draws.sums), so a feature may have any number of values; both draw
+    the same."""
     own = kept(m.where(F.col("grp").isin(one, two) & F.col("value").isNotNull()).select("feature", "grp", F.col("value").cast("double").alias("value")).withColumn("_i", F.monotonically_increasing_id()))
     first = F.col("grp") == one
     size = own.groupBy("feature").agg(F.count_if(first).alias("_n1"), F.count("*").alias("_n"), F.sum("value").alias("_all"), F.sum(F.when(first, F.col("value"))).alias("_one")).where("_n1 > 0 AND _n > _n1")
     size = kept(size)
+    small, large = size.where(F.col("_n") <= whole), size.where(F.col("_n") > whole)
+    sums = _drawn_sums(own.join(small, "feature"), rounds, seed)
+    if not large.isEmpty():
+        rows = own.join(large.select("feature"), "feature")
+        far = draws.sums(rows, ["feature"], F.col("_i"), large, "_n1", "value", rounds, seed).join(large, "feature")
+        sums = sums.unionByName(far.groupBy("feature", "_n1", "_n", "_all", "_one").agg(F.collect_list("_sum").alias("_sums")))
     away = lambda s: s / F.col("_n1") - (F.col("_all") - s) / (F.col("_n") - F.col("_n1"))
-    rows = own.join(size.select("feature"), "feature")
-    null = draws.sums(rows, ["feature"], F.col("_i"), size, "_n1", "value", rounds, seed).join(size, "feature")
-    s = null.select("feature", away(F.col("_one")).alias("diff"), away(F.col("_sum")).alias("_d"))
-    return s.groupBy("feature", "diff").agg((F.count_if(F.abs("_d") >= F.abs("diff") - 1e-12) / F.lit(float(rounds))).alias("p"))
+    beyond = F.size(F.filter("_sums", lambda s: F.abs(away(s)) >= F.abs(F.col("diff")) - 1e-12))
+    return sums.withColumn("diff", away(F.col("_one"))).select("feature", "diff", (beyond / F.lit(float(rounds))).alias("p"))
+
+
+def _drawn_sums(rows: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(feature, _n1, _n, _all, _one, _sums): the sum of what each round draws of a feature's rows (_i, value), which are gathered."""
+    names = ["feature", "_n1", "_n", "_all", "_one"]
+    seeds = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.xxhash64(F.lit(seed), r, "feature"))
+    gathered = rows.groupBy(*names).agg(F.collect_list("_i").alias("_keys"), F.collect_list("value").alias("_values")).withColumn("_seeds", seeds)
+
+    def summed(it):
+        for batch in it:
+            columns = [batch.column(c) for c in ("_n1", "_keys", "_values", "_seeds")]
+            out = []
+            for i in range(len(batch)):
+                n, keys, values, turns = columns[0][i].as_py(), *(c[i].values.to_numpy(zero_copy_only=False) for c in columns[1:])
+                step = max(1, AT_ONCE // len(keys))
+                own = []
+                for a in range(0, len(turns), step):
+                    h = draws.hashes(keys, turns[a : a + step])
+                    own.append((h <= np.partition(h, n - 1, axis=1)[:, n - 1 : n]) @ values)
+                out.append(np.concatenate(own))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))], [*names, "_sums"])
+
+    kinds = dict(gathered.dtypes)
+    return gathered.mapInArrow(summed, ", ".join(f"{c} {kinds[c]}" for c in names) + ", _sums array<double>")
