@@ -64,8 +64,8 @@ def chains(keys: list[str], has: np.ndarray, n: np.ndarray, length: np.ndarray)
     return np.concatenate(out, axis=1)
 
 
-def posterior(classes: DataFrame, sizes: DataFrame, level: float = 0.95) -> DataFrame:
-    """(gene, isoform, psi, low, high, reads, draws) of read classes (gene, isoforms, reads) and isoforms' lengths (gene, isoform,
+def posterior(classes: DataFrame, sizes: DataFrame, level: float = 0.95, keep_draws: bool = True) -> DataFrame:
+    """(gene, isoform, psi, low, high, reads, draws; keep_draws: else they stay in the task that makes them) of read classes (gene, isoforms, reads) and isoforms' lengths (gene, isoform,
     length): the mean share, its credible interval of that level, the gene's reads, and the draws.
 
     Genes without a read are left out, isoforms that no length is given for as well; a gene with one isoform has share 1. The classes of
@@ -73,6 +73,7 @@ def posterior(classes: DataFrame, sizes: DataFrame, level: float = 0.95) -> Data
     forms = sizes.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("isoform", "length"))).alias("forms"))
     found = classes.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("isoforms", "reads"))).alias("classes"))
     kind = dict(classes.dtypes)["gene"]
+    columns = ["gene", "isoform", "psi", "low", "high", "reads", *(["draws"] if keep_draws else [])]
 
     def some(part: pd.DataFrame) -> pd.DataFrame:
         names = [[f["isoform"] for f in x] for x in part["forms"]]
@@ -87,7 +88,7 @@ def posterior(classes: DataFrame, sizes: DataFrame, level: float = 0.95) -> Data
         mean, rows = draws.mean(axis=1), []
         for e, gene in enumerate(part["gene"]):
             rows += [(gene, i, mean[e, j], low[e, j], high[e, j], int(n[e].sum()), draws[e, :, j]) for j, i in enumerate(names[e])]
-        return pd.DataFrame(rows, columns=["gene", "isoform", "psi", "low", "high", "reads", "draws"])
+        return pd.DataFrame(rows, columns=["gene", "isoform", "psi", "low", "high", "reads", "draws"])[columns]
 
     def sample(frames):
         for frame in frames:
@@ -96,12 +97,12 @@ def posterior(classes: DataFrame, sizes: DataFrame, level: float = 0.95) -> Data
                 for a in range(0, len(same), TOGETHER):
                     yield some(same.iloc[a : a + TOGETHER])
 
-    return found.join(forms, "gene").mapInPandas(sample, f"gene {kind}, isoform string, psi double, low double, high double, reads long, draws array<double>")
+    return found.join(forms, "gene").mapInPandas(sample, f"gene {kind}, isoform string, psi double, low double, high double, reads long" + ", draws array<double>" * keep_draws)
 
 
 def sampled(classes: DataFrame, sizes: DataFrame, level: float = 0.95) -> DataFrame:
     """posterior without its draws."""
-    return posterior(classes, sizes, level).drop("draws")
+    return posterior(classes, sizes, level, keep_draws=False)
 
 
 def paired_draws(one: DataFrame, two: DataFrame) -> DataFrame:

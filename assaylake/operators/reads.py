@@ -160,7 +160,8 @@ def compatible(alignments: DataFrame, isoforms: DataFrame, overhang: int = 1, wi
 def read_classes(fits: DataFrame) -> DataFrame:
     """(gene, isoforms, reads): how many reads have just these isoforms, sorted. Both ends of a pair count as one read, which has the
     isoforms that either end has alone or both have together."""
-    ends = fits.groupBy("file", "name", "gene", "isoform").agg(F.count("*").alias("n"))
+    # dealt out once: both aggregations are by these
+    ends = fits.repartition("file", "name", "gene").groupBy("file", "name", "gene", "isoform").agg(F.count("*").alias("n"))
     most = ends.groupBy("file", "name", "gene").agg(F.max("n").alias("most"), F.collect_set(F.struct("n", "isoform")).alias("x"))
     own = F.array_sort(F.transform(F.filter("x", lambda s: s["n"] == F.col("most")), lambda s: s["isoform"]))
     return most.select("gene", own.alias("isoforms")).groupBy("gene", "isoforms").agg(F.count("*").alias("reads"))
