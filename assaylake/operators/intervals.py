@@ -19,12 +19,17 @@ def _own_level(width: float):
     return F.least(F.ceil(F.ln(length) / F.lit(math.log(WIDER))), F.lit(LEVELS - 1)).cast("int")
 
 
-def _spread(t: DataFrame, side: str, by: list[str], width: float, present: DataFrame, emitted) -> DataFrame:
-    """(by, side, _level, _bin, _longer): t's rows, as a struct, under the bins of each level of emitted, which gives (level, longer) of a
-    row by its own level (_at) and the levels present on either side: two bins of a level at most, however long an interval is."""
+def _spread(t: DataFrame, side: str, by: list[str], width: float, present: DataFrame) -> DataFrame:
+    """(by, side, _level, _bin, _longer): t's rows, as a struct, under the bins of their own level, as the longer ones (side a: _longer 0, and
+    equals count; side b: 1), if the other side has such lower ones, and as the shorter ones under those of its levels above: two bins of a
+    level at most, however long an interval is. present: the other side's levels, _levels."""
     # one bin holds the last level
     at = lambda c: F.when(F.col("_level") == LEVELS - 1, F.lit(0)).otherwise(F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(float(WIDER)), F.col("_level")))))
-    names = t.columns
+    names, own = t.columns, F.col("_at")
+    less, above, longer = (lambda v: v <= own, lambda v: v > own, 0) if side == "a" else (lambda v: v < own, lambda v: v >= own, 1)
+    of = lambda levels, kind: F.transform(levels, lambda v: F.struct(v.alias("level"), F.lit(kind).alias("longer")))
+    longest = F.when(F.exists("_levels", less), F.array(own)).otherwise(F.array().cast("array<int>"))
+    emitted = F.concat(of(longest, longer), of(F.filter("_levels", above), 1 - longer))
     levelled = t.withColumn("_at", _own_level(width)).join(F.broadcast(present)).withColumn("_x", F.explode(emitted)).withColumns({"_level": F.col("_x.level"), "_longer": F.col("_x.longer")})
     binned = levelled.withColumn("_bin", F.explode(F.sequence(at("start").cast("long"), at("end").cast("long"))))
     return binned.select(*by, F.struct(*names).alias(side), "_level", "_longer", "_bin")
@@ -39,16 +44,9 @@ def meet(one: DataFrame, two: DataFrame, by: list[str], width: float, touch: boo
     and a row is under a level only if the other side has such intervals there: so it is one join, and a table is dealt out once. An
     interval makes at most two rows for each level that some interval has as its own, one more for its own, of LEVELS at most, whatever
     its length; and intervals only meet where one of them is as long as the bin."""
-    own = one.select(_own_level(width).alias("l"), F.lit(0).alias("s")).unionByName(two.select(_own_level(width).alias("l"), F.lit(1).alias("s")))
-    # one row of LEVELS numbers a side at most
-    present = own.agg(*(F.collect_set(F.when(F.col("s") == s, F.col("l"))).alias(n) for s, n in enumerate(("_ones", "_twos"))))
-    of = lambda levels, longer: F.transform(levels, lambda v: F.struct(v.alias("level"), F.lit(longer).alias("longer")))
-    at = F.col("_at")
-    # an interval of one is the longer under its own level if two has such or lower ones, and the shorter under those of two above
-    longest = F.when(F.exists("_twos", lambda v: v <= at), F.array(at)).otherwise(F.array().cast("array<int>"))
-    a = _spread(one, "a", by, width, present, F.concat(of(longest, 0), of(F.filter("_twos", lambda v: v > at), 1)))
-    longest = F.when(F.exists("_ones", lambda v: v < at), F.array(at)).otherwise(F.array().cast("array<int>"))
-    b = _spread(two, "b", by, width, present, F.concat(of(F.filter("_ones", lambda v: v >= at), 0), of(longest, 1)))
+    # one row of LEVELS numbers at most
+    levels = lambda t: t.agg(F.collect_set(_own_level(width)).alias("_levels"))
+    a, b = _spread(one, "a", by, width, levels(two)), _spread(two, "b", by, width, levels(one))
     over = (lambda x, y: x <= y) if touch else (lambda x, y: x < y)
     start = F.greatest("a.start", "b.start")
     first = F.when(F.col("_level") == LEVELS - 1, F.lit(0)).otherwise(F.floor(start / (F.lit(float(width)) * F.pow(F.lit(float(WIDER)), F.col("_level")))))

@@ -24,4 +24,4 @@ def test_meet_is_one_join(spark):
             want = sorted((p[0], q[0]) for p in a for q in b if p[1] == q[1] and over(p[2], q[3]) and over(q[2], p[3]))
             assert sorted((r.a.k, r.b.k) for r in met.collect()) == want
     plan = met._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join Inner, (") == 1 and "Union" in plan and plan.count("Generate explode(sequence") == 2
+    assert plan.count("Join Inner, (") == 1 and "Union" not in plan and plan.count("Generate explode(sequence") == 2
