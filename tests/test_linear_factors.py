@@ -259,6 +259,23 @@ def test_first_kept_of_a_long_chain(spark):
     assert got == [*range(0, 401, 2), 1000, 1002]
 
 
+def test_first_kept_of_many_edges_asks_for_no_components(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    edges = [(a, b) for a in range(150) for b in range(a) if rng.random() < 0.3]
+    has, stay = set(edges), []
+    for x in range(150):
+        if not any((x, y) in has for y in stay):
+            stay.append(x)
+
+    def refused(*_):
+        raise AssertionError("components of all edges")
+
+    monkeypatch.setattr(network, "components", refused)
+    # edges that repeat, and one to what is no node
+    got = network.first_kept(spark.range(150).withColumnRenamed("id", "node"), spark.createDataFrame(edges + edges[:9] + [(-1, 0)], "a long, b long"))
+    assert sorted(r.node for r in got.collect()) == stay
+
+
 def test_no_drawn_table_is_broadcast(spark):
     """What the rounds draw is many times its rows, which an estimate doesn't know: only limits, a row for each round, are broadcast."""
     every = spark.range(20000).select(F.col("id").alias("element"))
