@@ -276,6 +276,18 @@ def test_first_kept_of_many_edges_asks_for_no_components(spark, monkeypatch):
     assert sorted(r.node for r in got.collect()) == stay
 
 
+def test_shared_neighbours_are_dealt_by_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(network, "PAIRS", 40)
+    rows = [(s, p) for p in range(20) for s in range(p % 7 + 3)] * 2 + [(None, 1), (1, None)]
+    want = {}
+    for p in range(20):
+        for a, b in itertools.combinations(range(p % 7 + 3), 2):
+            want[a, b] = want.get((a, b), 0) + 1
+    got = network.shared_neighbours(spark.createDataFrame(rows, "s long, p long"), "s", "p")
+    assert {(r.a, r.b): r.shared for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() >= sum(want.values()) // 40
+
+
 def test_no_drawn_table_is_broadcast(spark):
     """What the rounds draw is many times its rows, which an estimate doesn't know: only limits, a row for each round, are broadcast."""
     every = spark.range(20000).select(F.col("id").alias("element"))
