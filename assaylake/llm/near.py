@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import simhash
 from .common import by_text, drop_kept, keep, mix, trim
@@ -23,6 +24,8 @@ from .shingles import components, shingle_hashes, words
 SHINGLE, LEAST, BANDS, ROWS, PARITIES = 5, 0.8, 32, 4, 8
 #: Min-hashes of which a bit is a mark, and the probability with which marks may rule out a link.
 MARKS, LOST = BANDS * ROWS, 1e-10
+#: Shingles before one that say whether a pair has met already.
+EARLIER = 8
 _DRAWS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _BLOCK = 1 << 9
 
@@ -158,16 +161,23 @@ def across(place: DataFrame, bits: DataFrame, least: float) -> DataFrame:
 
     place has prefixes' columns and root, bits the nodes' parities (odd) and marks. Shingles whose nodes have one root between them make no
     pair. The bounds are part of the join, so a pair that they rule out is never a row. Sizes, places and parities lose nothing, but say
-    little of sets of over a thousand shingles, of which any two share some by chance; marks tell those apart whatever their sizes."""
+    little of sets of over a thousand shingles, of which any two share some by chance; marks tell those apart whatever their sizes.
+
+    Near copies share most of their prefixes, and a pair needs one row only, that of the first shingle they share: all others that they share come
+    after it in both, which bounds how many there are. So a row goes if it couldn't be the first of a link by that bound, or if the
+    EARLIER shingles before it, of either, have one in common; the first has none, however many are looked at."""
     mixed = place.groupBy("h").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where(F.col("_r") < F.col("_s")).select("h")
-    open_ = keep(place.join(mixed, "h").join(bits.select("node", "odd", "marks"), "node"))
-    left, right = (open_.select("h", F.col("node").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in ("root", "n", "before", "after", "odd", "marks")]) for c in "ab")
-    # the shingle itself, and at most so many before and after it, can be in both
+    # a shingle that both have has both their roots, so none that they share is missing here
+    earlier = F.collect_list("h").over(W.partitionBy("node").orderBy("before").rowsBetween(-EARLIER, -1))
+    open_ = keep(place.join(mixed, "h").withColumn("earlier", earlier).join(bits.select("node", "odd", "marks"), "node"))
+    left, right = (open_.select("h", F.col("node").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in ("root", "n", "after", "earlier", "odd", "marks")]) for c in "ab")
+    # if it is the first that both have, the shingle itself and at most so many after it can be in both
     n, m = F.col("_n_a"), F.col("_n_b")
-    most = F.least("_before_a", "_before_b") + F.least("_after_a", "_after_b") + 1
+    most = F.least("_after_a", "_after_b") + 1
     enough = most >= (n + m - most) * F.lit(least) - F.lit(1e-9)
     differ = sum((F.bit_count(F.col("_marks_a")[i].bitwiseXOR(F.col("_marks_b")[i])) for i in range(MARKS // 64)), F.lit(0))
     bounds = (F.col("a") < F.col("b")) & (F.col("_root_a") != F.col("_root_b")) & enough & (differ <= most_marks(least)) & not_apart("_odd_a", "_odd_b", n, m, least)
+    bounds &= ~F.arrays_overlap("_earlier_a", "_earlier_b")
     return left.join(right, "h").where(bounds).select("a", "b").distinct()
 
 

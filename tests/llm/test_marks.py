@@ -4,6 +4,8 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from assaylake.llm import near, setsketch, simhash
 
@@ -57,3 +59,21 @@ def test_near_copies_by_fingerprint(spark, monkeypatch):
         sa, sb = (set(near.shingle_set(texts[i]).tolist()) for i in (a, b))
         assert len(sa & sb) < 0.8 * len(sa | sb) or got[a] == got[b]
     assert found and any(i != c for i, c in got.items())
+
+
+def test_a_pair_has_one_row(spark, monkeypatch):
+    made = []
+    common, sets = RNG.integers(0, 1 << 63, 400, np.uint64), []
+    for _ in range(24):  # any two share more than three quarters; the last two are links of the first
+        sets.append(np.unique(np.concatenate([RNG.permutation(common)[:372], RNG.integers(0, 1 << 63, 20, np.uint64)])))
+    sets += [np.unique(np.concatenate([sets[0][k:], RNG.integers(0, 1 << 63, k, np.uint64)])) for k in (10, 30)]
+    x = frame(spark, sets, [near.marks(near.min_hashes(s)) for s in sets])
+    place = near.keep(near.prefixes(x, 0.8).withColumn("root", F.col("node")))
+    met = near.across(place, x, 0.8)
+    similar = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if similar(a, b)}
+    assert {(0, 24), (0, 25)} <= want <= {tuple(r) for r in met.collect()}
+    # rows of the join itself, before they are made distinct
+    monkeypatch.setattr(DataFrame, "distinct", lambda self: made.append(self.count()) or self)
+    near.across(place, x, 0.8)
+    assert made[0] <= 2 * len(sets) * (len(sets) - 1) // 2
