@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from assaylake.functions import tails
 from assaylake.operators import draws
+from assaylake.operators.ranks import dealt
 from assaylake.operators.stats import _two, anova_f, average_rank, correlation, mann_whitney_u, pooled_t, step_up, tie_share, welch
 from assaylake.sources.kept import kept
 
@@ -45,7 +46,7 @@ def sign_test(pairs: DataFrame) -> DataFrame:
 
 def rank_sums(m: DataFrame, one: str, two: str) -> DataFrame:
     """z of the first group's rank sum, with the variance of both group sizes, and the two-sided p."""
-    r = average_rank(m.where(F.col("grp").isin(one, two)), ["feature"], "value", "rk")
+    r = average_rank(dealt(m.where(F.col("grp").isin(one, two)), ["feature"]), ["feature"], "value", "rk")
     s = r.groupBy("feature").agg(F.count_if(F.col("grp") == one).alias("n1"), F.count_if(F.col("grp") == two).alias("n2"), F.sum(F.when(F.col("grp") == one, F.col("rk"))).alias("r1")).where("n1 > 0 AND n2 > 0")
     n1, n2 = F.col("n1"), F.col("n2")
     s = s.select("feature", ((F.col("r1") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
@@ -124,7 +125,7 @@ def one_sample_t(m: DataFrame, mean: float) -> DataFrame:
 
 def spearman(xy: DataFrame) -> DataFrame:
     """(feature, x, y): Pearson's r of the average ranks, and its two-sided p."""
-    r = average_rank(average_rank(xy, ["feature"], "x", "rx"), ["feature"], "y", "ry")
+    r = average_rank(average_rank(dealt(xy, ["feature"]), ["feature"], "x", "rx"), ["feature"], "y", "ry")
     r = r.groupBy("feature").agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho")).where("n > 2").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
     return r.select("feature", "rho", r_probability(F.when(F.col("rho").isNotNull(), F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0))), F.col("n")).alias("p"))
 

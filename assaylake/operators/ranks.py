@@ -8,6 +8,19 @@ from pyspark.sql import Window as W
 
 from assaylake.sources.kept import kept
 
+#: Rows of a task that sorts or gathers them by key.
+ROWS = 1 << 19
+
+
+def tasks_for(df: DataFrame, rows: int = ROWS) -> int:
+    """As many tasks as have some rows each; a fixed number of them would each have more of a larger table to sort."""
+    return max(df.count() // rows + 1, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, by: list[str], rows: int = ROWS) -> DataFrame:
+    """df dealt by the columns to tasks of some rows each."""
+    return df.repartition(tasks_for(df, rows), *by)
+
 
 def global_rank(df: DataFrame, order: list[str], rank: str, count: str, part: str) -> DataFrame:
     """df with its rows' places from 1 in the order of the columns, the number of rows, and the range that a row is in.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import tails
-from assaylake.operators.ranks import global_rank, least_from_here
+from assaylake.operators.ranks import dealt, global_rank, least_from_here
 from assaylake.sources.kept import kept
 
 
@@ -72,7 +72,7 @@ def tie_share(rank: str, value: str, by: list[str]) -> Column:
 
 def kruskal_h(m: DataFrame) -> DataFrame:
     """The Kruskal-Wallis statistic, corrected for ties, and p by chi-square; 0 and 1 where all values are equal."""
-    r = average_rank(m, ["feature"], "value", "rk").withColumn("_tie", tie_share("rk", "value", ["feature"]))
+    r = average_rank(dealt(m, ["feature"]), ["feature"], "value", "rk").withColumn("_tie", tie_share("rk", "value", ["feature"]))
     g = r.groupBy("feature", "grp").agg(F.count("*").alias("n"), F.sum("rk").alias("rs"), F.sum("_tie").alias("tie"))
     s = g.groupBy("feature").agg(F.sum("n").alias("n"), F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("s"), F.count("*").alias("k"), F.sum("tie").alias("tie")).where("k > 1")
     n = F.col("n").cast("double")
@@ -84,7 +84,7 @@ def kruskal_h(m: DataFrame) -> DataFrame:
 
 def mann_whitney_u(m: DataFrame, one: str, two: str) -> DataFrame:
     """U of the first group, |z| with the correction for ties, and the one-sided p; both null where all values are equal."""
-    r = average_rank(m.where(F.col("grp").isin(one, two)), ["feature"], "value", "rk").withColumn("_tie", tie_share("rk", "value", ["feature"]))
+    r = average_rank(dealt(m.where(F.col("grp").isin(one, two)), ["feature"]), ["feature"], "value", "rk").withColumn("_tie", tie_share("rk", "value", ["feature"]))
     s = r.groupBy("feature").agg(F.count_if(F.col("grp") == one).alias("n1"), F.count_if(F.col("grp") == two).alias("n2"), F.sum(F.when(F.col("grp") == one, F.col("rk"))).alias("r1"), F.sum("_tie").alias("tie")).where("n1 > 0 AND n2 > 0")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
