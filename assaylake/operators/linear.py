@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import tails
 from assaylake.operators.neighbours import _matrix
+from assaylake.operators.ranks import dealt
 from assaylake.sources.kept import dropped, kept
 
 #: Rounds of relabelling that a task holds at once.
 SOME = 512
+#: Numbers of a design matrix that is sent to every task.
+CELLS = 1 << 20
 
 
 def contrasts(cells: DataFrame, design: DataFrame, names: dict[str, Sequence[float]]) -> DataFrame:
@@ -29,7 +32,13 @@ def contrasts(cells: DataFrame, design: DataFrame, names: dict[str, Sequence[flo
     rank = int(np.linalg.matrix_rank(c))
     x = lambda i: F.col("x")[i]
     v = F.col("value")
-    own = cells.select("feature", "sample", F.col("value").cast("double").alias("value")).where("value is not null").join(design.select("sample", F.transform("x", lambda e: e.cast("double")).alias("x")), "sample")
+    own = cells.select("feature", "sample", F.col("value").cast("double").alias("value")).where("value is not null")
+    rows = design.select("sample", F.transform("x", lambda e: e.cast("double")).alias("x"))
+    if design.count() * p <= CELLS:
+        # few samples would be few keys of a join, and few tasks
+        own = dealt(own, ["feature"]).join(F.broadcast(rows), "sample")
+    else:
+        own = dealt(own.join(rows, "sample"), ["feature"])
     sums = own.groupBy("feature").agg(
         F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("yy"),
         F.array(*(F.sum(x(i) * x(j)) for i in range(p) for j in range(p))).alias("xx"), F.array(*(F.sum(x(i) * v) for i in range(p))).alias("xy"),
