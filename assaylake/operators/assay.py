@@ -27,5 +27,6 @@ def call_by_share(rows: DataFrame, unit: str, tag: str, least: float) -> DataFra
 
 
 def best_group(x: DataFrame, key: str, group: str, value: str) -> DataFrame:
+    """(key, group): of each key the group of the largest sum; ties to the smaller group. Keys that come dealt to tasks stay where they are."""
     s = x.groupBy(key, group).agg(F.sum(value).alias("_v"))
     return s.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_v"), group))).where("_k = 1").select(key, group)

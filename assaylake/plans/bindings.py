@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.operators import assay, enrich, intervals, matrix, network, stats
+from assaylake.operators import assay, enrich, intervals, matrix, network, ranks, stats
 from assaylake.plans import tails as sql
 from assaylake.sources.tables import table
 
@@ -261,8 +261,12 @@ def presence_filter(spark, d):
 
 @bound("SELECT CAST(p AS BIGINT) AS p, seg FROM (SELECT l_partkey p, c_mktsegment seg, row_number() OVER (PARTITION BY l_partkey ORDER BY sum(l_quantity) DESC, c_mktsegment) k FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) WHERE k = 1")
 def argmax_group(spark, d):
-    x = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return assay.best_group(x.select(F.col("l_partkey").alias("p"), F.col("c_mktsegment").alias("seg"), F.col("l_quantity").alias("v")), "p", "seg", "v")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("v"))
+    orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    n = ranks.tasks_for(lines)
+    of = orders.repartition(n, "o_custkey").join(customers.repartition(n, "c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("o"), F.col("c_mktsegment").alias("seg"))
+    x = lines.repartition(n, "o").join(of.repartition(n, "o"), "o")
+    return assay.best_group(x.select("p", "seg", "v").repartition(n, "p"), "p", "seg", "v")
 
 
 @bound("SELECT CAST(a AS BIGINT) a, CAST(b AS BIGINT) b, round(corr(x, y), 6) + 0.0 AS r FROM (SELECT p.f a, q.f b, p.v x, q.v y FROM m p JOIN m q ON p.s = q.s AND p.f < q.f) GROUP BY 1, 2 HAVING count(*) >= 3".replace("FROM m p JOIN m q", "FROM (SELECT l_suppkey f, l_linenumber || l_returnflag s, avg(CAST(l_quantity AS DOUBLE)) v FROM lineitem GROUP BY 1, 2) p JOIN (SELECT l_suppkey f, l_linenumber || l_returnflag s, avg(CAST(l_quantity AS DOUBLE)) v FROM lineitem GROUP BY 1, 2) q"))
