@@ -50,6 +50,12 @@ def drop_kept(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """df, whose join deals both sides out and broadcasts neither. Spark sizes what explode makes as if each row gave one, and a written
+    table by its compressed bytes, so either may be broadcast though it is many times larger than the threshold."""
+    return df.hint("merge")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, by_text, keep, read
+from .common import apart, by_text, dealt_out, keep, read
 from .shingles import components, shingle_hashes, words
 
 #: Words in a shingle, bits that linked fingerprints may differ in, segments of a fingerprint and their bits, the radius of
@@ -78,22 +78,23 @@ def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
     verified. Where more than split fingerprints share a segment's value, that value is split by the rest of the
     fingerprint: of those that share it, the rests lie within two bits, so balls of one bit around them meet; to one that is
     a bit off already, only a ball of one bit around its rest can lead. As fingerprints are distinct, at most 33 are under such
-    a key, whatever shares the value, so candidates grow with the fingerprints and not with the square of a group."""
+    a key, whatever shares the value, so candidates grow with the fingerprints and not with the square of a group. Neither side of
+    a join is broadcast: by its estimate, the 34 rows of a fingerprint are one."""
     rows = index_rows(fps.select("fp"))
     own = F.array(*(F.struct(F.lit(p).alias("place"), segment(F.col("fp"), p).alias("value")) for p in range(SEGMENTS)))
     table = fps.select(F.col("fp").alias("one"), F.explode(own).alias("x")).select("x.*", "one")
     dense = keep(table.groupBy("place", "value").count().where(F.col("count") > split).select("place", "value"))
     key = ["place", "value"]
     wide = F.bit_count(F.col("one").bitwiseXOR(F.col("fp"))) <= RADIUS
-    light = table.join(dense, key, "left_anti").join(rows, key).where(wide & ((F.col("far") == 1) | (F.col("one") < F.col("fp"))))
+    light = table.join(dense, key, "left_anti").join(dealt_out(rows), key).where(wide & ((F.col("far") == 1) | (F.col("one") < F.col("fp"))))
     found = [light.select(F.least("one", "fp").alias("a"), F.greatest("one", "fp").alias("b"))]
     if not dense.isEmpty():
         heavy = keep(rows.join(dense, key, "left_semi"))
         near = heavy.withColumn("rest", F.explode(F.array(*ball(other(F.col("fp"), F.col("place"))))))
         full = heavy.where("far = 0").select(*key, other(F.col("fp"), F.col("place")).alias("rest"), F.col("fp").alias("one"))
         within = near.where("far = 0")
-        met = within.select(*key, "rest", F.col("fp").alias("one")).join(within, [*key, "rest"]).where(wide & (F.col("one") < F.col("fp")))
-        off = full.join(near.where("far = 1"), [*key, "rest"]).where(wide)
+        met = within.select(*key, "rest", F.col("fp").alias("one")).join(dealt_out(within), [*key, "rest"]).where(wide & (F.col("one") < F.col("fp")))
+        off = full.join(dealt_out(near.where("far = 1")), [*key, "rest"]).where(wide)
         found += [x.select(F.least("one", "fp").alias("a"), F.greatest("one", "fp").alias("b")) for x in (met, off)]
     out = found[0]
     for x in found[1:]:
