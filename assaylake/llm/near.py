@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import simhash
-from .common import by_text, drop_kept, keep, mix, trim
+from .common import by_text, dealt_out, drop_kept, keep, mix, trim
 from .shingles import components, shingle_hashes, words
 
 #: Words in a shingle, least share of shingles (Jaccard) of a link, bands of min-hashes, min-hashes in a band, and 64-bit
@@ -148,7 +148,7 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     share is among so many of either."""
     every = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     often = keep(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
-    own = every.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("x"))
+    own = dealt_out(every).join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("x"))
     take = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1 - (F.col("n") - F.size("x"))
     cut = own.withColumn("_take", take.cast("int")).where("_take > 0")
     return cut.select("node", "n", F.size("x").alias("_m"), F.posexplode(F.slice("x", F.lit(1), F.col("_take"))).alias("before", "y")).select(
@@ -169,7 +169,7 @@ def across(place: DataFrame, bits: DataFrame, least: float) -> DataFrame:
     mixed = place.groupBy("h").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where(F.col("_r") < F.col("_s")).select("h")
     # a shingle that both have has both their roots, so none that they share is missing here
     earlier = F.collect_list("h").over(W.partitionBy("node").orderBy("before").rowsBetween(-EARLIER, -1))
-    open_ = keep(place.join(mixed, "h").withColumn("earlier", earlier).join(bits.select("node", "odd", "marks"), "node"))
+    open_ = keep(dealt_out(place).join(mixed, "h").withColumn("earlier", earlier).join(bits.select("node", "odd", "marks"), "node"))
     left, right = (open_.select("h", F.col("node").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in ("root", "n", "after", "earlier", "odd", "marks")]) for c in "ab")
     # if it is the first that both have, the shingle itself and at most so many after it can be in both
     n, m = F.col("_n_a"), F.col("_n_b")
@@ -178,7 +178,7 @@ def across(place: DataFrame, bits: DataFrame, least: float) -> DataFrame:
     differ = sum((F.bit_count(F.col("_marks_a")[i].bitwiseXOR(F.col("_marks_b")[i])) for i in range(MARKS // 64)), F.lit(0))
     bounds = (F.col("a") < F.col("b")) & (F.col("_root_a") != F.col("_root_b")) & enough & (differ <= most_marks(least)) & not_apart("_odd_a", "_odd_b", n, m, least)
     bounds &= ~F.arrays_overlap("_earlier_a", "_earlier_b")
-    return left.join(right, "h").where(bounds).select("a", "b").distinct()
+    return dealt_out(left).join(right, "h").where(bounds).select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, key: str, text: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -196,7 +196,7 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", size: int = SHING
     by_print = keep(fingerprint_pairs(nodes))
     table = nodes.select("node", F.explode("bands").alias("band")).withColumn("turn", F.xxhash64("node", "band"))
     first = table.groupBy("band").agg(F.min("turn").alias("least"), F.max("turn").alias("_z")).where(F.col("least") < F.col("_z")).select("band", "least")
-    members = keep(table.join(first, "band"))
+    members = keep(dealt_out(table).join(first, "band"))
     ends = members.select("node").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("node")))
     wanted = keep(ends.distinct())
     whole = nodes.select("s1", "s2", F.col("node").alias("component"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import apart, by_text, drop_kept, keep, mix, read, small_batches
+from .common import apart, by_text, dealt_out, drop_kept, keep, mix, read, small_batches
 from .shingles import components
 
 #: Words in a shingle, and the least similarity of a link in percent.
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = keep(whose.join(own.select("s1", "s2", "_at", "n", "registers", "marks").dropDuplicates(["s1", "s2", "_at"]), ["s1", "s2", "_at"]))
     table = nodes.select("node", F.posexplode(F.pandas_udf(band_values, "array<long>")("registers")).alias("place", "band")).withColumn("turn", F.xxhash64("node", "band"))
     first = table.groupBy("band").agg(F.min("turn").alias("least"), F.max("turn").alias("_z")).where(F.col("least") < F.col("_z")).select("band", "least")
-    members = keep(table.join(first, "band"))
+    members = keep(dealt_out(table).join(first, "band"))
     roots = whose.select("s1", "s2", "low", F.col("node").alias("root"))
     if not members.isEmpty():
         roots = whose.select("s1", "s2", "low", "node").join(_linked(named, nodes, members, size, percent), "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root"))

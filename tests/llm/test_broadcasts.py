@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.llm import simhash
+from assaylake.llm import near, setsketch, simhash
 
 
 def exploded_broadcasts(plan: str) -> list[str]:
@@ -31,7 +31,8 @@ def plans(monkeypatch):
 
         return of
 
-    monkeypatch.setattr(simhash, "keep", noting(simhash.keep))
+    for module in (simhash, near, setsketch):
+        monkeypatch.setattr(module, "keep", noting(module.keep))
     return out
 
 
@@ -40,7 +41,7 @@ def texts(spark):
     return spark.createDataFrame([(i, f"{base} tail{i % 9}" if i < 30 else " ".join(f"v{i}k{j}" for j in range(40))) for i in range(60)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("of", [lambda d: simhash.near_duplicates(d)], ids=["simhash"])
+@pytest.mark.parametrize("of", [lambda d: simhash.near_duplicates(d), lambda d: near.near_copies(d, "doc_id"), lambda d: setsketch.near_duplicates(d)], ids=["simhash", "near", "setsketch"])
 def test_exploded_rows_are_not_broadcast(spark, plans, of):
     out = of(texts(spark))
     assert out.count() == 60
