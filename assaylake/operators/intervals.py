@@ -50,7 +50,8 @@ def meet(one: DataFrame, two: DataFrame, by: list[str], width: float, touch: boo
     over = (lambda x, y: x <= y) if touch else (lambda x, y: x < y)
     start = F.greatest("a.start", "b.start")
     first = F.when(F.col("_level") == LEVELS - 1, F.lit(0)).otherwise(F.floor(start / (F.lit(float(width)) * F.pow(F.lit(float(WIDER)), F.col("_level")))))
-    met = a.join(b, [*by, "_level", "_longer", "_bin"])
+    # sized by the rows before explode, either side would be broadcast though it is many times larger
+    met = a.hint("merge").join(b, [*by, "_level", "_longer", "_bin"])
     return met.where(over(F.col("a.start"), F.col("b.end")) & over(F.col("b.start"), F.col("a.end")) & (F.col("_bin") == first)).select(*by, "a", "b")
 
 

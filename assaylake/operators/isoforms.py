@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.operators.ranks import dealt
+from assaylake.sources.kept import kept
+
+#: Genes that a task samples: some ten milliseconds each, of a few hundred bytes, so their bytes say nothing of a task's time.
+GENES = 4096
 #: Rounds that are thrown away and rounds that are kept, chains of an event, rounds between two changes of the step, events
 #: sampled together.
 BURN, ROUNDS, CHAINS, TUNE, TOGETHER = 300, 800, 8, 25, 128
@@ -22,46 +27,61 @@ def lengths(forms: DataFrame, read_length: int, overhang: int = 1) -> DataFrame:
     return forms.select("gene", "isoform", F.greatest(bases - lost, F.lit(1)).cast("long").alias("length"))
 
 
-def _log_density(psi: np.ndarray, has: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Of shares psi (events, chains, isoforms): a read of a class comes from one of its isoforms (has: events, classes, isoforms), any
-    place of any molecule being as likely; a uniform prior, on the scale of the logits."""
-    own = np.einsum("ecj,ekj->eck", psi, has)
-    everywhere = np.einsum("ecj,ej->ec", psi, length)
-    with np.errstate(divide="ignore"):
-        logs = np.where(n[:, None, :] > 0, np.log(np.maximum(own, 1e-300)), 0.0)
-        return (n[:, None, :] * logs).sum(axis=2) - n.sum(axis=1)[:, None] * np.log(everywhere) + np.log(np.maximum(psi, 1e-300)).sum(axis=2)
+def _log_density(psi: np.ndarray, has: np.ndarray, n: np.ndarray, total: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of shares psi (isoforms, chains of all events): a read of a class comes from one of its isoforms (has: classes, isoforms, chains; n: its
+    reads, total: the event's), any place of any molecule being as likely; a uniform prior, on the scale of the logits."""
+    own, everywhere = has[:, 0] * psi[0], length[0] * psi[0]
+    for j in range(1, len(psi)):
+        own += has[:, j] * psi[j]
+        everywhere += length[j] * psi[j]
+    logs = np.log(np.maximum(own, 1e-300, out=own), out=own)
+    logs *= n
+    return logs.sum(axis=0) - total * np.log(everywhere) + np.log(np.maximum(psi, 1e-300)).sum(axis=0)
 
 
 def _shares(logits: np.ndarray) -> np.ndarray:
-    z = np.concatenate([logits, np.zeros((*logits.shape[:-1], 1))], axis=-1)
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    return z / z.sum(axis=-1, keepdims=True)
+    """(isoforms, chains) of logits of all isoforms but the last, whose logit is 0."""
+    z = np.concatenate([logits, np.zeros((1, logits.shape[1]))])
+    z -= z.max(axis=0)
+    np.exp(z, out=z)
+    z /= z.sum(axis=0)
+    return z
 
 
 def chains(keys: list[str], has: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Draws (events, rounds * chains, isoforms) from the posterior of each event's shares. An event's random numbers follow
-    from its key alone, so it has the same draws wherever it is sampled. In the rounds thrown away each event's step follows how many
-    of its moves are taken."""
-    k = has.shape[2]
-    rngs = [np.random.default_rng(list(hashlib.sha256(x.encode()).digest())) for x in keys]
-    moves = np.stack([r.standard_normal((BURN + ROUNDS, CHAINS, k - 1)) for r in rngs])
-    luck = np.log(np.stack([r.random((BURN + ROUNDS, CHAINS)) for r in rngs]))
-    at = np.zeros((len(keys), CHAINS, k - 1))
-    now = _log_density(_shares(at), has, n, length)
-    step, taken, out = np.full(len(keys), 1.0), np.zeros(len(keys)), []
-    for i in range(BURN + ROUNDS):
-        to = at + moves[:, i] * step[:, None, None]
-        then = _log_density(_shares(to), has, n, length)
-        go = luck[:, i] < then - now
-        at, now = np.where(go[:, :, None], to, at), np.where(go, then, now)
+    """Draws (events, rounds * chains, isoforms) from the posterior of each event's shares (has: events, classes, isoforms). An event's random
+    numbers follow from its key alone, so it has the same draws wherever it is sampled. In the rounds thrown away each event's step
+    follows how many of its moves are taken. The chains of all events are the last axis, the long one, of what a round computes."""
+    e, k, rounds = len(keys), has.shape[2], BURN + ROUNDS
+    moves, luck = np.empty((e, rounds, CHAINS, k - 1)), np.empty((e, rounds, CHAINS))
+    for i, x in enumerate(keys):
+        r = np.random.default_rng(np.frombuffer(hashlib.sha256(x.encode()).digest(), np.uint8).astype(np.uint32))
+        r.standard_normal(out=moves[i])
+        r.random(out=luck[i])
+    moves = moves.transpose(1, 3, 0, 2).reshape(rounds, k - 1, e * CHAINS)
+    with np.errstate(divide="ignore"):
+        luck = np.log(luck, out=luck).transpose(1, 0, 2).reshape(rounds, e * CHAINS)
+    each = lambda x: np.repeat(x, CHAINS, axis=-1)
+    given = (each(has.transpose(1, 2, 0)), each(n.T), each(n.sum(axis=1)), each(length.T))
+    at, wide = np.zeros((k - 1, e * CHAINS)), np.ones(e * CHAINS)
+    psi = _shares(at)
+    now = _log_density(psi, *given)
+    step, taken, out = np.full(e, 1.0), np.zeros(e), np.empty((ROUNDS, k, e * CHAINS))
+    for i in range(rounds):
+        to = at + moves[i] * wide
+        near = _shares(to)
+        then = _log_density(near, *given)
+        go = luck[i] < then - now
+        for old, new in ((at, to), (psi, near), (now, then)):
+            np.copyto(old, new, where=go)
         if i < BURN:
-            taken += go.mean(axis=1)
+            taken += go.reshape(e, CHAINS).mean(axis=1)
             if i % TUNE == TUNE - 1:
                 step *= np.exp(2 * (taken / TUNE - 0.35))
-                taken[:] = 0
+                wide, taken[:] = each(step), 0
         else:
-            out.append(_shares(at))
-    return np.concatenate(out, axis=1)
+            out[i - BURN] = psi
+    return out.reshape(ROUNDS, k, e, CHAINS).transpose(2, 0, 3, 1).reshape(e, ROUNDS * CHAINS, k)
 
 
 def posterior(classes: DataFrame, sizes: DataFrame, level: float = 0.95, keep_draws: bool = True) -> DataFrame:
@@ -97,7 +117,8 @@ def posterior(classes: DataFrame, sizes: DataFrame, level: float = 0.95, keep_dr
                 for a in range(0, len(same), TOGETHER):
                     yield some(same.iloc[a : a + TOGETHER])
 
-    return found.join(forms, "gene").mapInPandas(sample, f"gene {kind}, isoform string, psi double, low double, high double, reads long" + ", draws array<double>" * keep_draws)
+    events = kept(found.join(forms, "gene"))
+    return dealt(events, ["gene"], GENES).mapInPandas(sample, f"gene {kind}, isoform string, psi double, low double, high double, reads long" + ", draws array<double>" * keep_draws)
 
 
 def sampled(classes: DataFrame, sizes: DataFrame, level: float = 0.95) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +34,46 @@ def _walk(cigar: Column, kinds: str, state: dict[str, Column], step) -> Column:
 
 
 def blocks(pos: Column, cigar: Column) -> Column:
-    """The stretches [start, end] of the reference between the skipped ones; a deletion doesn't part a stretch."""
-    state = {"at": pos.cast("long"), "since": pos.cast("long"), "found": F.array().cast(_BLOCKS)}
-
-    def step(acc, n, kind):
-        skip = kind == "N"
-        done = F.concat(acc["found"], F.array(F.struct(acc["since"].alias("start"), (acc["at"] - 1).alias("end"))))
-        return {"at": acc["at"] + n, "since": F.when(skip, acc["at"] + n).otherwise(acc["since"]), "found": F.when(skip, done).otherwise(acc["found"])}
-
-    end = _walk(cigar, "MDN=X", state, step)
-    return F.filter(F.concat(end["found"], F.array(F.struct(end["since"].alias("start"), (end["at"] - 1).alias("end")))), lambda b: b["end"] >= b["start"])
+    """The stretches [start, end] of the reference between the skipped ones; a deletion doesn't part a stretch. Null where either is null.
+
+    Alignments of a batch share most of their cigars, so each distinct one is read once, from 0, and its stretches are moved to every pos."""
+
+    @F.arrow_udf(_BLOCKS)
+    def of(pos: pa.Array, cigar: pa.Array) -> pa.Array:
+        codes = cigar.dictionary_encode()
+        found, starts, ends = [0], [], []
+        for text in codes.dictionary.to_pylist():
+            at = since = 0
+            for n, kind in [*re.findall(r"([0-9]+)([MDN=X])", text), ("0", "N")]:
+                if kind == "N":
+                    if at > since:
+                        starts.append(since)
+                        ends.append(at - 1)
+                    since = at + int(n)
+                at += int(n)
+            found.append(len(starts))
+        known = np.asarray(pos.is_valid()) & np.asarray(cigar.is_valid())
+        own = np.asarray(codes.indices.fill_null(0)).astype(np.int64)
+        found = np.array([*found, found[-1]], np.int64)  # one more, for a batch without a cigar
+        sizes = np.where(known, found[own + 1] - found[own], 0)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.repeat(found[own] - offsets[:-1], sizes) + np.arange(offsets[-1])
+        shift = np.repeat(np.asarray(pos.fill_null(0)).astype(np.int64), sizes)
+        both = [pa.array(np.array(x, np.int64)[at] + shift) for x in (starts, ends)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(both, ["start", "end"]), mask=pa.array(~known))
+
+    return of(pos.cast("long"), cigar)
+
+
+def _once(x: Column) -> Column:
+    """x, worked out once a row: what explode makes is a column for all that uses it, where filters and other columns would each have the
+    whole expression put in for its name."""
+    return F.explode(F.array(x))
 
 
 def placed(alignments: DataFrame) -> DataFrame:
     """alignments that have a place, with blocks, start and end."""
-    out = alignments.where(F.col("chrom").isNotNull() & (F.col("pos") > 0)).withColumn("blocks", blocks(F.col("pos"), F.col("cigar"))).where(F.size("blocks") > 0)
+    out = alignments.where(F.col("chrom").isNotNull() & (F.col("pos") > 0)).withColumn("blocks", _once(blocks(F.col("pos"), F.col("cigar")))).where(F.size("blocks") > 0)
     return out.withColumns({"start": F.col("blocks")[0]["start"], "end": F.element_at("blocks", -1)["end"]})
 
 
@@ -153,8 +182,8 @@ def compatible(alignments: DataFrame, isoforms: DataFrame, overhang: int = 1, wi
     fits = F.forall(F.slice("both", F.lit(1), n - 1), lambda x: x["ee"] == x["re"]) & F.forall(F.slice("both", F.lit(2), n), lambda x: x["es"] == x["rs"])
     ends = (F.get("both", F.lit(0))["es"] <= F.get("both", F.lit(0))["rs"]) & (F.element_at("both", -1)["ee"] >= F.element_at("both", -1)["re"])
     long = (n == 1) | F.forall("both", lambda x: x["re"] - x["rs"] + 1 >= overhang)
-    s = met.select(F.col("b.name").alias("name"), F.col("b.file").alias("file"), F.col("a.gene").alias("gene"), F.col("a.isoform").alias("isoform"), b.alias("blocks"), own.alias("own")).where(F.size("own") == F.size("blocks"))
-    return s.withColumn("both", both).where(fits & ends & long).select("name", "file", "gene", "isoform")
+    s = met.select(F.col("b.name").alias("name"), F.col("b.file").alias("file"), F.col("a.gene").alias("gene"), F.col("a.isoform").alias("isoform"), b.alias("blocks"), _once(own).alias("own")).where(F.size("own") == F.size("blocks"))
+    return s.withColumn("both", _once(both)).where(fits & ends & long).select("name", "file", "gene", "isoform")
 
 
 def read_classes(fits: DataFrame) -> DataFrame:
